@@ -1,0 +1,32 @@
+"""Optional exact token counts with a byte-pair vocabulary."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def bpe_tokens(c: Column, encoding: str = "cl100k_base") -> Column:
+    """Tokens of ``c`` in the named encoding; length/4 for a text that fails or where the vocabulary is missing."""
+
+    @F.pandas_udf("bigint")
+    def count(texts: pd.Series) -> pd.Series:
+        try:
+            import tiktoken
+
+            enc = tiktoken.get_encoding(encoding)
+        except Exception:
+            return texts.map(lambda t: None if t is None else len(t) // 4).astype("Int64")
+
+        def one(t):
+            if t is None:
+                return None
+            try:
+                return len(enc.encode(t))
+            except Exception:
+                return len(t) // 4
+
+        return texts.map(one).astype("Int64")
+
+    return count(c)
