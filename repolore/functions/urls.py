@@ -64,9 +64,9 @@ def parse_reference(text: Column) -> Column:
     full = F.regexp_replace(path(s), r"\.git$", "")
     parts = F.split(full, "/")
     last_windows = F.element_at(F.split(s, r"\\"), -1)
-    last_unix = F.element_at(F.filter(F.split(s, "/"), lambda x: x != ""), -1)
-    local_repo = F.coalesce(F.nullif(F.when(windows, last_windows).otherwise(F.try_element_at(
-        F.filter(F.split(s, "/"), lambda x: x != ""), F.lit(-1))), F.lit("")), F.lit("local-repo"))
+    last_unix = F.try_element_at(F.filter(F.split(s, "/"), lambda x: x != ""), F.lit(-1))
+    last_local = F.when(windows, last_windows).otherwise(last_unix)
+    local_repo = F.coalesce(F.nullif(last_local, F.lit("")), F.lit("local-repo"))
     repo = F.when(windows | unix, local_repo).when(F.size(parts) >= 2, F.get(parts, F.size(parts) - 1))
     owner = F.when(windows | unix, F.lit("local")).when(F.size(parts) >= 2, F.get(parts, F.size(parts) - 2))
     repo_clean = F.regexp_replace(strip(repo), r"\.git$", "")
