@@ -26,6 +26,7 @@ def build_session(master: str | None = None, app: str = "repolore", shuffle_part
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
