@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from repolore.plans import corpus_queries, identity_queries, vector_queries  # noqa: F401
+from repolore.plans import (  # noqa: F401
+    converse_queries,
+    corpus_queries,
+    generate_queries,
+    identity_queries,
+    vector_queries,
+)
 from repolore.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
