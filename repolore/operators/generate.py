@@ -319,7 +319,8 @@ def split_tagged_prompt(prompt: Column) -> Column:
 def image_part(source: Column, content: Column, detail: str = "auto") -> Column:
     """Message part for an image: a web address as it is, otherwise the bytes as a data address."""
     web = F.startswith(source, F.lit("http://")) | F.startswith(source, F.lit("https://"))
-    url = F.when(web, source).otherwise(F.concat(F.lit("data:image/jpeg;base64,"), F.base64(content)))
+    one_line = F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))  # Spark breaks base64 into 76-character lines
+    url = F.when(web, source).otherwise(F.concat(F.lit("data:image/jpeg;base64,"), one_line))
     return F.struct(
         F.lit("image_url").alias("type"), F.struct(url.alias("url"), F.lit(detail).alias("detail")).alias("image_url")
     )

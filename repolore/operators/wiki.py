@@ -18,7 +18,8 @@ sections struct<section: array<struct<_id: string, title: string, pages: struct<
                                       subsections: struct<section_ref: array<string>>>>>,
 pages struct<page: array<struct<_id: string, title: string, importance: string,
                                 relevant_files: struct<file_path: array<string>>,
-                                related_pages: struct<related: array<string>>>>>
+                                related_pages: struct<related: array<string>>>>>,
+_corrupt_record string
 """
 
 
@@ -49,7 +50,7 @@ def parse_xml(responses: DataFrame) -> DataFrame:
     """
     doc = responses.select("wiki_id", repair_xml(locate_xml(F.col("response"))).alias("xml"))
     parsed = doc.withColumn("x", F.from_xml("xml", XML_SCHEMA, {"mode": "PERMISSIVE"}))
-    broken = F.col("x.title").isNull() & F.col("x.pages").isNull() & F.col("x.sections").isNull()
+    broken = F.col("x._corrupt_record").isNotNull() | (F.col("x.title").isNull() & F.col("x.pages").isNull())
     pages = F.transform(
         F.coalesce("x.pages.page", F.lit(None)),
         lambda p, i: F.struct(
@@ -83,13 +84,21 @@ def parse_xml(responses: DataFrame) -> DataFrame:
     )
 
 
+def unescape(text: Column) -> Column:
+    """The five XML entities back to characters."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&apos;", "'"), ("&quot;", '"'), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def first_text(xml: Column, tag: str) -> Column:
     """Trimmed text of the first ``tag`` element, by pattern."""
-    return X.strip(F.regexp_extract(xml, f"(?s)<{tag}>(.*?)</{tag}>", 1))
+    return unescape(X.strip(F.regexp_extract(xml, f"(?s)<{tag}>(.*?)</{tag}>", 1)))
 
 
 def all_texts(xml: Column, tag: str) -> Column:
-    return F.transform(F.regexp_extract_all(xml, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), X.strip)
+    found = F.regexp_extract_all(xml, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
+    return F.transform(found, lambda t: unescape(X.strip(t)))
 
 
 def pages_by_pattern(xml: Column) -> Column:
