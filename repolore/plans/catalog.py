@@ -6,6 +6,8 @@ from repolore.plans import (  # noqa: F401
     derive_queries,
     generate_queries,
     identity_queries,
+    store_queries,
+    stream_queries,
     vector_queries,
     wiki_queries,
 )

@@ -7,6 +7,7 @@ vectors and events. Each derivation is one SQL text used by Spark here and, as a
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -172,6 +173,17 @@ _fx(
     ("fx_wikis",),
     duck=_SECTIONS.replace("EMPTYLIST", "cast([] AS varchar[])") + "fx_wikis, unnest(range(1, 9)) u(k)",
 )
+_fx(
+    "fx_cache_wikis",
+    """
+SELECT wiki_id, n, CASE n%3 WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' ELSE 'bitbucket' END AS repo_type,
+ concat('own', cast(n%4 AS varchar(9))) AS owner, concat('repo_', wiki_id) AS repo,
+ CASE n%4 WHEN 0 THEN 'en' WHEN 1 THEN 'ja' WHEN 2 THEN 'pt-br' ELSE 'xx' END AS language,
+ concat('Wiki ', wiki_id) AS title, 'google' AS provider, 'model-a' AS model,
+ concat('https://github.com/own/', wiki_id) AS repo_url
+FROM fx_wikis""",
+    ("fx_wikis",),
+)
 _fx(
     "fx_responses",
     """
@@ -285,6 +297,18 @@ class Tables:
         ctes = base + [f"{n} AS ({FX[n].spark_sql()})" for n in _closure((name,))]
         return self.spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
 
+    def stream(self, name: str) -> DataFrame:
+        """The same rows as a stream: a base table, or a derived input over one base table."""
+        base = name if name not in FX else _base_of(name)[0]
+        path = f"{self.sf_dir}/{base}.parquet"
+        pattern = path.replace(".parquet", ".parque[t]")  # a stream takes a single file only as a pattern
+        rows = self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(pattern)
+        if name not in FX:
+            return rows
+        view = f"stream_{name}_{uuid.uuid4().hex}"
+        rows.createOrReplaceTempView(view)
+        return self.spark.sql(FX[name].spark_sql().replace(f"FROM {base}", f"FROM {view}"))
+
     def chunks(self) -> DataFrame:
         """Chunks of all files, by the operator itself."""
         return corpus.chunk_words(self("fx_files")).withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("ord"))
