@@ -106,9 +106,14 @@ class GrowingText(StatefulProcessor):
         pass
 
 
-def _run(stream: DataFrame, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
+def time_mode(ttl_ms: int | None) -> str:
+    """State expiry needs the clock; without it a run-to-the-end query would never see its last batch."""
+    return "processingTime" if ttl_ms else "none"
+
+
+def _run(stream: DataFrame, processor, schema: str, mode: str) -> DataFrame:
     return stream.groupBy("response_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="processingTime"
+        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time_mode(processor.ttl_ms)
     )
 
 

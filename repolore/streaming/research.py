@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from repolore import constants as C
 from repolore.operators import converse, derive, generate
 from repolore.session import cut_lineage
+from repolore.streaming.assemble import time_mode
 
 
 def run_rounds(messages: DataFrame, make_prompts: Callable[[DataFrame], DataFrame], make_generator) -> DataFrame:
@@ -91,5 +92,5 @@ def next_steps(answers: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     judged = answers.select("conv_id", "seq", derive.research_complete(F.col("content")).alias("done"))
     return judged.groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=RoundTracker(ttl_ms), outputStructType=NEXT_SCHEMA, outputMode="append",
-        timeMode="processingTime",
+        timeMode=time_mode(ttl_ms),
     )
