@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repolore import constants as C
 from repolore.functions import text as X
 from repolore.operators.ordered import join_text
+from repolore.session import fits
 
 REQUEST_SCHEMA = (
     "repo_url string, messages array<struct<role:string,content:string>>, filePath string, type string, "
@@ -212,10 +213,18 @@ def simplified_prompt(system, history, file_path, file_content, query, provider)
 
 def model_parameters(requests: DataFrame, models: DataFrame) -> DataFrame:
     """Attach ``params`` of (provider, model). An unknown model keeps its name and takes the default model's
-    parameters; an unknown provider sets ``error``. ``models``: (provider, model, params, is_default)."""
-    named = models.select("provider", F.col("model").alias("_wanted"), F.col("params").alias("_own"))
-    default = models.where("is_default").select(
-        "provider", F.col("model").alias("_default"), F.col("params").alias("_default_params")
+    parameters; an unknown provider sets ``error``. ``models``: (provider, model, params, is_default), broadcast after
+    a size check: requests crowd on few providers."""
+    small = fits(models, 10_000)
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
+    named = side(models.select("provider", F.col("model").alias("_wanted"), F.col("params").alias("_own")))
+    default = side(
+        models.where("is_default").select(
+            "provider", F.col("model").alias("_default"), F.col("params").alias("_default_params")
+        )
     )
     wanted = F.coalesce(F.nullif("model", F.lit("")), F.col("_default"))
     return (

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from repolore import constants as C
 from repolore.functions.text import is_blank
+from repolore.session import keep_small
 
 
 class Embedder(Protocol):
@@ -100,8 +101,9 @@ def first_dims(vectors: DataFrame, pos: str = "chunk_id") -> DataFrame:
 
 
 def keep_dim(vectors: DataFrame, dims: DataFrame) -> DataFrame:
-    """Rows whose vector has its repo's size. ``dims`` has one row per repo; a hot repo is split by AQE."""
-    d = dims.select("repo", F.col("dim").alias("_dim"))
+    """Rows whose vector has its repo's size. ``dims`` has one row per repo and is broadcast while that is few, so
+    vectors stay where they are."""
+    d = keep_small(dims.select("repo", F.col("dim").alias("_dim")))
     return vectors.where(_usable()).join(d, "repo").where(F.size("vector") == F.col("_dim")).drop("_dim")
 
 
@@ -163,21 +165,24 @@ def text_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def missing_texts(chunks: DataFrame, store: DataFrame, model: str) -> DataFrame:
+def missing_texts(chunks: DataFrame, store: DataFrame, model: str, id: str = "chunk_id") -> DataFrame:
     """Distinct texts (text_hash, text) that the store has no vector for under ``model``.
 
-    Copies collapse before the shuffle, so a text that fills a third of the corpus is embedded once.
+    Hashes are compared first, with one id per hash (partial minimum), so a text that fills a third of the corpus is
+    one row before the shuffle. Texts are then fetched by unique id, only for what is missing.
     """
-    hashed = chunks.select(text_hash(F.col("text")).alias("text_hash"), "text").dropDuplicates(["text_hash"])
+    hashed = chunks.select(F.col(id).alias("_id"), text_hash(F.col("text")).alias("text_hash"))
     known = store.where(F.col("model") == model).select("text_hash")
-    return hashed.join(known, "text_hash", "left_anti")
+    todo = hashed.groupBy("text_hash").agg(F.min("_id").alias("_id")).join(known, "text_hash", "left_anti")
+    return chunks.select(F.col(id).alias("_id"), "text").join(todo, "_id").select("text_hash", "text")
 
 
 def embed_missing(
-    chunks: DataFrame, store: DataFrame, model: str, make_embedder: Callable[[], Embedder], force: bool = False
+    chunks: DataFrame, store: DataFrame, model: str, make_embedder: Callable[[], Embedder], force: bool = False,
+    id: str = "chunk_id",
 ) -> DataFrame:
     """New store rows (text_hash, model, vector) to append; everything again when ``force``."""
-    todo = missing_texts(chunks, store.limit(0) if force else store, model)
+    todo = missing_texts(chunks, store.limit(0) if force else store, model, id)
     done = embed(todo, make_embedder).where("error IS NULL")
     return done.select("text_hash", F.lit(model).alias("model"), "vector")
 

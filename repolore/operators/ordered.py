@@ -1,47 +1,16 @@
-"""Order-dependent work that stays spread out when one key holds a large share of the rows.
-
-A plain ``row_number()``/running ``sum()`` window puts a whole key into one task. Here the key is cut into
-position blocks: the window runs per (key, block) and the much smaller table of block totals supplies the offset.
-"""
+"""Ordered texts and top-n rows per key that stay safe when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Longest text put into one cell; longer ones stay as ordered rows, which are always complete.
 MAX_CELL_CHARS = 256_000_000
 
 
-def _with_offsets(df: DataFrame, keys: Sequence[str], pos: str, measure, block: int, out: str) -> DataFrame:
-    blk = F.floor(F.col(pos) / block)
-    blocked = df.withColumn("_blk", blk)
-    totals = blocked.groupBy(*keys, "_blk").agg(F.sum(measure).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        blocked.withColumn("_run", F.sum(measure).over(inside))
-        .join(offsets, [*keys, "_blk"])
-        .withColumn(out, F.col("_off") + F.col("_run"))
-        .drop("_blk", "_off", "_run")
-    )
-
-
-def number_rows(df: DataFrame, keys: Sequence[str], pos: str, out: str = "n", block: int = 65_536) -> DataFrame:
-    """Dense 1-based numbers per key by an integer column ``pos`` that is unique within the key."""
-    return _with_offsets(df, keys, pos, F.lit(1).cast("bigint"), block, out)
-
-
-def running_total(
-    df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str = "total", block: int = 65_536
-) -> DataFrame:
-    """Inclusive running sum of ``value`` per key in ``pos`` order."""
-    return _with_offsets(df, keys, pos, F.col(value), block, out)
-
-
 def join_text(
     parts: DataFrame,
     keys: Sequence[str],
@@ -51,22 +20,26 @@ def join_text(
     out: str = "text",
     max_chars: int = MAX_CELL_CHARS,
 ) -> DataFrame:
-    """One ordered text per key, plus its length ``n_chars``.
+    """(keys, n_chars, out): one ordered text per key.
 
-    Lengths are summed first (partial sums on the map side). Only keys whose text fits in a cell are gathered; for
-    longer ones the text is null and ``parts`` itself, written in order, is the result.
+    A key whose text would be longer than ``max_chars`` is not gathered: its ``out`` is null and ``parts``, written in
+    order, is its result. Such keys are found with partial sums; there are at most (all characters / ``max_chars``) of
+    them, some hundred thousand in 100 TB, which bounds the broadcast that keeps their rows out of the shuffle.
     """
-    sizes = parts.groupBy(*keys).agg(
-        (F.sum(F.length(text)) + F.lit(len(sep)) * (F.count(text) - 1)).cast("bigint").alias("n_chars")
-    )
-    small = sizes.where(F.col("n_chars") <= max_chars).select(*keys)
-    gathered = (
-        parts.join(small, list(keys), "left_semi")
+
+    def length(n_chars: Column, n: Column) -> Column:
+        return (n_chars + F.lit(len(sep)) * (n - 1)).cast("bigint").alias("n_chars")
+
+    sizes = parts.groupBy(*keys).agg(length(F.sum(F.length(text)), F.count(text)))
+    long = sizes.where(F.col("n_chars") > max_chars)
+    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
+    short = (
+        parts.join(F.broadcast(long.select(*keys)), list(keys), "left_anti")
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t")))).alias("_parts"))
-        .select(*keys, F.array_join(F.transform("_parts", lambda p: p["_t"]), sep).alias(out))
+        .agg(length(F.sum(F.length(text)), F.count(text)), ordered.alias("_parts"))
+        .select(*keys, "n_chars", F.array_join(F.transform("_parts", lambda p: p["_t"]), sep).alias(out))
     )
-    return sizes.join(gathered, list(keys), "left")
+    return short.unionByName(long.withColumn(out, F.lit(None).cast("string")))
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, out: str = "rank") -> DataFrame:

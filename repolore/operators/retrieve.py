@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from repolore import constants as C
 from repolore.operators.ordered import top_n
-from repolore.session import fits
+from repolore.session import keep_small
 
 HIT_SCHEMA = "query_id bigint, chunk_id bigint, score double"
 QUERY_BLOCK = 256
+MAX_BROADCAST_QUERIES = 20_000
+MAX_BROADCAST_FLOATS = 8_000_000  # 64 MB in double precision
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -99,7 +101,7 @@ def _search_by_blocks(queries: DataFrame, chunks: DataFrame, k: int, chunk_block
     def blocks(df: DataFrame, rows: int, out: str) -> DataFrame:
         return df.groupBy("repo").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias(out))
 
-    counts = blocks(c, chunk_block, "nc").join(blocks(q, query_block, "nq"), "repo")
+    counts = keep_small(blocks(c, chunk_block, "nc").join(blocks(q, query_block, "nq"), "repo"))
     cs = c.join(counts, "repo").select(
         "chunk_id", "repo", "vector",
         F.pmod(F.xxhash64("chunk_id"), F.col("nc")).cast("int").alias("cb"),
@@ -126,16 +128,27 @@ def _search_by_blocks(queries: DataFrame, chunks: DataFrame, k: int, chunk_block
     return qs.groupBy(*key).cogroup(cs.groupBy(*key)).applyInPandas(run, HIT_SCHEMA)
 
 
+def few(queries: DataFrame, max_rows: int = MAX_BROADCAST_QUERIES, max_floats: int = MAX_BROADCAST_FLOATS) -> bool:
+    """Whether the query vectors may be sent to every executor. Reads at most ``max_rows`` + 1 queries."""
+    n, floats = (
+        queries.select(F.size("vector").alias("d")).limit(max_rows + 1).agg(F.count("*"), F.sum("d")).first()
+    )
+    return n <= max_rows and (floats or 0) <= max_floats
+
+
 def search(
     queries: DataFrame,
     chunks: DataFrame,
     k: int = C.TOP_K,
-    max_broadcast_queries: int = 20_000,
+    broadcast_queries: bool | None = None,
     chunk_block: int = 50_000,
     query_block: int = 5_000,
 ) -> DataFrame:
-    """Top ``k`` chunks (query_id, chunk_id, score, rank) of the query's own repository."""
-    if fits(queries, max_broadcast_queries):
+    """Top ``k`` chunks (query_id, chunk_id, score, rank) of the query's own repository.
+
+    ``broadcast_queries``: result of ``few`` if the caller has it already.
+    """
+    if few(queries) if broadcast_queries is None else broadcast_queries:
         found = _search_by_broadcast(queries, chunks, k)
     else:
         found = _search_by_blocks(queries, chunks, k, chunk_block, query_block)
@@ -180,10 +193,10 @@ def group_by_file(hits: DataFrame) -> DataFrame:
 
 
 def context_text(hits: DataFrame) -> DataFrame:
-    """One context per query; files in order of their best hit."""
+    """One context per query; files in order of their best hit. One shuffle by query serves both groupings."""
     parts = F.array_sort(F.collect_list(F.struct("first_rank", "part")))
     return (
-        group_by_file(hits)
+        group_by_file(hits.repartition("query_id"))
         .groupBy("query_id")
         .agg(
             F.concat(

@@ -7,16 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from repolore import constants as C
 from repolore.operators import corpus, embed, retrieve
 from repolore.plans.fixtures import Tables
-from repolore.session import fits
-
-FEW_QUERIES = 20_000
 
 
 def hits(queries: DataFrame, vectors: DataFrame, k: int = C.TOP_K) -> DataFrame:
     """Search the usable vectors, then bring in file and text of the hits."""
-    few = fits(queries, FEW_QUERIES)
+    few = retrieve.few(queries)
     usable = embed.keep_modal_dim(vectors.select("repo", "chunk_id", "vector"))
-    found = retrieve.search(queries, usable, k, FEW_QUERIES)
+    found = retrieve.search(queries, usable, k, few)
     return retrieve.hydrate(found, vectors, few_hits=few)
 
 

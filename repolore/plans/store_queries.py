@@ -82,10 +82,10 @@ def _(t):
     path = scratch_dir(t.spark, "vectors")
     docs = t("documents").select("doc_id", "text")
     known = docs.join(t("labels"), "doc_id", "left_semi")
-    marked = embed.embed_missing(known, stores.read_embeddings(t.spark, path), "m1", _hash64)
+    marked = embed.embed_missing(known, stores.read_embeddings(t.spark, path), "m1", _hash64, id="doc_id")
     stores.append_embeddings(marked.withColumn("vector", F.transform("vector", lambda x: x * 0)), path)
     before = stores.read_embeddings(t.spark, path)
-    new = embed.embed_missing(docs, before, "m1", _hash64)
+    new = embed.embed_missing(docs, before, "m1", _hash64, id="doc_id")
     stores.append_embeddings(new, path)
     full = embed.attach_vectors(docs, stores.read_embeddings(t.spark, path), "m1")
     origin = F.when(F.get("vector", F.lit(0)) == 0, "stored").otherwise("new")

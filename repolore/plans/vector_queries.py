@@ -92,7 +92,7 @@ def _store(t):
 @query("emb7_missing_only", """SELECT DISTINCT sha256(text) AS text_hash, 'm1' AS model, CASE WHEN trim(text) = '' THEN 64 ELSE 64 END AS dim
    FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))""")
 def _(t):
-    new = embed.embed_missing(t("documents").select("text"), _store(t), "m1", _hash64)
+    new = embed.embed_missing(t("documents").select("doc_id", "text"), _store(t), "m1", _hash64, id="doc_id")
     return new.select("text_hash", "model", F.size("vector").alias("dim"))
 
 
@@ -126,7 +126,7 @@ def _(t):
 @query("ret1_topk_blocks", "SELECT query_id, chunk_id, score, rank FROM hits", _FX, ctes=_HITS)
 def _(t):
     """The form for more queries than may be broadcast."""
-    return retrieve.search(t("fx_queries"), t("fx_chunk_vectors"), max_broadcast_queries=0, chunk_block=500, query_block=64)
+    return retrieve.search(t("fx_queries"), t("fx_chunk_vectors"), broadcast_queries=False, chunk_block=500, query_block=64)
 
 
 @query("ret2_hydrate", "SELECT query_id, rank, chunk_id, file_path, text FROM hits", _FX, ctes=_HITS)
