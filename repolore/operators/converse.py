@@ -58,15 +58,16 @@ def explode_messages(requests: DataFrame) -> DataFrame:
 
 
 def pair_turns(messages: DataFrame) -> DataFrame:
-    """User/assistant pairs by position. Grouped by (conversation, position div 2): at most two rows per group, so a
-    huge conversation spreads over all tasks."""
-    even = F.col("turn") % 2 == 0
-    user = F.max(F.when(even & (F.col("role") == "user"), F.col("content"))).alias("user_text")
-    reply = F.max(F.when(~even & (F.col("role") == "assistant"), F.col("content"))).alias("assistant_text")
-    return (
-        messages.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair_no"))
-        .agg(user, reply)
-        .where("user_text IS NOT NULL AND assistant_text IS NOT NULL")
+    """User/assistant pairs by position: even places meet the odd place behind them.
+
+    Joined on (conversation, position div 2), which is unique on both sides, so a huge conversation spreads over all
+    tasks, and rows of the wrong role or place are dropped before the shuffle.
+    """
+    pair_no = F.floor(F.col("turn") / 2).alias("pair_no")
+    asked = messages.where((F.col("turn") % 2 == 0) & (F.col("role") == "user"))
+    replied = messages.where((F.col("turn") % 2 == 1) & (F.col("role") == "assistant"))
+    return asked.select("conv_id", pair_no, F.col("content").alias("user_text")).join(
+        replied.select("conv_id", pair_no, F.col("content").alias("assistant_text")), ["conv_id", "pair_no"]
     )
 
 
@@ -99,7 +100,10 @@ def clean_tag(content: Column) -> Column:
 
 
 def request_state(messages: DataFrame) -> DataFrame:
-    """One row per conversation, one aggregate with partial sums: validity, research flag, iteration, query, phase."""
+    """One row per conversation: validity, research flag, iteration, query, phase.
+
+    One aggregate whose partial results hold two texts per conversation, so each task sends those instead of messages.
+    """
     content, lowered = F.col("content"), F.lower("content")
     original = (F.col("role") == "user") & ~lowered.contains("continue")
     agg = messages.groupBy("conv_id").agg(
