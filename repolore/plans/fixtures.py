@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from repolore.operators import corpus
 
+N_VECTORS = "(SELECT count(*) FROM embeddings)"
 BASE = ["documents", "embeddings", "conversations", "pages", "events", "labels", "benchmark", "orders", "lineitem"]
 
 
@@ -295,7 +296,10 @@ class Tables:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         base = [f"{b} AS (SELECT * FROM parquet.`{self.sf_dir}/{b}.parquet`)" for b in _base_of(name)]
         ctes = base + [f"{n} AS ({FX[n].spark_sql()})" for n in _closure((name,))]
-        return self.spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
+        text = f"WITH {', '.join(ctes)} SELECT * FROM {name}"
+        if N_VECTORS in text:  # a literal: join keys with scalar subqueries are not always ready in time in Spark 4.1
+            text = text.replace(N_VECTORS, str(self("embeddings").count()))
+        return self.spark.sql(text)
 
     def stream(self, name: str) -> DataFrame:
         """The same rows as a stream: a base table, or a derived input over one base table."""
