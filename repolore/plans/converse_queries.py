@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from repolore import constants as C
 from repolore.functions import urls
 from repolore.operators import converse, corpus, generate, retrieve
+from repolore.operators.ordered import join_text
 from repolore.plans import vector_queries as V
 from repolore.plans.corpus_queries import _LISTED, _NAME
 from repolore.plans.identity_queries import _LANG_VALUES
@@ -36,18 +37,16 @@ def _state(t):
 
 def _bodies(t):
     """Request JSON as a client sends it; absent fields are left out."""
-    msgs = t("fx_messages").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("_m")
-    )
+    message = F.to_json(F.struct("role", "content"))
+    msgs = join_text(t("fx_messages").select("conv_id", "turn", message.alias("m")), ["conv_id"], ["turn"], "m", ",", "ms")
     even = F.col("conv_id") % 2 == 0
-    body = F.to_json(
+    rest = F.to_json(
         F.struct(
-            "repo_url",
-            F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
-            F.col("file_path").alias("filePath"), F.when(even, F.col("type")).alias("type"),
+            "repo_url", F.col("file_path").alias("filePath"), F.when(even, F.col("type")).alias("type"),
             F.when(~even, F.col("provider")).alias("provider"), "model", "language", "excluded_dirs",
         )
     )
+    body = F.concat(F.lit('{"messages":['), F.col("ms"), F.lit("],"), F.substr(rest, F.lit(2)))
     return t("fx_requests").join(msgs, "conv_id").select("conv_id", body.alias("body"))
 
 

@@ -45,7 +45,8 @@ _fx(
 SELECT doc_id, source AS repo,
  concat(CASE doc_id%8 WHEN 0 THEN 'src' WHEN 1 THEN 'src/core' WHEN 2 THEN 'tests' WHEN 3 THEN 'docs'
         WHEN 4 THEN 'node_modules/x' WHEN 5 THEN 'app/ui' WHEN 6 THEN '.github/flows' ELSE 'build' END, '/',
-  CASE WHEN doc_id%41=0 THEN 'README.md' WHEN doc_id%43=0 THEN 'yarn.lock'
+  CASE WHEN doc_id%41=0 THEN concat('p', cast(doc_id AS varchar(20)), '/README.md')
+    WHEN doc_id%43=0 THEN concat('p', cast(doc_id AS varchar(20)), '/yarn.lock')
   ELSE concat(CASE WHEN doc_id%13=0 THEN 'test_' WHEN doc_id%17=0 THEN '_' WHEN doc_id%19=0 THEN '.' ELSE '' END,
    'doc_', cast(doc_id AS varchar(20)),
    CASE doc_id%9 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.js' WHEN 3 THEN '.json' WHEN 4 THEN '.ts'
@@ -199,7 +200,7 @@ FROM conversations WHERE role = 'assistant'""",
 _fx(
     "fx_sse",
     """
-SELECT user_id AS response_id, event_id AS seq,
+SELECT cast(floor(event_id/200.0) AS bigint) AS response_id, event_id AS seq,
  CASE event_id%10 WHEN 0 THEN ': ping' WHEN 1 THEN '' WHEN 2 THEN 'data: {bad'
   WHEN 3 THEN concat('data: {"choices":[{"text":"t', cast(event_id AS varchar(12)), '"}]}')
   ELSE CASE WHEN event_id%97=0 THEN 'data: [DONE]'
@@ -209,7 +210,7 @@ FROM events""",
 _fx(
     "fx_deltas",
     """
-SELECT user_id AS response_id, event_id AS seq,
+SELECT cast(floor(event_id/200.0) AS bigint) AS response_id, event_id AS seq,
  CASE event_id%6 WHEN 0 THEN NULL WHEN 1 THEN 'model=x' WHEN 2 THEN concat('<think>', event_type, '</think>')
    WHEN 3 THEN 'created_at=now' ELSE concat(event_type, ' ') END AS delta,
  CASE WHEN event_id%5=0 THEN concat('id-', cast(event_id AS varchar(12))) ELSE '' END AS id,
@@ -306,7 +307,8 @@ class Tables:
         base = name if name not in FX else _base_of(name)[0]
         path = f"{self.sf_dir}/{base}.parquet"
         pattern = path.replace(".parquet", ".parque[t]")  # a stream takes a single file only as a pattern
-        rows = self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(pattern)
+        schema = self.spark.read.parquet(path).schema
+        rows = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(pattern)
         if name not in FX:
             return rows
         view = f"stream_{name}_{uuid.uuid4().hex}"

@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DELTA_SCHEMA = "response_id bigint, seq bigint, delta string"
 SEGMENT_SCHEMA = "response_id bigint, from_seq bigint, to_seq bigint, text string"
 TEXT_SCHEMA = "response_id bigint, seq bigint, text string"
+BLOCK = 4_096
 
 
 def _in_order(rows: Iterator[pd.DataFrame], last: int) -> pd.DataFrame:
@@ -64,7 +66,7 @@ class LineParser(StatefulProcessor):
 
 
 class SegmentBuilder(StatefulProcessor):
-    """Deltas to one segment per response and micro-batch."""
+    """Deltas to one segment per position block and micro-batch."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
@@ -111,19 +113,24 @@ def time_mode(ttl_ms: int | None) -> str:
     return "processingTime" if ttl_ms else "none"
 
 
-def _run(stream: DataFrame, processor, schema: str, mode: str) -> DataFrame:
-    return stream.groupBy("response_id").transformWithStateInPandas(
+def _run(stream: DataFrame, keys: list[str], processor, schema: str, mode: str) -> DataFrame:
+    return stream.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time_mode(processor.ttl_ms)
     )
 
 
 def parse_chunks(chunks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    return _run(chunks.select("response_id", "seq", "data"), LineParser(ttl_ms), DELTA_SCHEMA, "append")
+    """A line may run on into the next chunk, so a response is read in one place; one model answer is its size."""
+    return _run(chunks.select("response_id", "seq", "data"), ["response_id"], LineParser(ttl_ms), DELTA_SCHEMA, "append")
 
 
 def segments(deltas: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    return _run(deltas.select("response_id", "seq", "delta"), SegmentBuilder(ttl_ms), SEGMENT_SCHEMA, "append")
+    """Grouped by blocks of positions: a response with very many deltas spreads over tasks, each with at most a block.
+
+    Within a block deltas arrive in order of micro-batches; positions at or below the last one seen are repeats."""
+    blocked = deltas.select("response_id", F.floor(F.col("seq") / BLOCK).alias("block"), "seq", "delta")
+    return _run(blocked, ["response_id", "block"], SegmentBuilder(ttl_ms), SEGMENT_SCHEMA, "append")
 
 
 def growing_text(deltas: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    return _run(deltas.select("response_id", "seq", "delta"), GrowingText(ttl_ms), TEXT_SCHEMA, "update")
+    return _run(deltas.select("response_id", "seq", "delta"), ["response_id"], GrowingText(ttl_ms), TEXT_SCHEMA, "update")
