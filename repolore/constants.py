@@ -70,6 +70,12 @@ TOKEN_LIMIT_ERRORS = ["maximum context length", "token limit", "too many tokens"
 NO_CONTEXT_NOTE = "<note>Answering without retrieval augmentation.</note>"
 SIMPLIFIED_NOTE = "<note>Answering without retrieval augmentation due to input size constraints.</note>"
 
+# --- model calls: request bodies per vendor -----------------------------------------------------------
+ANTHROPIC_VERSION = "bedrock-2023-05-31"
+MAX_ANSWER_TOKENS = 4096
+TEMPERATURE = 0.7
+TOP_P = 0.8
+
 # --- wiki -----------------------------------------------------------------------------------------
 CATEGORIES = [
     ("overview", "Overview", ["overview", "introduction", "about"]),
@@ -93,6 +99,11 @@ LOADING_CONTENT = "Loading..."
 
 # --- derived documents ------------------------------------------------------------------------------
 NO_SUMMARY = "No summary available"
+SLIDE_DOTTED = r"[0-9]+\.[{s}]+(.*?)(?=\n[0-9]+\.|\n*\z)"
+SLIDE_BRACKETED = r"[0-9]+\)[{s}]+(.*?)(?=\n[0-9]+\)|\n*\z)"
+SLIDE_NAMED = r"(?i)Slide[{s}]+[0-9]+[{s}]*:?[{s}]*(.*?)(?=\nSlide|\n*\z)"
+SLIDE_TITLED = r"(?m)^([^:\n]+)(?::[{s}]*(.*?))?$"
+SLIDE_TITLE_BLOCKERS = ["please", "here"]
 DEFAULT_SLIDES = [
     "Title Slide: Introduction to {repo}",
     "Overview: Key features and purpose of {repo}",

@@ -79,23 +79,18 @@ def pack(pages: DataFrame, budget: int = C.PACK_BUDGET) -> DataFrame:
 
 def slide_items(plan: Column, repo: Column) -> Column:
     """Slide lines of a plan: four patterns in turn, else the default deck."""
-    s = X.SPACE
 
     def found(pattern: str) -> Column:
-        return F.regexp_extract_all(plan, F.lit(pattern), F.lit(1))
+        return F.regexp_extract_all(plan, F.lit(pattern.replace("{s}", X.SPACE)), F.lit(1))
 
-    dotted = found(rf"[0-9]+\.[{s}]+(.*?)(?=\n[0-9]+\.|\n*\z)")
-    bracketed = found(rf"[0-9]+\)[{s}]+(.*?)(?=\n[0-9]+\)|\n*\z)")
-    named = found(rf"(?i)Slide[{s}]+[0-9]+[{s}]*:?[{s}]*(.*?)(?=\nSlide|\n*\z)")
     titled = F.filter(
-        found(rf"(?m)^([^:\n]+)(?::[{s}]*(.*?))?$"),
-        lambda t: (F.length(t) > 3) & ~F.lower(t).contains("please") & ~F.lower(t).contains("here"),
+        found(C.SLIDE_TITLED), lambda t: (F.length(t) > 3) & ~X.contains_any(F.lower(t), C.SLIDE_TITLE_BLOCKERS)
     )
     default = F.transform(
         F.array(*[F.lit(t) for t in C.DEFAULT_SLIDES]), lambda t: F.replace(t, F.lit("{repo}"), repo)
     )
     pick = default
-    for option in (titled, named, bracketed, dotted):
+    for option in (titled, *map(found, (C.SLIDE_NAMED, C.SLIDE_BRACKETED, C.SLIDE_DOTTED))):
         pick = F.when(F.size(option) > 0, option).otherwise(pick)
     return pick
 

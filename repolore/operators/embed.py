@@ -76,6 +76,15 @@ def embed(
     return df.mapInPandas(run, schema)
 
 
+def single_text(texts: Column) -> Column:
+    """``struct(query, error)``: a query may come as a list, but only of one text."""
+    one = F.size(texts) == 1
+    return F.struct(
+        F.when(one, F.get(texts, F.lit(0))).alias("query"),
+        F.when(one, None).otherwise("only a single text can be embedded as a query").alias("error"),
+    )
+
+
 def zero_blank(text: Column, vector: Column, dim: int) -> Column:
     """Zero vector where the text is blank."""
     return F.when(is_blank(text), F.array_repeat(F.lit(0.0).cast("float"), dim)).otherwise(vector)

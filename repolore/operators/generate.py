@@ -108,7 +108,7 @@ def vendor_family(model_id: Column) -> Column:
 
 
 def payload(family: Column, prompt: Column, messages: Column | None = None) -> Column:
-    """Request body as JSON text. Field names and numbers are fixed by the vendors."""
+    """Request body as JSON text in the vendor's form."""
 
     def text_part(t: Column) -> Column:
         return F.array(F.struct(F.lit("text").alias("type"), t.alias("text")))
@@ -127,29 +127,29 @@ def payload(family: Column, prompt: Column, messages: Column | None = None) -> C
         chat = F.when(F.coalesce(F.size(messages), F.lit(0)) > 0, many).otherwise(single)
     anthropic = F.to_json(
         F.struct(
-            F.lit("bedrock-2023-05-31").alias("anthropic_version"), chat.alias("messages"),
-            F.lit(4096).alias("max_tokens"),
+            F.lit(C.ANTHROPIC_VERSION).alias("anthropic_version"), chat.alias("messages"),
+            F.lit(C.MAX_ANSWER_TOKENS).alias("max_tokens"),
         )
     )
     amazon = F.to_json(
         F.struct(
             prompt.alias("inputText"),
             F.struct(
-                F.lit(4096).alias("maxTokenCount"), F.array().cast("array<string>").alias("stopSequences"),
-                F.lit(0.7).alias("temperature"), F.lit(0.8).alias("topP"),
+                F.lit(C.MAX_ANSWER_TOKENS).alias("maxTokenCount"), F.array().cast("array<string>").alias("stopSequences"),
+                F.lit(C.TEMPERATURE).alias("temperature"), F.lit(C.TOP_P).alias("topP"),
             ).alias("textGenerationConfig"),
         )
     )
     cohere = F.to_json(
         F.struct(
-            prompt.alias("prompt"), F.lit(4096).alias("max_tokens"), F.lit(0.7).alias("temperature"),
-            F.lit(0.8).alias("p"),
+            prompt.alias("prompt"), F.lit(C.MAX_ANSWER_TOKENS).alias("max_tokens"), F.lit(C.TEMPERATURE).alias("temperature"),
+            F.lit(C.TOP_P).alias("p"),
         )
     )
     ai21 = F.to_json(
         F.struct(
-            prompt.alias("prompt"), F.lit(4096).alias("maxTokens"), F.lit(0.7).alias("temperature"),
-            F.lit(0.8).alias("topP"),
+            prompt.alias("prompt"), F.lit(C.MAX_ANSWER_TOKENS).alias("maxTokens"), F.lit(C.TEMPERATURE).alias("temperature"),
+            F.lit(C.TOP_P).alias("topP"),
         )
     )
     return (
@@ -298,8 +298,8 @@ def flatten_catalogue(catalogues: DataFrame, key: str, body: str = "body") -> Da
     ).withColumn("is_default", F.col("model") == F.col("default_model"))
 
 
-def split_tagged_prompt(prompt: Column) -> Column:
-    """``<START_OF_SYSTEM_PROMPT>…`` text to an array of (role, content); one user message when tags are absent."""
+def split_tagged_prompt(prompt: Column, otherwise_role: str = "user") -> Column:
+    """``<START_OF_SYSTEM_PROMPT>…`` text to an array of (role, content); one message when tags are absent."""
     s = X.SPACE
     pattern = (
         rf"(?s)^<START_OF_SYSTEM_PROMPT>[{s}]*(.*?)[{s}]*<END_OF_SYSTEM_PROMPT>[{s}]*"
@@ -312,7 +312,7 @@ def split_tagged_prompt(prompt: Column) -> Column:
     system, user = F.regexp_extract(prompt, pattern, 1), F.regexp_extract(prompt, pattern, 2)
     both = F.array(message("system", system), message("user", user))
     return F.when(prompt.rlike(pattern) & (system != "") & (user != ""), both).otherwise(
-        F.array(message("user", prompt))
+        F.array(message(otherwise_role, prompt))
     )
 
 

@@ -6,6 +6,7 @@ from repolore.plans import (  # noqa: F401
     derive_queries,
     generate_queries,
     identity_queries,
+    lifecycle_queries,
     store_queries,
     stream_queries,
     vector_queries,
