@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from repolore import constants as C
 from repolore.functions import text as X
-from repolore.operators.ordered import top_n
 
 _LINE = r"[^\n\r\x{2028}\x{2029}]"
 
@@ -22,27 +21,37 @@ def _entry(title: Column, body: Column) -> Column:
     return F.concat(F.lit("## "), title, F.lit("\n"), body, F.lit("\n\n"))
 
 
+def _reachable(entries: DataFrame, cost: Column, budget: int, block: int = 65_536) -> DataFrame:
+    """Entries that the budget can still reach. ``cost`` is the least an entry adds.
+
+    Costs are summed per block of positions, and a block is dropped when those before it already pass the budget. What
+    is left per wiki is bounded (about ``budget`` / 6 entries and one block), whatever the size of the wiki.
+    """
+    blocked = entries.withColumn("_blk", F.floor(F.col("pos") / block))
+    before = Window.partitionBy("wiki_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy("wiki_id", "_blk").agg(F.sum(cost).alias("_c"))
+    keep = sums.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).where(F.col("_b") <= budget)
+    return blocked.join(keep.select("wiki_id", "_blk"), ["wiki_id", "_blk"], "left_semi").drop("_blk")
+
+
 def pack(pages: DataFrame, budget: int = C.PACK_BUDGET) -> DataFrame:
     """Which pages go into a wiki's context of about ``budget`` characters: (wiki_id, phase, pos, used, text).
 
     Phase 1: important pages in order up to and including the one that passes the budget. Phase 2, when room is left:
-    other pages in order, whole if they fit, else as summary, until the budget is passed.
-
-    Every entry has at least six characters, so no wiki needs more than budget/6 + 1 entries per phase: taking that
-    many leading pages is exact, and bounds what one task holds. Choices are made on lengths; texts join in last.
+    other pages in order, whole if they fit, else as summary, until the budget is passed. Choices are made on lengths;
+    texts join in last.
     """
-    most = budget // 6 + 2
     entries = pages.where(F.coalesce("content", F.lit("")) != "").select(
         "wiki_id", "pos", (F.col("importance") == "high").alias("high"),
         F.length(_entry(F.col("title"), F.col("content"))).alias("full"),
         F.length(_entry(F.col("title"), summary(F.col("content")))).alias("short"),
     )
     before = Window.partitionBy("wiki_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    important = top_n(entries.where("high"), ["wiki_id"], ["pos"], most)
+    important = _reachable(entries.where("high"), F.col("full"), budget)
     phase1 = important.withColumn("_b", F.coalesce(F.sum("full").over(before), F.lit(0))).where(F.col("_b") <= budget)
     spent = phase1.groupBy("wiki_id").agg(F.sum("full").alias("spent"))
 
-    others = top_n(entries.where("NOT high"), ["wiki_id"], ["pos"], most)
+    others = _reachable(entries.where("NOT high"), F.least("full", "short"), budget)
     gathered = (
         others.groupBy("wiki_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "full", "short"))).alias("items"))

@@ -43,6 +43,7 @@ def join_text(
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, out: str = "rank") -> DataFrame:
-    """First ``n`` rows per key. Spark cuts each task's share to ``n`` before the shuffle (WindowGroupLimit)."""
+    """First ``n`` rows per key. Spark cuts each task's share to ``n`` before the shuffle (WindowGroupLimit, for ``n`` up
+    to ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w).cast("bigint")).where(F.col(out) <= n)

@@ -205,6 +205,19 @@ def _pack_by_hand(pages, budget):
     return out
 
 
+def test_unreachable_blocks_are_dropped_exactly(spark):
+    rows = [("w", i * 3, 10 + i % 5) for i in range(200)] + [("v", 5, 1)]
+    df = spark.createDataFrame(rows, "wiki_id string, pos bigint, full int")
+    kept = {(r.wiki_id, r.pos) for r in derive._reachable(df, F.col("full"), 300, block=32).collect()}
+    total, needed = 0, set()
+    for w, p, n in rows[:200]:
+        if total > 300:
+            break
+        needed.add((w, p))
+        total += n
+    assert needed <= kept and len(kept) < 60 and ("v", 5) in kept
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_pack_equals_the_loop(spark, seed):
     rng = np.random.default_rng(seed)
