@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repolore import constants as C
-from repolore.functions.text import approx_tokens
+from repolore.functions.text import approx_tokens, is_blank
 
 
 def name(path: Column) -> Column:
@@ -91,9 +91,12 @@ def is_listed(path: Column) -> Column:
     return ~(pruned | F.startswith(name(path), F.lit(".")) | name(path).isin(C.LISTING_SKIPPED_FILES))
 
 
+def _unquote(x: Column) -> Column:
+    """Resolve percent escapes; '+' and a '%' that starts no escape stay."""
+    kept = F.replace(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(kept), x)
+
+
 def decode_list(field: Column) -> Column:
-    """Newline separated request field to values: blanks dropped, percent escapes resolved, '+' and bad escapes kept."""
-    kept = F.filter(F.split(field, "\n"), lambda x: x.rlike(r"\S"))
-    return F.transform(
-        kept, lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
-    )
+    """Newline separated request field to values: blanks dropped, percent escapes resolved."""
+    return F.transform(F.filter(F.split(field, "\n"), lambda x: ~is_blank(x)), _unquote)
