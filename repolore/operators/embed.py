@@ -197,6 +197,8 @@ def embed_missing(
 
 
 def attach_vectors(chunks: DataFrame, store: DataFrame, model: str) -> DataFrame:
-    """Chunks with their stored vector (null when there is none). Hot texts are split by AQE on the chunk side."""
-    s = store.where(F.col("model") == model).select("text_hash", "vector")
+    """Chunks with their stored vector (null when there is none). Hot texts are split by AQE on the chunk side.
+
+    A store appended to twice by a retried job may hold a text twice; one row per text is kept."""
+    s = store.where(F.col("model") == model).select("text_hash", "vector").dropDuplicates(["text_hash"])
     return chunks.withColumn("text_hash", text_hash(F.col("text"))).join(s, "text_hash", "left")

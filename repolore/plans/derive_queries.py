@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repolore import constants as C
-from repolore.functions import text as X
 from repolore.operators import derive
 from repolore.plans.registry import query
 

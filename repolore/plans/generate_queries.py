@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from repolore.functions import text as X
-from repolore.operators import converse, generate
+from repolore.operators import generate
 from repolore.plans.converse_queries import _STATE, _state
 from repolore.plans.registry import query
 from repolore.session import cut_lineage
