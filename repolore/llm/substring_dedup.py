@@ -28,7 +28,7 @@ _OUT = pa.schema([("bucket", pa.int32()), ("probe", pa.binary()), ("block", pa.b
 _HIT = pa.schema([("rk", pa.int64()), ("no", pa.int32())])
 _WIN_DDL = "bucket int, h1 binary, h2 binary, key binary, start binary, length binary, known boolean"
 _WIN = pa.schema([("bucket", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("key", pa.binary()), ("start", pa.binary()), ("length", pa.binary()), ("known", pa.bool_())])
-_SPAN = pa.schema([("rk", pa.int64()), ("spans", pa.binary())])
+_SPAN = pa.schema([("rk", pa.int64()), ("start", pa.int32()), ("length", pa.int32())])
 
 
 def _at_most_two(h: np.ndarray) -> np.ndarray:
@@ -119,13 +119,11 @@ def _spans(key: np.ndarray, pos: np.ndarray, *same: np.ndarray) -> tuple[np.ndar
 
 
 def _by_key(key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """One row per document with its spans as (first start, starts) pairs."""
+    """One row per run of consecutive positions in a document."""
     order = np.lexsort((pos, key))
     key, pos = key[order], pos[order].astype(np.int64)
     start, length = _spans(key, pos)
-    pairs = np.stack([pos[start], length], 1).astype("<u4")
-    at, n = A.runs(key[start])
-    return A.rows(_SPAN, {"rk": pa.array(key[start][at], pa.int64()), "spans": [pairs[s : s + k].tobytes() for s, k in zip(at, n, strict=True)]})
+    return A.rows(_SPAN, {"rk": pa.array(key[start], pa.int64()), "start": pa.array(pos[start].astype(np.int32)), "length": pa.array(length.astype(np.int32))})
 
 
 def _windows(block: int, window: int, n: int):
@@ -207,7 +205,7 @@ def _repeats(table: pa.Table) -> pa.Table:
 
 
 def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
-    """``rk, spans``: per document (key of doc_id and text) packed spans of starts of windows that also start elsewhere."""
+    """``rk, start, length``: runs of starts of windows that also start elsewhere, by document (key of doc_id and text)."""
     block, n = (window + 1) // 2, A.n_buckets(docs.sparkSession)
     keyed = keyed_docs(docs)
     probes = keyed.select("rk", "text").mapInArrow(_probes(block, window, n), "bucket int, probe binary, block binary, key binary, no binary")
@@ -215,24 +213,36 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
     hits = hits.groupBy("rk").agg(F.collect_set("no").alias("blocks"))  # at most one entry per block of the document
     found = keyed.join(hits, "rk").select("rk", "doc_id", "text", "blocks")
     sent = found.mapInArrow(_windows(block, window, n), _WIN_DDL)
-    return sent.groupBy("bucket").applyInArrow(_repeats, "rk long, spans binary")
+    return sent.groupBy("bucket").applyInArrow(_repeats, "rk long, start int, length int")
 
 
 def keyed_docs(docs: DataFrame) -> DataFrame:
     return A.with_text(docs, "doc_id").withColumn("rk", A.row_key("doc_id", "text")).select("rk", "doc_id", "text")
 
 
+def _per_row(column: pa.Array):
+    """The (start, length) arrays of a list column's rows, None for null."""
+    inner, ends, valid = column.flatten(), 0, column.is_valid().to_pylist()
+    start, length = (inner.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    for ok, size in zip(valid, column.value_lengths().to_pylist(), strict=True):
+        if not ok:
+            yield None
+            continue
+        yield {"start": start[ends : ends + size], "length": length[ends : ends + size]}
+        ends += size
+
+
 def _cut(window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(batches):
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, blobs in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), _per_row(batch.column("spans")), strict=True):
                 w = A.words(text)
                 mask = np.zeros(len(w) + 1, np.int32)
-                for blob in blobs or ():
-                    start, length = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64).T
+                if spans is not None:
+                    start, length = spans["start"].astype(np.int64), spans["length"].astype(np.int64)
                     np.add.at(mask, start, 1)
                     np.add.at(mask, start + length - 1 + window, -1)
                 covered = np.cumsum(mask[:-1]) > 0
@@ -246,6 +256,6 @@ def _cut(window: int):
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` for every row of ``docs`` (columns ``doc_id``, ``text``; others ignored)."""
-    places = repeated_windows(docs, window).groupBy("rk").agg(F.collect_list("spans").alias("spans"))
+    places = repeated_windows(docs, window).groupBy("rk").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     joined = keyed_docs(docs).join(places, "rk", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
