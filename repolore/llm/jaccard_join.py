@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolore.llm import arrays as A
-from repolore.llm.graph import components
-from repolore.session import cut_lineage
+from repolore.llm.graph import components, star_pairs
+from repolore.session import broadcast_if_small, cut_lineage
 
 #: Shingles in a block and sets in a cell: bound what a tree holds. Sets of a cell that one task sends.
 BLOCK, CELL, CROWD = 1_500_000, 20_000, 64
@@ -371,9 +371,9 @@ def _trees(num: int, den: int):
                     now, held = key, ([], [], [], [])
                 for x, y in zip(held, values, strict=True):
                     x.append(y)
-            yield A.rows(_EDGE, {"a": out[0], "b": out[1]})
-            out = ([], [])
-        a, b = _solve(num, den, *held)
+        for x, y in zip(out, _solve(num, den, *held), strict=True):
+            x.extend(y)
+        a, b = star_pairs(*out)
         yield A.rows(_EDGE, {"a": a, "b": b})
 
     return run
@@ -430,8 +430,10 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
 def _region_links(texts, classes, region, k, seed, num, den, block) -> DataFrame:
     region = region.select(F.col("id").alias("h1"), F.col("component").alias("region"))
     members = cut_lineage(classes.join(region, "h1").select("h1", "doc_id", "size", "region"))
-    weight = cut_lineage(members.groupBy("region").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks")))
-    members = cut_lineage(members.join(weight, "region").withColumn("block", F.pmod(F.xxhash64("h1", F.lit(7)), F.col("blocks")).cast("int")))
+    # only the regions of several blocks: few, however many sets there are
+    weight = cut_lineage(members.groupBy("region").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks")).filter("blocks > 1"))
+    members = members.join(broadcast_if_small(weight), "region", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("block", F.pmod(F.xxhash64("h1", F.lit(7)), F.col("blocks")).cast("int"))
     wanted = members.select("doc_id").distinct()
     tokens = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").mapInArrow(_tokens(k, seed), "id long, blob binary")
     held = cut_lineage(tokens.join(members.select(F.col("h1").alias("id"), "region", "blocks", "block"), "id"))
@@ -440,9 +442,9 @@ def _region_links(texts, classes, region, k, seed, num, den, block) -> DataFrame
     own = held.select(task("block").alias("task"), "id", "blob", none.alias("label"), none.alias("size"))
     pivot = held.filter("blocks > 1 and block = 0").select(F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("block"), "region", "id", "blob")
     links = _links(own.unionByName(pivot.select(task("block").alias("task"), "id", "blob", none.alias("label"), none.alias("size"))), num, den)
-    large = held.filter("blocks > 1")
-    if not large.take(1):
+    if not weight.take(1):
         return links
+    large = held.filter("blocks > 1")
     links = cut_lineage(links)
     now = components(links).select("id", F.col("component").alias("label"))
     large = cut_lineage(large.join(now, "id", "left").withColumn("label", F.coalesce("label", "id")))
