@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolore.llm import arrays as A
-from repolore.llm.bpe import PIECES, TOUCHING, Kept
+from repolore.llm.bpe import PIECES
 from repolore.session import cut_lineage, scratch_dir
 
 NO_ID = -(1 << 63)
@@ -38,7 +38,7 @@ _READ = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("byte_offset",
 
 
 class Ids:
-    """Token ids (uint16 bytes) of texts by a ranks file; kept by element, see ``bpe``."""
+    """Token ids of whole texts by a ranks file."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -46,18 +46,11 @@ class Ids:
         if max(ranks.values()) >= 65_535:
             raise ValueError("ids do not fit 16 bits")
         self.end = max(ranks.values()) + 1
-        self.ranks = tiktoken.Encoding("shards", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.touching = regex.compile(TOUCHING)
-        self.elements = Kept(lambda e: self.encode(" " + e))
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.ranks(text), "<u2").tobytes()
+        self.encoding = tiktoken.Encoding("shards", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.ranks = self.encoding.encode_ordinary
 
     def of(self, text: str) -> bytes:
-        if self.touching.search(text):
-            return self.encode(text)
-        first, *rest = text.split(" ")
-        return self.encode(first) + b"".join(map(self.elements.__getitem__, rest))
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
 
 
 _LOADED: dict[str, Ids] = {}
