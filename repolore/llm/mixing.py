@@ -148,8 +148,8 @@ def _pieces(batches):
 def taken_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: a row per whole pass, and one of the words in ``spans`` (runs joined by a space)."""
     key = docs.withColumn("_rk", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    got = mixed.filter("taken > 0").groupBy("rk").agg(F.collect_list(F.struct("passes", "spans")).alias("_rows"))
-    rows = key.dropDuplicates(["_rk"]).join(got, F.col("_rk") == F.col("rk"))
+    got = mixed.filter("taken > 0").groupBy(F.col("rk").alias("_got")).agg(F.collect_list(F.struct("passes", "spans")).alias("_rows"))
+    rows = key.dropDuplicates(["_rk"]).join(got, F.col("_rk") == F.col("_got"))
     rows = rows.select(*docs.columns, F.explode("_rows").alias("_row"))
     span = F.when(F.size("_row.spans") > 0, F.array(F.col("_row.spans"))).otherwise(F.array())
     whole = F.array_repeat(F.lit(None).cast("array<struct<start:bigint,end:bigint>>"), F.col("_row.passes").cast("int"))
