@@ -80,10 +80,6 @@ def token_cap(code: Column) -> Column:
     return F.when(code, F.lit(C.EMBED_TOKEN_LIMIT * C.CODE_TOKEN_FACTOR)).otherwise(F.lit(C.EMBED_TOKEN_LIMIT))
 
 
-def within_token_cap(path: Column, text: Column) -> Column:
-    return approx_tokens(text) <= token_cap(is_code(path))
-
-
 def is_listed(path: Column) -> Column:
     """Whether the tree listing shows the file."""
     dirs = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)

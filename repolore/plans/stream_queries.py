@@ -62,7 +62,7 @@ def _(t):
 def _(t):
     out, state = _paths(t, "str2")
     rows = _finish(jobs.write_batches(assemble.parse_chunks(_half_lines(t)), out, state), t.spark, out)
-    return rows.select("response_id", F.floor((F.floor(F.col("seq") / 1000) - 1) / 2).alias("seq"), "delta")
+    return rows.select("response_id", F.floor((F.col("seq") - 1) / 2).alias("seq"), "delta")
 
 
 @query("str3_live_stages", f"""SELECT conv_id, iteration, type, CASE type WHEN 'plan' THEN 'Research Plan' WHEN 'update' THEN

@@ -26,6 +26,7 @@ def build_session(master: str | None = None, app: str = "repolore", shuffle_part
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -59,7 +60,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than needed to tell."""
+    """Whether ``df`` has at most ``max_rows`` rows. Each input partition is computed up to that many rows, so give it a
+    checkpointed or cheap table."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
@@ -74,27 +76,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 def keep_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Compute a narrow per-key table once, then broadcast it if it is within the bound."""
     return broadcast_if_small(cut_lineage(df), max_rows)
-
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, unlike a local one."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than needed to tell."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only after the row bound was checked; otherwise the join is left to AQE.
-
-    Meant for narrow rows (ids, flags, short names), where the row bound is a size bound.
-    """
-    return F.broadcast(df) if fits(df, max_rows) else df

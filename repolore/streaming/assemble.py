@@ -1,7 +1,8 @@
 """Streamed answers: event lines and text deltas put back together per response.
 
-State per response is small (a position, an unfinished line, an end flag). What a micro-batch adds is emitted as a
-segment; a response's text is its segments in order, so a long answer never sits in the state.
+``segments`` keeps the positions seen in a block and emits what a micro-batch adds as runs of neighbouring positions, so
+rows may come late, in other files or partitions, and only true repeats are dropped. ``growing_text`` keeps the parts of one
+answer, ``parse_chunks`` an unfinished line. Chunks of raw lines must come in order, since a line may run on.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-DELTA_SCHEMA = "response_id bigint, seq bigint, delta string"
+DELTA_SCHEMA = "response_id bigint, seq bigint, line bigint, delta string"
 SEGMENT_SCHEMA = "response_id bigint, from_seq bigint, to_seq bigint, text string"
 TEXT_SCHEMA = "response_id bigint, seq bigint, text string"
 BLOCK = 4_096
@@ -39,7 +40,7 @@ def event_text(line: str) -> str | None:
 
 
 class LineParser(StatefulProcessor):
-    """Raw chunks (response_id, seq, data) to deltas. A line may be split over chunks and over micro-batches."""
+    """Raw chunks (response_id, seq, data) to deltas at (seq, line). A line may be split over chunks and over micro-batches."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
@@ -57,52 +58,66 @@ class LineParser(StatefulProcessor):
                 done = done or line.strip() == "data: [DONE]"
                 text = None if done else event_text(line)
                 if text:
-                    out.append((key[0], last * 1_000 + i, text))
+                    out.append((key[0], last, i, text))
         self.state.update((last, rest, done))
-        yield pd.DataFrame(out, columns=["response_id", "seq", "delta"]).astype({"response_id": "int64", "seq": "int64"})
+        yield pd.DataFrame(out, columns=["response_id", "seq", "line", "delta"]).astype(
+            {"response_id": "int64", "seq": "int64", "line": "int64"}
+        )
 
     def close(self) -> None:
         pass
 
 
+def _unseen(rows: Iterator[pd.DataFrame], seen: set[int]) -> pd.DataFrame:
+    """This micro-batch's rows at positions not seen before, by ``seq``."""
+    pdf = pd.concat(list(rows), ignore_index=True)
+    return pdf[~pdf["seq"].isin(seen)].drop_duplicates("seq").sort_values("seq", kind="stable")
+
+
 class SegmentBuilder(StatefulProcessor):
-    """Deltas to one segment per position block and micro-batch."""
+    """Deltas to segments of neighbouring positions. State: the positions seen in one block, as bits."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("position", "last bigint", self.ttl_ms)
+        self.state = handle.getValueState("seen", "bits string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.state.get()[0] if self.state.exists() else -1
-        new = _in_order(rows, last)
+        bits = int(self.state.get()[0], 16) if self.state.exists() else 0
+        base = key[1] * BLOCK
+        new = _unseen(rows, {base + i for i in range(bits.bit_length()) if bits >> i & 1})
         if len(new):
-            first, last = int(new["seq"].iloc[0]), int(new["seq"].iloc[-1])
-            self.state.update((last,))
-            text = "".join(new["delta"].fillna(""))
-            yield pd.DataFrame({"response_id": [key[0]], "from_seq": [first], "to_seq": [last], "text": [text]})
+            for seq in new["seq"]:
+                bits |= 1 << (int(seq) - base)
+            self.state.update((f"{bits:x}",))
+            run = (new["seq"].diff() != 1).cumsum()
+            found = new.assign(delta=new["delta"].fillna("")).groupby(run).agg(
+                from_seq=("seq", "min"), to_seq=("seq", "max"), text=("delta", "".join)
+            )
+            yield found.assign(response_id=key[0])[["response_id", "from_seq", "to_seq", "text"]].reset_index(drop=True)
 
     def close(self) -> None:
         pass
 
 
 class GrowingText(StatefulProcessor):
-    """Deltas to the text so far. Keeps one model answer per response in the state; its length is the model's limit."""
+    """Deltas to the text so far, in order of position. Keeps the parts of one model answer; its length is the model's limit."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("text", "last bigint, text string", self.ttl_ms)
+        self.state = handle.getValueState("parts", "parts string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, text = self.state.get() if self.state.exists() else (-1, "")
-        new = _in_order(rows, last)
+        parts = {int(k): v for k, v in json.loads(self.state.get()[0])} if self.state.exists() else {}
+        new = _unseen(rows, set(parts))
         if len(new):
-            last, text = int(new["seq"].iloc[-1]), text + "".join(new["delta"].fillna(""))
-            self.state.update((last, text))
-            yield pd.DataFrame({"response_id": [key[0]], "seq": [last], "text": [text]})
+            parts |= {int(q): d for q, d in zip(new["seq"], new["delta"].fillna(""), strict=True)}
+            self.state.update((json.dumps(sorted(parts.items())),))
+            text = "".join(parts[q] for q in sorted(parts))
+            yield pd.DataFrame({"response_id": [key[0]], "seq": [max(parts)], "text": [text]})
 
     def close(self) -> None:
         pass
@@ -127,7 +142,7 @@ def parse_chunks(chunks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 def segments(deltas: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Grouped by blocks of positions: a response with very many deltas spreads over tasks, each with at most a block.
 
-    Within a block deltas arrive in order of micro-batches; positions at or below the last one seen are repeats."""
+    A block's rows may arrive in any order and micro-batch; positions seen before are repeats."""
     blocked = deltas.select("response_id", F.floor(F.col("seq") / BLOCK).alias("block"), "seq", "delta")
     return _run(blocked, ["response_id", "block"], SegmentBuilder(ttl_ms), SEGMENT_SCHEMA, "append")
 

@@ -60,25 +60,27 @@ NEXT_SCHEMA = "conv_id bigint, seq bigint, iteration bigint, complete boolean, n
 
 
 class RoundTracker(StatefulProcessor):
-    """Judged answers (conv_id, seq, done) to the next step. State: iteration reached and whether it is over."""
+    """Judged answers (conv_id, seq, done) to the next step. State: positions counted (five at most) and
+    whether it is over. A late answer counts as the next iteration; only a repeated position is dropped."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("round", "last bigint, iteration bigint, closed boolean", self.ttl_ms)
+        self.state = handle.getValueState("round", "seen string, closed boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, iteration, closed = self.state.get() if self.state.exists() else (-1, 0, False)
+        text, closed = self.state.get() if self.state.exists() else ("", False)
+        seen = text.split(",") if text else []
         pdf = pd.concat(list(rows), ignore_index=True).drop_duplicates("seq").sort_values("seq")
         out = []
         for seq, done in pdf[["seq", "done"]].itertuples(index=False):
-            if closed or seq <= last:
+            if closed or str(seq) in seen:
                 continue
-            last, iteration = int(seq), iteration + 1
-            closed = bool(done) or iteration >= C.MAX_RESEARCH_ITERATIONS
-            out.append((key[0], last, iteration, closed, None if closed else C.CONTINUE_MESSAGE))
-        self.state.update((last, iteration, closed))
+            seen.append(str(seq))
+            closed = bool(done) or len(seen) >= C.MAX_RESEARCH_ITERATIONS
+            out.append((key[0], int(seq), len(seen), closed, None if closed else C.CONTINUE_MESSAGE))
+        self.state.update((",".join(seen), closed))
         yield pd.DataFrame(out, columns=["conv_id", "seq", "iteration", "complete", "next_message"]).astype(
             {"conv_id": "int64", "seq": "int64", "iteration": "int64", "complete": "bool"}
         )

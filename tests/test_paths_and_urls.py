@@ -81,11 +81,6 @@ def test_tokens(spark):
     assert one(spark, text.approx_tokens(F.col("s")), s="abcdefghi") == 2
 
 
-def test_bpe_tokens_fall_back_without_vocabulary(spark):
-    from repolore.functions.tokens import bpe_tokens
-
-    assert one(spark, bpe_tokens(F.col("s"), "no-such-encoding"), s="abcdefghi") == 2
-
 
 def test_template_braces(spark):
     got = one(spark, text.fill(F.col("s"), {"i": F.lit(3)}), s="a {i} {{i}} {other}")

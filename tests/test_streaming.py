@@ -36,7 +36,7 @@ def test_split_event_lines(spark, feed, tmp_path):
     rows = [(1, i, c) for i, c in enumerate(cuts)]
     batches = [rows[:4], rows[4:5] + rows[2:4], rows[5:]]  # the second batch repeats seen chunks
     deltas = run(spark, assemble.parse_chunks(feed(batches, "response_id bigint, seq bigint, data string")), tmp_path)
-    assert join_text(deltas, ["response_id"], ["seq"], "delta").first().text == "Hello"
+    assert join_text(deltas, ["response_id"], ["seq", "line"], "delta").first().text == "Hello"
 
 
 def test_segments_follow_each_other(spark, feed, tmp_path):
@@ -46,6 +46,19 @@ def test_segments_follow_each_other(spark, feed, tmp_path):
     assert got == {1: "abc", 2: "x"} and segs.where("response_id = 1").count() == 2
 
 
+def test_late_rows_are_kept(spark, feed, tmp_path):
+    batches = [[(1, 0, "a"), (1, 2, "c")], [(1, 1, "b"), (1, 3, "d"), (1, 2, "c")]]
+    segs = run(spark, assemble.segments(feed(batches, "response_id bigint, seq bigint, delta string")), tmp_path)
+    assert join_text(segs, ["response_id"], ["from_seq"], "text").first().text == "abcd"
+
+
+def test_many_lines_in_a_chunk(spark, feed, tmp_path):
+    line = 'data: {"choices":[{"delta":{"content":"x"}}]}\n'
+    rows = [[(1, i, line * 1500)] for i in range(2)]
+    deltas = run(spark, assemble.parse_chunks(feed(rows, "response_id bigint, seq bigint, data string")), tmp_path)
+    assert deltas.select("seq", "line").distinct().count() == 3000
+
+
 def test_growing_text_shows_stages(spark, feed, tmp_path):
     batches = [[(1, 0, "## Research ")], [(1, 1, "Plan\nfirst")], [(1, 2, " then")]]
     grown = assemble.growing_text(feed(batches, "response_id bigint, seq bigint, delta string"))
