@@ -19,7 +19,7 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{
 UNITS = rf"(?:[{SPACE}]*(?! )[{SPACE}])?'(?:s|t|re|ve|m|ll|d)|[{SPACE}]*(?:\p{{L}}+|\p{{N}}+|[^{SPACE}\p{{L}}\p{{N}}]+)|[{SPACE}]+"
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 #: Contractions of two letters, which their first letter alone does not form.
-HEAD = 6  # bytes of a piece whose state is kept for the next piece that starts alike
+HEAD = 3  # states of a piece are kept at multiples of so many bytes, for the next piece that starts alike
 CUT_SHORT = frozenset(("'re", "'ve", "'ll"))
 TOUCHING = rf" [{SPACE}]|[{SPACE}] |^[{SPACE}]|[{SPACE}]$"
 
@@ -27,7 +27,7 @@ TOUCHING = rf" [{SPACE}]|[{SPACE}] |^[{SPACE}]|[{SPACE}]$"
 class Kept(dict):
     """Values by element, worked out on first use; forgets all when ``limit`` is reached (it is refilled as needed)."""
 
-    def __init__(self, make, limit: int = 700_000):
+    def __init__(self, make, limit: int = 1_200_000):
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -69,7 +69,7 @@ class Vocabulary:
                 lengths.setdefault(t[-3:], set()).add(len(t))
         #: lengths of the tokens of three bytes and more, longest first, by their last three bytes
         self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in lengths.items()}
-        self.heads = Kept(lambda head: self._extend(head, [-1], [0]), 200_000)
+        self.heads = Kept(self._state, 200_000)
         self.elements = Kept(lambda e: self.steps(" " + e))
         self.whole = Kept(self.steps, 200_000)
 
@@ -83,10 +83,17 @@ class Vocabulary:
 
     def prefix_counts(self, piece: bytes) -> list[int]:
         """Token count of every prefix of one piece, by bytes, from 0."""
-        if len(piece) <= HEAD:
-            return self._extend(piece, [-1], [0])[1]
-        last, count = self.heads[piece[:HEAD]]
-        return self._extend(piece, last.copy(), count.copy())[1]
+        return self._state(piece)[1]
+
+    def _state(self, piece: bytes) -> tuple[list[int], list[int]]:
+        """(last, count) of a piece, continued from the kept state of its beginning."""
+        known = (len(piece) - 1) // HEAD * HEAD
+        if known <= 0:
+            return self._extend(piece, [-1], [0])
+        if known > 64 * HEAD:  # a very long piece goes on from a beginning of bounded depth
+            known = 64 * HEAD
+        last, count = self.heads[piece[:known]]
+        return self._extend(piece, last.copy(), count.copy())
 
     def _extend(self, piece: bytes, last: list[int], count: list[int]) -> tuple[list[int], list[int]]:
         get, follows, lengths = self.ids.get, self.follows.get, self.lengths.get
@@ -122,6 +129,8 @@ class Vocabulary:
         if text[1:].isalpha() and text[0] == " ":  # most elements
             counts = self._by_char(text)
             return bytes([(x - y) & 255 for x, y in zip(counts, [0, *counts], strict=False)])
+        if text[0:1] == " " and text[-1] in ".,;:!?" and text[1:-1].isalpha():  # and most others
+            return self.elements[text[1:-1]] + b"\1"
         out, base, run, run_base = [], 0, "", 0
         for piece in self.pieces.findall(text):
             counts = self._by_char(piece)
