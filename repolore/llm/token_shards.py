@@ -31,6 +31,8 @@ from repolore.llm.bpe import PIECES
 from repolore.session import cut_lineage, scratch_dir
 
 NO_ID = -(1 << 63)
+#: Characters from which a text's ids are held as an array at once.
+LONG = 1_000_000
 _HEAD = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n", "<i4")])
 _PART = pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_seqs", pa.int64()), ("digest", pa.int64())])
 _SEQ = pa.schema([("slot", pa.int64()), ("record", pa.binary())])
@@ -50,7 +52,14 @@ class Ids:
         self.ranks = self.encoding.encode_ordinary
 
     def of(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
+        return np.asarray(self._ids(text), "<u2").tobytes()
+
+    def count(self, text: str) -> int:
+        return len(self._ids(text))
+
+    def _ids(self, text: str) -> list[int] | np.ndarray:
+        # the list is made faster, the array is smaller
+        return self.ranks(text) if len(text) < LONG else self.encoding.encode_to_numpy(text, disallowed_special=())
 
 
 _LOADED: dict[str, Ids] = {}
@@ -89,7 +98,7 @@ def _count(path: str, length: int):
         enc, docs, seqs, check = ids(path), 0, 0, xxhash.xxh3_64()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                k = _n_seqs(len(enc.of(text)) // 2, length)
+                k = _n_seqs(enc.count(text), length)
                 docs, seqs = docs + 1, seqs + k
                 check.update(k.to_bytes(8, "little"))
         yield A.rows(_PART, {"part": [part], "n_docs": [docs], "n_seqs": [seqs], "digest": [check.intdigest() >> 1]})
