@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from repolore import constants as C
 from repolore.functions import text as X
 from repolore.operators.ordered import join_text
-from repolore.session import fits
+from repolore.session import cut_lineage, fits
 
 REQUEST_SCHEMA = (
     "repo_url string, messages array<struct<role:string,content:string>>, filePath string, type string, "
@@ -79,7 +79,7 @@ def turn_markup() -> Column:
 
 
 def render_history(pairs: DataFrame, **kw) -> DataFrame:
-    """(conv_id, n_chars, history)"""
+    """(conv_id, n_chars, history, error)"""
     parts = pairs.select("conv_id", "pair_no", turn_markup().alias("part"))
     return join_text(parts, ["conv_id"], ["pair_no"], "part", out="history", **kw)
 
@@ -142,8 +142,10 @@ def validate(requests: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def strip_tags(messages: DataFrame, state: DataFrame) -> DataFrame:
-    """Messages with the research tag removed from those equal to the conversation's last message."""
-    s = state.select("conv_id", "last_role", "last_content", "is_research")
+    """Messages with the research tag removed from those equal to the conversation's last message.
+
+    The state is checkpointed, so that AQE can split a huge conversation on the message side."""
+    s = cut_lineage(state.select("conv_id", "last_role", "last_content", "is_research"))
     same = (F.col("role") == F.col("last_role")) & (F.col("content") == F.col("last_content"))
     return (
         messages.join(s, "conv_id")
@@ -242,9 +244,10 @@ def model_parameters(requests: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
-def structure_prompt(repos: DataFrame, listing: DataFrame, readmes: DataFrame) -> DataFrame:
-    """Prompt per repository asking for its wiki plan, from its file tree and readme."""
-    tree = join_text(listing, ["repo"], ["file_path"], "file_path", sep="\n", out="file_tree").drop("n_chars")
+def structure_prompt(repos: DataFrame, listing: DataFrame, readmes: DataFrame, **kw) -> DataFrame:
+    """(repo, prompt, tree_error): prompt asking for the repository's wiki plan, from its file tree and readme. A tree that does
+    not fit one cell gives a null prompt and a ``tree_error``."""
+    tree = join_text(listing, ["repo"], ["file_path"], "file_path", sep="\n", out="file_tree", **kw).drop("n_chars")
     ask = F.concat(
         F.lit("Plan a wiki for repository "), F.col("repo"), F.lit(".\n\n<file_tree>\n"),
         F.coalesce("file_tree", F.lit("")), F.lit("\n</file_tree>\n\n<readme>\n"), F.coalesce("readme", F.lit("")),
@@ -252,7 +255,7 @@ def structure_prompt(repos: DataFrame, listing: DataFrame, readmes: DataFrame) -
     )
     return (
         repos.join(tree, "repo", "left").join(readmes.select("repo", "readme"), "repo", "left")
-        .select("repo", ask.alias("prompt"))
+        .select("repo", F.when(F.col("error").isNull(), ask).alias("prompt"), F.col("error").alias("tree_error"))
     )
 
 

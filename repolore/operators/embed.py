@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from repolore import constants as C
 from repolore.functions.text import is_blank
-from repolore.session import keep_small
+from repolore.session import cut_lineage, keep_small
 
 
 class Embedder(Protocol):
@@ -197,8 +197,9 @@ def embed_missing(
 
 
 def attach_vectors(chunks: DataFrame, store: DataFrame, model: str) -> DataFrame:
-    """Chunks with their stored vector (null when there is none). Hot texts are split by AQE on the chunk side.
+    """Chunks with their stored vector (null when there is none).
 
-    A store appended to twice by a retried job may hold a text twice; one row per text is kept."""
-    s = store.where(F.col("model") == model).select("text_hash", "vector").dropDuplicates(["text_hash"])
+    A store appended to twice by a retried job may hold a text twice; one row per text is kept, in a checkpoint: AQE splits
+    a hot text on the chunk side only where both sides come straight from a shuffle."""
+    s = cut_lineage(store.where(F.col("model") == model).select("text_hash", "vector").dropDuplicates(["text_hash"]))
     return chunks.withColumn("text_hash", text_hash(F.col("text"))).join(s, "text_hash", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from repolore import constants as C
 from repolore.functions import text as X
 from repolore.operators.ordered import join_text
+from repolore.session import keep_small
 
 RESPONSE_FIELDS = [
     T.StructField("response", T.StringType()),
@@ -256,9 +257,10 @@ def sse_delta(line: Column) -> Column:
 def parse_sse(lines: DataFrame) -> DataFrame:
     """(response_id, seq, delta) for event lines before the response's end mark.
 
-    The end position is one number per response, so only ids and numbers are aggregated.
+    The end position is one number per response, so only ids and numbers are aggregated. They are kept first, so that the
+    lines of a hot response stay in place (few ends) or are split by AQE (many).
     """
-    ends = lines.where(sse_done(F.col("line"))).groupBy("response_id").agg(F.min("seq").alias("_end"))
+    ends = keep_small(lines.where(sse_done(F.col("line"))).groupBy("response_id").agg(F.min("seq").alias("_end")))
     deltas = lines.select("response_id", "seq", sse_delta(F.col("line")).alias("delta")).where("delta IS NOT NULL")
     return (
         deltas.join(ends, "response_id", "left")
@@ -268,7 +270,8 @@ def parse_sse(lines: DataFrame) -> DataFrame:
 
 
 def fold_deltas(deltas: DataFrame, **kw) -> DataFrame:
-    """One completion per response: text in ``seq`` order, last non-empty id/model/created and usage."""
+    """One completion per response: text in ``seq`` order, last non-empty id/model/created and usage; ``error`` where the
+    text does not fit one cell."""
 
     def last(name: str) -> Column:
         ok = F.col(name).isNotNull() & (F.col(name).cast("string") != "")

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Longest text put into one cell; longer ones stay as ordered rows, which are always complete.
+from repolore.session import cut_lineage, keep_small
+
+# Longest text put into one cell; longer ones are given as ordered blocks, which are always complete.
 MAX_CELL_CHARS = 256_000_000
+BLOCK_CHARS = 4_000_000
 
 
 def join_text(
@@ -20,26 +23,53 @@ def join_text(
     out: str = "text",
     max_chars: int = MAX_CELL_CHARS,
 ) -> DataFrame:
-    """(keys, n_chars, out): one ordered text per key.
+    """(keys, n_chars, out, error): one ordered text per key.
 
-    A key whose text would be longer than ``max_chars`` is not gathered: its ``out`` is null and ``parts``, written in
-    order, is its result. Such keys are found with partial sums; there are at most (all characters / ``max_chars``) of
-    them, some hundred thousand in 100 TB, which bounds the broadcast that keeps their rows out of the shuffle.
+    A key whose text would be longer than ``max_chars`` is not gathered into a cell: it has an ``error`` and no ``out``,
+    and ``text_blocks`` gives its text. Such keys are found with partial sums; there are at most (all characters /
+    ``max_chars``) of them, some hundred thousand in 100 TB; they are broadcast only after a check.
     """
 
     def length(n_chars: Column, n: Column) -> Column:
         return (n_chars + F.lit(len(sep)) * (n - 1)).cast("bigint").alias("n_chars")
 
     sizes = parts.groupBy(*keys).agg(length(F.sum(F.length(text)), F.count(text)))
-    long = sizes.where(F.col("n_chars") > max_chars)
+    long = keep_small(sizes.where(F.col("n_chars") > max_chars))
     ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
     short = (
-        parts.join(F.broadcast(long.select(*keys)), list(keys), "left_anti")
+        parts.join(long.select(*keys), list(keys), "left_anti")
         .groupBy(*keys)
         .agg(length(F.sum(F.length(text)), F.count(text)), ordered.alias("_parts"))
-        .select(*keys, "n_chars", F.array_join(F.transform("_parts", lambda p: p["_t"]), sep).alias(out))
+        .select(*keys, "n_chars", F.array_join(F.transform("_parts", lambda p: p["_t"]), sep).alias(out),
+                F.lit(None).cast("string").alias("error"))
+    )
+    why = F.concat(F.lit("a text of "), F.col("n_chars").cast("string"), F.lit(" characters does not fit one cell"))
+    return short.unionByName(long.select(*keys, "n_chars", F.lit(None).cast("string").alias(out), why.alias("error")))
+
+
+def text_blocks(
+    parts: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str = "", block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """(keys, block, text): the ordered text of every key, of any length, cut at parts into blocks of about ``block_chars``.
+
+    The texts of a key in order of ``block`` give its whole text; all blocks but the first begin with ``sep``. Parts are
+    dealt by ranges of (keys, order), so a key that holds a third of the rows spreads over a third of the partitions.
+    Null parts are left out, as in ``join_text``; a part is never cut.
+    """
+    place = [*keys, *order]
+    dealt = parts.where(F.col(text).isNotNull()).select(*place, F.col(text).alias("_t"))
+    # the ranges are kept, so that both uses below see the same ones
+    dealt = cut_lineage(dealt.repartitionByRange(*place).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sized = dealt.withColumn("_b", F.floor(F.coalesce(F.sum(F.length("_t") + len(sep)).over(before), F.lit(0)) / block_chars))
+    pieces = F.array_sort(F.collect_list(F.struct(*order, "_t")))
+    blocks = sized.groupBy(*keys, "_p", "_b").agg(F.array_join(F.transform(pieces, lambda p: p["_t"]), sep).alias("text"))
+    first = keep_small(dealt.groupBy(*keys).agg(F.min("_p").alias("_first")))
+    begins = (F.col("_p") == F.col("_first")) & (F.col("_b") == 0)
+    block = F.col("_p").cast("bigint") * (1 << 32) + F.col("_b")
+    return blocks.join(first, list(keys)).select(
+        *keys, block.alias("block"), F.when(begins, F.col("text")).otherwise(F.concat(F.lit(sep), "text")).alias("text")
     )
-    return short.unionByName(long.withColumn(out, F.lit(None).cast("string")))
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, out: str = "rank") -> DataFrame:

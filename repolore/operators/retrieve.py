@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from repolore import constants as C
 from repolore.operators.ordered import top_n
-from repolore.session import keep_small
+from repolore.session import broadcast_if_small, keep_small
 
 HIT_SCHEMA = "query_id bigint, chunk_id bigint, score double"
 QUERY_BLOCK = 256
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_FLOATS = 8_000_000  # 64 MB in double precision
+MAX_BROADCAST_HITS = 1_000_000  # four numbers each
+MAX_FILTER_REPOS = 1_000
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -129,13 +131,25 @@ def _search_by_blocks(queries: DataFrame, chunks: DataFrame, k: int, chunk_block
 
 
 def few(queries: DataFrame, max_rows: int = MAX_BROADCAST_QUERIES, max_floats: int = MAX_BROADCAST_FLOATS) -> bool:
-    """Whether the query vectors may be sent to every executor. Reads at most ``max_rows`` + 1 queries."""
-    n, floats = (
-        queries.select(F.size("vector").alias("d")).limit(max_rows + 1).agg(F.count("*"), F.sum("d")).first()
-    )
+    """Whether the query vectors may be sent to every executor. All queries are computed; one count leaves each task."""
+    n, floats = queries.select(F.size("vector").alias("d")).agg(F.count("*"), F.sum("d")).first()
     return n <= max_rows and (floats or 0) <= max_floats
 
 
+def only_asked(queries: DataFrame, chunks: DataFrame, few_queries: bool) -> DataFrame:
+    """Chunks of the repositories that some query asks about.
+
+    Few repositories become a filter on ``repo``, which prunes the partitions of a chunk store before anything is read;
+    more of them a semi-join, broadcast after a check.
+    """
+    repos = queries.select("repo").where("repo IS NOT NULL").distinct()
+    if few_queries:
+        names = [r.repo for r in repos.limit(MAX_FILTER_REPOS + 1).collect()]
+        if len(names) <= MAX_FILTER_REPOS:
+            return chunks.where(F.col("repo").isin(names))
+    return chunks.join(broadcast_if_small(repos), "repo", "left_semi").select(*chunks.columns)
+
+
 def search(
     queries: DataFrame,
     chunks: DataFrame,
@@ -146,7 +160,7 @@ def search(
 ) -> DataFrame:
     """Top ``k`` chunks (query_id, chunk_id, score, rank) of the query's own repository.
 
-    ``broadcast_queries``: result of ``few`` if the caller has it already.
+    ``broadcast_queries``: result of ``few`` if the caller has it already; True without it puts all queries on the driver.
     """
     if few(queries) if broadcast_queries is None else broadcast_queries:
         found = _search_by_broadcast(queries, chunks, k)
@@ -156,8 +170,8 @@ def search(
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, few_hits: bool = False) -> DataFrame:
-    """Hits with their file and text. ``few_hits``: caller has checked the query count, so hits can be broadcast
-    and the chunk texts stay where they are."""
+    """Hits with their file and text. ``few_hits``: caller has checked that queries x k are within
+    ``MAX_BROADCAST_HITS``, so hits can be broadcast and the chunk texts stay where they are."""
     h = F.broadcast(hits) if few_hits else hits
     return chunks.select("chunk_id", "file_path", "text").join(h, "chunk_id")
 

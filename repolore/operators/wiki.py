@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from repolore import constants as C
 from repolore.functions import text as X
 from repolore.operators.ordered import top_n
-from repolore.session import cut_lineage
+from repolore.session import cut_lineage, keep_small
 
 XML_SCHEMA = """
 title string, description string,
@@ -200,10 +200,12 @@ def section_tree(sections: DataFrame, roots: DataFrame, max_depth: int | None =
 
 
 def navigation(wikis: DataFrame, tree: DataFrame, pages: DataFrame) -> DataFrame:
-    """Section rows where a wiki has any, else its pages as a flat list."""
+    """Section rows where a wiki has any, else its pages as a flat list. Ids are kept before they meet the pages, whose
+    hot wikis AQE can then split."""
     with_tree = tree.select("wiki_id").distinct()
+    without = keep_small(wikis.select("wiki_id").join(with_tree, "wiki_id", "left_anti"))
     flat = (
-        wikis.select("wiki_id").join(with_tree, "wiki_id", "left_anti").join(pages, "wiki_id")
+        without.join(pages, "wiki_id")
         .select("wiki_id", F.lit("page").alias("kind"), F.col("id").alias("item"), F.lit(0).cast("bigint").alias("depth"))
     )
     return tree.select("wiki_id", F.lit("section").alias("kind"), F.col("section_id").alias("item"), "depth").unionByName(

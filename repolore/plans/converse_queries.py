@@ -74,13 +74,13 @@ _TURN = """concat('<turn>', chr(10), '<user>', user_text, '</user>', chr(10), '<
 @query("cnv2_history", f"""SELECT conv_id, string_agg({_TURN}, '' ORDER BY pair_no) AS history,
    sum(length({_TURN}))::BIGINT AS n_chars FROM pairs GROUP BY conv_id""", ("fx_messages",), ctes=_PAIRS)
 def _(t):
-    return converse.render_history(converse.pair_turns(t("fx_messages")))
+    return converse.render_history(converse.pair_turns(t("fx_messages"))).drop("error")
 
 
 @query("cnv2_numbered_history", """SELECT conv_id, string_agg(concat(pair_no, '.', chr(10), 'User: ', user_text, chr(10), 'You: ',
    assistant_text, chr(10)), '' ORDER BY pair_no) AS history FROM pairs GROUP BY conv_id""", ("fx_messages",), ctes=_PAIRS)
 def _(t):
-    return converse.numbered_history(converse.pair_turns(t("fx_messages"))).drop("n_chars")
+    return converse.numbered_history(converse.pair_turns(t("fx_messages"))).drop("n_chars", "error")
 
 
 @query("cnv3_validation", """SELECT d.doc_id AS conv_id, CASE WHEN a.n_messages IS NULL OR a.last_role <> 'user' THEN 400::BIGINT END AS error_code,
@@ -192,7 +192,7 @@ def _(t):
    WHERE lower({_NAME}) = 'readme.md' AND text <> '' AND {_LISTED}) WHERE rn = 1) m USING (repo)""", ("fx_files",))
 def _(t):
     f = t("fx_files")
-    return converse.structure_prompt(f.select("repo").distinct(), corpus.list_tree(f), corpus.pick_readme(f))
+    return converse.structure_prompt(f.select("repo").distinct(), corpus.list_tree(f), corpus.pick_readme(f)).drop("tree_error")
 
 
 @query("cnv13_page_prompt", """SELECT wiki_id, id, concat('Write the wiki page ''', title, ''' in Markdown.', chr(10), chr(10), '<details>', chr(10),

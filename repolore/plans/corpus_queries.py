@@ -134,7 +134,7 @@ def _dumps(t):
   GROUP BY repo""", ("fx_files",))
 def _(t):
     rows = corpus.explode_tree_dump(_dumps(t))
-    return join_text(rows, ["repo"], ["page", "pos"], "path", sep="\n", out="file_tree").drop("n_chars")
+    return join_text(rows, ["repo"], ["page", "pos"], "path", sep="\n", out="file_tree").drop("n_chars", "error")
 
 
 @query("src5_contents_decode", """SELECT doc_id, CASE WHEN doc_id%10 IN (1, 2, 3) THEN NULL ELSE text END AS text,

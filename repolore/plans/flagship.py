@@ -10,11 +10,13 @@ from repolore.plans.fixtures import Tables
 
 
 def hits(queries: DataFrame, vectors: DataFrame, k: int = C.TOP_K) -> DataFrame:
-    """Search the usable vectors, then bring in file and text of the hits."""
+    """Search the usable vectors of the repositories asked for, then bring in file and text of the hits."""
     few = retrieve.few(queries)
-    usable = embed.keep_modal_dim(vectors.select("repo", "chunk_id", "vector"))
+    stored = retrieve.only_asked(queries, vectors, few)
+    usable = embed.keep_modal_dim(stored.select("repo", "chunk_id", "vector"))
     found = retrieve.search(queries, usable, k, few)
-    return retrieve.hydrate(found, vectors, few_hits=few)
+    few_hits = few and k * retrieve.MAX_BROADCAST_QUERIES <= retrieve.MAX_BROADCAST_HITS
+    return retrieve.hydrate(found, stored, few_hits=few_hits)
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:

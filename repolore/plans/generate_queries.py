@@ -102,7 +102,7 @@ def _(t):
    arg_max(created, seq) FILTER (created IS NOT NULL) AS created, arg_max(total_tokens, seq) FILTER (total_tokens IS NOT NULL) AS total_tokens
   FROM fx_deltas GROUP BY response_id""", ("fx_deltas",))
 def _(t):
-    return generate.fold_deltas(t("fx_deltas"))
+    return generate.fold_deltas(t("fx_deltas")).drop("error")
 
 
 @query("gen11_model_catalogue", """SELECT DISTINCT user_id, event_type AS provider, concat('m', event_id%3) AS model,

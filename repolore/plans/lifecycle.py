@@ -43,11 +43,15 @@ def prompts(requests: DataFrame, messages: DataFrame, files: DataFrame, vectors:
     )
     queries = cut_lineage(embed.embed(asked, make_embedder, text="q").where("error IS NULL").select("query_id", "repo", "vector"))
     context = retrieve.context_text(flagship.hits(queries, vectors)).withColumnRenamed("query_id", "conv_id")
-    history = converse.render_history(converse.pair_turns(messages)).select("conv_id", "history")
+    history = converse.render_history(converse.pair_turns(messages)).select(
+        "conv_id", "history", F.col("error").alias("history_error")
+    )
     full = (
         corpus.file_for_requests(checked, files)
         .join(history, "conv_id", "left")
         .join(context, "conv_id", "left")
+        .withColumn("error_code", F.coalesce("error_code", F.when(F.col("history_error").isNotNull(), F.lit(413).cast("bigint"))))
+        .withColumn("error", F.coalesce("error", "history_error"))
         .withColumn(
             "system",
             converse.system_prompt(
@@ -81,11 +85,12 @@ def answer_requests(
 def write_wikis(files: DataFrame, repos: DataFrame, make_planner, make_writer) -> tuple[DataFrame, DataFrame]:
     """(pages, sections) of all repositories. ``repos``: repo, type, repo_url, branch.
 
-    A planner answers with the XML plan; a writer answers per page. Failed pages keep their error as content.
+    A planner answers with the XML plan; a writer answers per page. Failed pages keep their error as content, and so does
+    the one page ``plan`` of a repository that got no plan.
     """
     asked = converse.structure_prompt(repos.select("repo"), corpus.list_tree(files), corpus.pick_readme(files))
-    planned = generate.generate(asked, make_planner).select(F.col("repo").alias("wiki_id"), "response")
-    plan = wiki.parse_xml(cut_lineage(planned))
+    planned = cut_lineage(generate.generate(asked, make_planner).withColumnRenamed("repo", "wiki_id"))
+    plan = wiki.parse_xml(planned.where("error IS NULL").select("wiki_id", "response"))
     pages = wiki.page_rows(plan).join(repos.withColumnRenamed("repo", "wiki_id"), "wiki_id")
     links = converse.file_list_markup(
         F.col("file_paths"), lambda p: urls.file_link(F.col("type"), F.col("repo_url"), F.col("branch"), p)
@@ -96,4 +101,9 @@ def write_wikis(files: DataFrame, repos: DataFrame, make_planner, make_writer) -
     done = cut_lineage(
         written.select("wiki_id", "pos", "id", "title", "importance", "file_paths", "related", content)
     )
-    return done, wiki.section_rows(plan)
+    why = F.coalesce("tree_error", "error")
+    failed = planned.where("error IS NOT NULL").select(
+        "wiki_id", F.lit(0).cast("bigint").alias("pos"), F.lit("plan").alias("id"), F.lit("Wiki plan").alias("title"),
+        wiki.content_or_failure(F.lit(None).cast("string"), why).alias("content"),
+    )
+    return done.unionByName(failed, allowMissingColumns=True), wiki.section_rows(plan)

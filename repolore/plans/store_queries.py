@@ -196,7 +196,7 @@ def _(t):
     "relatedPages" := p.related))::VARCHAR, ',' ORDER BY p.pos), ']}}') AS document
   FROM fx_cache_wikis w JOIN fx_wiki_pages p ON p.wiki_id = w.wiki_id GROUP BY w.wiki_id, w.repo_url""", _W)
 def _(t):
-    return exports.json_documents(t("fx_cache_wikis"), t("fx_wiki_pages"), _AT)
+    return exports.json_documents(t("fx_cache_wikis"), t("fx_wiki_pages"), _AT).drop("error")
 
 
 @query("snk6_slide_decks", """SELECT doc_id AS deck_id, concat('<!DOCTYPE html>', chr(10), '<html lang="en">', chr(10), '<body>', chr(10),
@@ -204,4 +204,4 @@ def _(t):
    '</html>', chr(10)) AS document FROM items GROUP BY doc_id""", ("fx_plans",), ctes=_ITEMS)
 def _(t):
     slides = derive.slide_plan(t("fx_plans").select(F.col("doc_id").alias("deck_id"), "repo", "plan"))
-    return exports.slide_decks(slides.select("deck_id", "k", F.col("title").alias("html")))
+    return exports.slide_decks(slides.select("deck_id", "k", F.col("title").alias("html"))).drop("error")

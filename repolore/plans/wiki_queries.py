@@ -33,12 +33,12 @@ def xml_responses(t):
         tag("relevant_files", tags("file_path", F.col("file_paths"))), tag("related_pages", tags("related", F.col("related"))),
         F.lit("<parent_section>s1</parent_section></page  >"),
     )
-    pages = join_text(p.select("wiki_id", "pos", page.alias("x")), ["wiki_id"], ["pos"], "x", out="pages").drop("n_chars")
+    pages = join_text(p.select("wiki_id", "pos", page.alias("x")), ["wiki_id"], ["pos"], "x", out="pages").drop("n_chars", "error")
     section = F.concat(
         F.lit('<section id="'), F.col("section_id"), F.lit('">'), tag("title", F.col("title")),
         tag("pages", tags("page_ref", F.col("page_ids"))), tag("subsections", tags("section_ref", F.col("child_ids"))), F.lit("</section>"),
     )
-    sections = join_text(t("fx_sections").select("wiki_id", "pos", section.alias("x")), ["wiki_id"], ["pos"], "x", out="sections").drop("n_chars")
+    sections = join_text(t("fx_sections").select("wiki_id", "pos", section.alias("x")), ["wiki_id"], ["pos"], "x", out="sections").drop("n_chars", "error")
     body = F.concat(
         F.when(n % 4 == 0, "```xml\n").when(n % 3 == 0, "Here is the plan:\n").otherwise(""),
         F.lit("<wiki_structure>\n"), tag("title", F.concat(F.lit("Wiki "), F.col("wiki_id"))),

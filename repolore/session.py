@@ -60,9 +60,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows. Each input partition is computed up to that many rows, so give it a
+    """Whether ``df`` has at most ``max_rows`` rows. All of ``df`` is computed, one number leaves each task; give it a
     checkpointed or cheap table."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:

@@ -64,7 +64,8 @@ def write_parts(parts: DataFrame, path: str) -> None:
 
 
 def json_documents(wikis: DataFrame, pages: DataFrame, generated_at: str, **kw) -> DataFrame:
-    """(wiki_id, document) with metadata and pages; ``document`` is null for a wiki too long for one cell."""
+    """(wiki_id, document, error) with metadata and pages. A wiki too long for one cell has an ``error`` and no document; its pages, in
+    order, are in ``markdown_parts``."""
     page = F.to_json(
         F.struct("id", "title", "content", F.col("file_paths").alias("filePaths"), "importance", F.col("related").alias("relatedPages"))
     )
@@ -79,7 +80,7 @@ def json_documents(wikis: DataFrame, pages: DataFrame, generated_at: str, **kw)
     doc = F.concat(F.expr("left(_meta, length(_meta) - 1)"), F.lit(',"pages":['), F.col("body"), F.lit("]}"))
     return (
         wikis.join(counts, "wiki_id").join(bodies, "wiki_id").withColumn("_meta", meta)
-        .select("wiki_id", doc.alias("document"))
+        .select("wiki_id", doc.alias("document"), "error")
     )
 
 
@@ -89,7 +90,7 @@ def file_name(repo_url: Column, stamp: str, extension: str) -> Column:
 
 
 def slide_decks(slides: DataFrame, language: str = "en", **kw) -> DataFrame:
-    """(deck_id, k, html) to one HTML document per deck."""
+    """(deck_id, k, html) to one HTML document per deck; ``error`` instead where it does not fit one cell."""
     box = F.concat(F.lit('<div class="slide-container">'), F.col("html"), F.lit("</div>"))
     body = join_text(slides.select("deck_id", "k", box.alias("box")), ["deck_id"], ["k"], "box", sep="\n", out="body", **kw)
     return body.select(
@@ -97,6 +98,7 @@ def slide_decks(slides: DataFrame, language: str = "en", **kw) -> DataFrame:
         F.concat(
             F.lit(f'<!DOCTYPE html>\n<html lang="{language}">\n<body>\n'), F.col("body"), F.lit("\n</body>\n</html>\n")
         ).alias("document"),
+        "error",
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolore.functions import urls
-from repolore.session import broadcast_if_small, cut_lineage
+from repolore.session import broadcast_if_small, cut_lineage, keep_small
 
 CACHE_KEY = ["repo_type", "owner", "repo", "language"]
 CACHE_SCHEMA = (
@@ -98,8 +98,9 @@ def upsert_cache(rows: DataFrame, path: str) -> None:
     _replace_partitions(rows, CACHE_KEY, path, "json")
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """All readable rows of live records. A record with an unreadable row is left out, like a deleted one."""
+def read_cache(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """All readable rows of live records, or of those in ``keys``. A record with an unreadable row is left out, like a
+    deleted one. Keys of such records are kept first, so that AQE can split a hot record's rows."""
     try:
         rows = (
             spark.read.schema(CACHE_SCHEMA)
@@ -111,19 +112,20 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], CACHE_SCHEMA).drop("_corrupt")
-    bad = rows.where("_corrupt IS NOT NULL OR kind = 'deleted'").select(*CACHE_KEY).distinct()
+    if keys is not None:  # a filter on the partitions, before any record is read
+        rows = rows.join(broadcast_if_small(keys.select(*CACHE_KEY).distinct()), CACHE_KEY, "left_semi")
+    bad = keep_small(rows.where("_corrupt IS NOT NULL OR kind = 'deleted'").select(*CACHE_KEY).distinct())
     return rows.join(bad, CACHE_KEY, "left_anti").where("_corrupt IS NULL").drop("_corrupt")
 
 
 def lookup_cache(keys: DataFrame, path: str) -> DataFrame:
     """Each key with its record's title and page count; nulls when there is no usable record.
 
-    The page count needs one number per key, so only counts are moved. Partitions are pruned by the keys.
+    The page count needs one number per key, so only counts are moved. The keys meet the partition columns first, so that
+    records of other wikis need not be read.
     """
     wanted = keys.withColumn("language", urls.language_or_default(F.col("language")))
-    rows = read_cache(keys.sparkSession, path).join(
-        broadcast_if_small(wanted.select(*CACHE_KEY).distinct()), CACHE_KEY, "left_semi"
-    )
+    rows = read_cache(keys.sparkSession, path, wanted)
     found = rows.groupBy(*CACHE_KEY).agg(
         F.max(F.when(F.col("kind") == "wiki", F.col("title"))).alias("title"),
         F.count_if(F.col("kind") == "page").alias("n_pages"),
@@ -137,7 +139,7 @@ def delete_cache(keys: DataFrame, path: str) -> DataFrame:
     A record is replaced by a tombstone row, so a delete is one partition write as well. The status is taken before
     the write; keys with an unsupported language are refused.
     """
-    live = read_cache(keys.sparkSession, path).where("kind = 'wiki'").select(*CACHE_KEY).distinct()
+    live = read_cache(keys.sparkSession, path, keys).where("kind = 'wiki'").select(*CACHE_KEY).distinct()
     status = (
         F.when(~F.coalesce(urls.is_supported(F.col("language")), F.lit(False)), "unsupported language")
         .when(F.col("_live"), "deleted")
@@ -156,7 +158,7 @@ def delete_cache(keys: DataFrame, path: str) -> DataFrame:
 
 
 def cache_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(name, mtime_ms) per live record, from partition values and file times only."""
+    """(name, mtime_ms) per live record. Of the bodies only ``kind`` is used, to leave out tombstones."""
     rows = spark.read.schema(CACHE_SCHEMA).json(path)
     return (
         rows.select(*CACHE_KEY, F.col("_metadata.file_modification_time").alias("_t"), (F.col("kind") == "deleted").alias("_gone"))

@@ -74,6 +74,17 @@ def test_wikis_are_planned_and_written(spark, files):
     assert [(r.wiki_id, r.section_id, r.page_ids) for r in sections.collect()] == [("r1", "s1", ["p1"])]
 
 
+class NoPlanner:
+    def __call__(self, prompt):
+        raise RuntimeError("busy")
+
+
+def test_a_failed_plan_is_a_page(spark, files):
+    repos = spark.createDataFrame([("r1", "github", "u", "main")], "repo string, type string, repo_url string, branch string")
+    pages, _ = lifecycle.write_wikis(files, repos, NoPlanner, Writer)
+    assert [(r.wiki_id, r.id, r.content) for r in pages.collect()] == [("r1", "plan", "Error generating content: busy")]
+
+
 def test_long_prompts_are_answered_without_context(spark, files, tmp_path):
     a, b = str(tmp_path / "chunks"), str(tmp_path / "vectors")
     lifecycle.build_index(files, a, b, "m", partial(embed.HashEmbedder, 8))

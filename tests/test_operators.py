@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolore.operators import converse, corpus, derive, embed, generate, retrieve, wiki
-from repolore.operators.ordered import join_text
+from repolore.operators.ordered import join_text, text_blocks
+from repolore.plans import flagship
 from repolore.session import cut_lineage
+from repolore.sources import stores
 
 
 def test_chunks_rejoin_to_the_text(spark):
@@ -102,10 +104,84 @@ def test_copies_are_embedded_once(spark):
     assert again.count() == 0
 
 
-def test_join_text_keeps_long_keys_as_rows(spark):
+def test_join_text_names_what_does_not_fit(spark):
     parts = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z" * 50)], "k string, pos int, t string")
-    got = {r.k: (r.n_chars, r.text) for r in join_text(parts, ["k"], ["pos"], "t", sep="-", max_chars=10).collect()}
-    assert got == {"a": (3, "x-y"), "b": (50, None)}
+    got = {r.k: (r.n_chars, r.text, r.error) for r in join_text(parts, ["k"], ["pos"], "t", sep="-", max_chars=10).collect()}
+    assert got == {"a": (3, "x-y", None), "b": (50, None, "a text of 50 characters does not fit one cell")}
+
+
+@pytest.mark.parametrize("size", [1, 7, 60, 10_000])
+def test_text_blocks_hold_every_text(spark, size):
+    rows = [("hot" if i % 3 else f"k{i % 5}", i, None if i % 11 == 0 else str(i)) for i in range(600)] + [("e", 0, "")]
+    parts = spark.createDataFrame(rows, "k string, pos int, t string").repartition(5)
+    blocks = text_blocks(parts, ["k"], ["pos"], "t", sep=", ", block_chars=size).collect()
+    got = {}
+    for b in sorted(blocks, key=lambda b: (b.k, b.block)):
+        got[b.k] = got.get(b.k, "") + b.text
+    want = {k: ", ".join(t for g, _, t in rows if g == k and t is not None) for k in {r[0] for r in rows}}
+    assert got == want
+    assert len({(b.k, b.block) for b in blocks}) == len(blocks)
+
+
+def test_a_tree_that_fits_no_cell_is_an_error(spark):
+    repos = spark.createDataFrame([("a",), ("b",)], "repo string")
+    listing = spark.createDataFrame([("a", "x.py"), ("b", "y" * 50)], "repo string, file_path string")
+    readmes = spark.createDataFrame([], "repo string, readme string")
+    got = {r.repo: r for r in converse.structure_prompt(repos, listing, readmes, max_chars=10).collect()}
+    assert "x.py" in got["a"].prompt and got["a"].tree_error is None
+    assert got["b"].prompt is None and "does not fit" in got["b"].tree_error
+
+
+def _final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    rows = df.collect()  # the plan of this very frame becomes final
+    return rows, df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def eager_to_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_texts_and_conversations_are_split(spark, eager_to_split):
+    n = 20_000
+    key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+    ids = spark.range(0, n, 1, 8)
+    chunks = ids.select(F.col("id").alias("chunk_id"), F.concat(F.lit("text "), key.cast("string")).alias("text"))
+    store = chunks.select(embed.text_hash(F.col("text")).alias("text_hash"), F.array(F.lit(1.0).cast("float")).alias("vector"),
+                          F.lit("m").alias("model"))
+    rows, plan = _final_plan(embed.attach_vectors(chunks, store, "m"))
+    assert len(rows) == n and all(r.vector for r in rows) and "skew=true" in plan
+    messages = ids.select(key.alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
+                          F.concat(F.lit("[DEEP RESEARCH] "), F.col("id").cast("string")).alias("content"))
+    rows, plan = _final_plan(converse.strip_tags(messages, converse.request_state(messages)))
+    assert len(rows) == n and "skew=true" in plan
+
+
+def test_search_reads_the_partitions_asked_for(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    rows = [(i, f"r{i % 4}", "f", f"t{i}", [float(i % 7), 1.0]) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, repo string, file_path string, text string, vector array<double>")
+    stores.write_chunks(chunks, path)
+    stored = stores.read_chunks(spark, path, "chunk_id bigint, file_path string, text string, vector array<double>, repo string")
+    queries = spark.createDataFrame([(1, "r1", [1.0, 0.0]), (2, None, [1.0, 0.0])], "query_id bigint, repo string, vector array<double>")
+    asked = retrieve.only_asked(queries, stored, True)
+    assert "PartitionFilters: [isnotnull(repo" in (plan := asked._jdf.queryExecution().executedPlan().toString()), plan
+    got = {r.chunk_id for r in flagship.hits(queries, stored, 3).collect()}
+    want = {r[0] for r in sorted((r for r in rows if r[1] == "r1"), key=lambda r: (-r[4][0], r[0]))[:3]}
+    assert got == want
+    assert retrieve.only_asked(queries, stored, False).count() == 10
+    assert retrieve.only_asked(queries.limit(0), stored, True).count() == 0
 
 
 def _messages(spark, rows):

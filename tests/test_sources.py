@@ -132,7 +132,8 @@ def test_json_document(wiki_tables):
     d = json.loads(exports.json_documents(*wiki_tables, "NOW").first().document)
     assert d["metadata"] == {"repository": "https://x/o/w/", "generated_at": "NOW", "page_count": 3}
     assert [p["id"] for p in d["pages"]] == ["p1", "p2", "p3"] and d["pages"][0]["relatedPages"] == ["p2", "gone"]
-    assert exports.json_documents(*wiki_tables, "NOW", max_chars=5).first().document is None
+    long = exports.json_documents(*wiki_tables, "NOW", max_chars=5).first()
+    assert long.document is None and "does not fit" in long.error
 
 
 def test_file_name_and_documents(spark, wiki_tables, tmp_path):
