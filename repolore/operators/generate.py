@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
@@ -22,6 +23,9 @@ RESPONSE_FIELDS = [
     T.StructField("completion_tokens", T.LongType()),
 ]
 
+FIRST_WAIT = 0.1  # seconds
+RETRY_WINDOW = 5.0
+
 
 class Reply(NamedTuple):
     text: str
@@ -55,13 +59,22 @@ def generate(
     df: DataFrame, make_generator: Callable[[], Generator], prompt: str = "prompt", retries: int = 0,
     parallel: int | None = None,
 ) -> DataFrame:
-    """Add response, error and token counts. ``parallel`` bounds the calls in flight (number of partitions)."""
+    """Add response, error and token counts. ``parallel`` bounds the calls in flight (number of partitions).
+
+    A failed call is made again up to ``retries`` times, after waits that double, within ``RETRY_WINDOW`` seconds of waiting.
+    """
     schema = T.StructType([f for f in df.schema.fields] + RESPONSE_FIELDS)
 
     def answer(gen: Generator, text: str | None) -> tuple:
         failure = "empty prompt"
         if text:
-            for _ in range(retries + 1):
+            wait, left = FIRST_WAIT, RETRY_WINDOW
+            for attempt in range(retries + 1):
+                if attempt:
+                    if left <= 0:
+                        break
+                    time.sleep(min(wait, left))
+                    wait, left = 2 * wait, left - wait
                 try:
                     r = gen(text)
                     return r.text, None, r.prompt_tokens, r.completion_tokens

@@ -317,3 +317,24 @@ def test_slide_patterns(spark):
     got = [r.x for r in df.select(derive.slide_items(F.col("p"), F.lit("R")).alias("x")).collect()]
     assert got[:4] == [["A: b", "C"], ["A", "B"], ["A", "B"], ["Big Title"]]
     assert len(got[4]) == 7 and got[4][0] == "Title Slide: Introduction to R"
+
+
+class FailsTwice:
+    """Answers a prompt at its third call."""
+
+    def __init__(self):
+        self.calls = {}
+
+    def __call__(self, prompt):
+        self.calls[prompt] = self.calls.get(prompt, 0) + 1
+        if self.calls[prompt] < 3:
+            raise RuntimeError("busy")
+        return generate.Reply(prompt.upper())
+
+
+def test_failed_calls_are_made_again(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "prompt string").coalesce(1)
+    again = generate.generate(df, FailsTwice, retries=2).collect()
+    assert {(r.response, r.error) for r in again} == {("A", None), ("B", None)}
+    once = generate.generate(df, FailsTwice, retries=1).collect()
+    assert {(r.response, r.error) for r in once} == {(None, "busy")}
