@@ -311,3 +311,12 @@ def test_empty_tables(spark):
     assert quality_rules.judge(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
     assert token_shards.materialise(empty, RANKS).count() == 0
     assert chat.digests(chat.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), JSON)).count() == 0
+
+
+def test_ids_of_short_and_very_long_texts_agree(monkeypatch):
+    enc = token_shards.Ids(RANKS)
+    texts = ["", " ", "a  b\n\nc's <|endoftext|> éü 123", "word " * 500]
+    short = [(enc.of(x), enc.count(x)) for x in texts]
+    monkeypatch.setattr(token_shards, "LONG", 0)
+    assert [(enc.of(x), enc.count(x)) for x in texts] == short
+    assert all(len(b) == 2 * n for b, n in short)
