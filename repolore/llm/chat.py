@@ -9,7 +9,8 @@ is over the budget alone makes a window by itself, so no text is cut. The loss m
 their window; repeated turns are masked out, so each target counts once.
 
 Rows are ordered by turn, then role and text (ties); a null text is empty, a null role an empty one, a null ``conv_id`` is one conversation.
-A task streams its conversations turn by turn and holds one window, so a conversation of any length is formatted in bounded memory.
+Tokens are counted before rows are dealt by conversation, so the turns of a conversation that holds a third of all rows are counted by all
+tasks. Then a task streams its conversations turn by turn and holds one window: a conversation of any length takes bounded memory.
 """
 
 from __future__ import annotations
@@ -46,20 +47,34 @@ def read_turns(window: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(window)]
 
 
+def _parts(role: str, text: str) -> tuple[str, str]:
+    """Head and body of a formatted turn."""
+    return f"<turn {escape(role, True)}>\n", escape(text)
+
+
+def _count(vocabulary: str):
+    def run(batches):
+        vocab = bpe.vocabulary(vocabulary)
+        for batch in batches:
+            pairs = zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            n = [int(np.frombuffer(vocab.text_steps("".join((*_parts(*p), "</turn>\n"))), np.int8).sum(dtype=np.int64)) for p in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n_tokens"])
+
+    return run
+
+
 class _Writer:
     """One conversation: turns in, finished windows out."""
 
-    def __init__(self, conv, budget: int, history: int, count):
-        self.conv, self.budget, self.history, self.count = conv, budget, history, count
+    def __init__(self, conv, budget: int, history: int):
+        self.conv, self.budget, self.history = conv, budget, history
         self.system, self.recent, self.recent_size = None, [], 0
         self.number, self.seen = 0, 0
         self.new: list = []
         self.size = 0
 
-    def add(self, role: str, text: str):
-        body = escape(text)
-        head = f"<turn {escape(role, True)}>\n"
-        turn = (head, body, role, self.count(head + body + "</turn>\n"))
+    def add(self, role: str, text: str, n_tokens: int):
+        turn = (*_parts(role, text), role, n_tokens)
         if not self.seen and role == "system":
             self.system = turn
         self.seen += 1
@@ -99,19 +114,17 @@ class _Writer:
         return row
 
 
-def _write(vocabulary: str, budget: int, history: int):
+def _write(budget: int, history: int):
     def run(batches):
-        vocab = bpe.vocabulary(vocabulary)
-        count = lambda s: int(np.frombuffer(vocab.text_steps(s), np.int8).sum(dtype=np.int64))
         writer, out = None, []
         pack = lambda: A.rows(_WINDOW, dict(zip(_WINDOW.names, zip(*out, strict=True), strict=True)))
         for batch in batches:
-            for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for conv, role, text, n_tokens in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "n_tokens")], strict=True):
                 if writer is None or writer.conv != conv:
                     if writer is not None:
                         out.append(writer.close())
-                    writer = _Writer(conv, budget, history, count)
-                out.extend(writer.add(role, text))
+                    writer = _Writer(conv, budget, history)
+                out.extend(writer.add(role, text, n_tokens))
                 if len(out) >= 1000:
                     yield pack()
                     out = []
@@ -127,8 +140,10 @@ def windows(turns: DataFrame, vocabulary: str, budget: int = 1024, history: int
     """``conv_id, window_no, text, loss, n_new, n_tokens``; a conversation's windows come in order, in one partition."""
     n = A.n_buckets(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long"), "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
-    rows = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInArrow(_write(vocabulary, budget, history), _WINDOW_DDL)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", n_tokens long"
+    rows = rows.mapInArrow(_count(vocabulary), schema)
+    rows = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "n_tokens")
+    return rows.mapInArrow(_write(budget, history), _WINDOW_DDL)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
