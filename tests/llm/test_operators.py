@@ -320,3 +320,9 @@ def test_ids_of_short_and_very_long_texts_agree(monkeypatch):
     monkeypatch.setattr(token_shards, "LONG", 0)
     assert [(enc.of(x), enc.count(x)) for x in texts] == short
     assert all(len(b) == 2 * n for b, n in short)
+
+
+def test_chat_token_counts_agree_for_short_and_long_texts():
+    vocab, encoder = bpe.vocabulary(JSON), Tokenizer.from_file(JSON)
+    texts = ["", "a", "  two  spaces\n\n", "don't re-encode <|endoftext|> \\l é 漢字 🙂", "</turn>\n" * 40, "x" * 700]
+    assert chat.count_tokens(texts, encoder, vocab) == chat.count_tokens(texts, encoder, vocab, long=0)
