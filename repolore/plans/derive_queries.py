@@ -115,18 +115,21 @@ def _(t):
     return derive.exercises(t("fx_workshops"))
 
 
-_EX_NOTE = """'<div style="text-align: right; font-size: 0.85em; color: #666;">', chr(10), 'Exercise """
+def _noted(content: str) -> str:
+    """SQL: ``content`` with the note behind each exercise heading; the workshop has ``n`` of them."""
+    for heading, i, minutes in (("1: Start, now!", "1", "5"), ("2: More_x", "2", "CASE WHEN n = 2 THEN 15 ELSE 10 END"), ("3: Deep", "n - 1", "10"), ("4: Last", "n", "15")):
+        mark = f"'## Exercise {heading}' || chr(10)"
+        content = f"""replace({content}, {mark}, concat({mark}, '<div style="text-align: right; font-size: 0.85em; color: #666;">', chr(10),
+   'Exercise ', {i}, ' of ', n, ' | Estimated time: ', {minutes}, ' minutes', chr(10), '</div>', chr(10), chr(10)))"""
+    return content
 
 
-@query("drv8_annotated", f"""SELECT doc_id, replace(replace(content, '## Exercise 1: Start, now!' || chr(10), concat('## Exercise 1: Start, now!', chr(10),
-   {_EX_NOTE}1 of ', n, ' | Estimated time: 5 minutes', chr(10), '</div>', chr(10), chr(10))),
-   '## Exercise 2: More_x' || chr(10), concat('## Exercise 2: More_x', chr(10), {_EX_NOTE}2 of ', n, ' | Estimated time: ',
-   CASE WHEN n = 2 THEN 15 ELSE 10 END, ' minutes', chr(10), '</div>', chr(10), chr(10))) AS content
-  FROM (SELECT *, CASE WHEN doc_id%2=0 THEN 2 ELSE 1 END AS n FROM (SELECT doc_id, CASE WHEN doc_id%3=0 THEN replace(replace(content,
-   '## Exercise 3:', '## Part 3:'), '## Exercise 4:', '## Part 4:') ELSE content END AS content FROM fx_workshops))""", _W)
+_N_EXERCISES = "1 + CASE WHEN doc_id%2=0 THEN 1 ELSE 0 END + CASE WHEN doc_id%3=0 THEN 2 ELSE 0 END"
+
+
+@query("drv8_annotated", f"SELECT doc_id, {_noted('content')} AS content FROM (SELECT *, {_N_EXERCISES} AS n FROM fx_workshops)", _W)
 def _(t):
-    c = F.replace(F.replace("content", F.lit("## Exercise 3:"), F.lit("## Part 3:")), F.lit("## Exercise 4:"), F.lit("## Part 4:"))
-    return t("fx_workshops").select("doc_id", derive.annotate_exercises(c).alias("content"))
+    return t("fx_workshops").select("doc_id", derive.annotate_exercises(F.col("content")).alias("content"))
 
 
 @query("drv9_final_project", """SELECT doc_id, replace(content, concat('## Final Project', chr(10), 'Build.'), concat('## Final Project', chr(10),
@@ -136,6 +139,16 @@ def _(t):
     return t("fx_workshops").select("doc_id", derive.note_final_project(F.col("content")).alias("content"))
 
 
+@query("job_workshop", f"""SELECT doc_id, replace(noted, concat('## Final Project', chr(10), 'Build.'), concat('## Final Project', chr(10),
+   '<div style="text-align: right; font-size: 0.85em; color: #666;">', chr(10), 'Estimated time: 20-30 minutes | Combines concepts from all exercises',
+   chr(10), '</div>', chr(10), chr(10), 'Build.')) AS content
+  FROM (SELECT doc_id, {_noted("concat(substr(content, 1, cut), toc, substr(content, cut+1))")} AS noted FROM (SELECT *, {_N_EXERCISES} AS n FROM placed))""", _W, ctes=_TOC)
+def _(t):
+    """All steps on answers that come inside a code fence."""
+    fenced = F.concat(F.lit("```markdown"), F.col("content"), F.lit("```"))
+    return t("fx_workshops").select("doc_id", derive.workshop(fenced).alias("content"))
+
+
 @query("drv10_fenced_blocks", """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY x) - 1 AS pos, CASE x WHEN 1 THEN 'python' ELSE 'mermaid' END
    AS language, CASE x WHEN 1 THEN concat('x = 1', chr(10)) ELSE concat('a-->b', chr(10)) END AS code, x = 2 AS is_mermaid
   FROM fx_workshops, unnest([1, 2]) u(x) WHERE (x = 1 AND doc_id%2=0) OR (x = 2 AND doc_id%3=0)""", _W)

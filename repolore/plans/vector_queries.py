@@ -20,10 +20,11 @@ def _norm():
     return F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 4)
 
 
-@query("emb1_batch_embed", "SELECT chunk_id, 64 AS dim, 1.0::DOUBLE AS norm, NULL::VARCHAR AS error FROM fx_chunks WHERE trim(text) <> ''",
-       ("fx_chunks",))
+@query("emb1_batch_embed", """SELECT chunk_id, 64 AS dim, CASE WHEN ord%3=1 OR trim(text, chr(32)||chr(9)||chr(10)||chr(13)) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm,
+   NULL::VARCHAR AS error FROM fx_chunks""", ("fx_chunks",))
 def _(t):
-    c = t.chunks().where(~X.is_blank(F.col("text"))).select("chunk_id", "text")
+    """Blank chunks are among those embedded."""
+    c = t.chunks().select("chunk_id", F.when(F.col("ord") % 3 == 1, F.lit("  ")).otherwise(F.col("text")).alias("text"))
     return embed.embed(c, _hash64).select("chunk_id", F.size("vector").alias("dim"), _norm().alias("norm"), "error")
 
 
