@@ -55,6 +55,25 @@ class EchoGenerator:
         return Reply(f"echo: {answer}", n, len(answer.split()) + 1)
 
 
+class FolderPlanner:
+    """Deterministic stand-in for a wiki planner: one page per top folder of the file tree in the prompt."""
+
+    def __call__(self, prompt: str) -> Reply:
+        from xml.sax.saxutils import escape
+
+        tree = prompt.split("<file_tree>\n", 1)[1].split("\n</file_tree>", 1)[0]
+        folders: dict[str, list[str]] = {}
+        for path in tree.split("\n"):
+            folders.setdefault(path.split("/", 1)[0], []).append(path)
+        pages = [
+            f"<page id='p{i}'><title>{escape(f'{top}: {len(found)} files')}</title><importance>{'low' if i else 'high'}</importance>"
+            f"<relevant_files><file_path>{escape(min(found))}</file_path></relevant_files></page>"
+            for i, (top, found) in enumerate(sorted(folders.items()))
+        ]
+        plan = f"<wiki_structure><title>Wiki</title><description>d</description><pages>{''.join(pages)}</pages></wiki_structure>"
+        return Reply(plan, len(prompt.split()), len(pages))
+
+
 def generate(
     df: DataFrame, make_generator: Callable[[], Generator], prompt: str = "prompt", retries: int = 0,
     parallel: int | None = None,

@@ -10,7 +10,7 @@ from repolore import constants as C
 from repolore.operators import embed, generate
 from repolore.plans import lifecycle
 from repolore.plans.converse_queries import _STATE, _SYSTEM
-from repolore.plans.corpus_queries import _EXCL_DIRS, _EXT, _HIDDEN, _NAME
+from repolore.plans.corpus_queries import _EXCL_DIRS, _EXT, _HIDDEN, _LISTED, _NAME
 from repolore.plans.registry import query, sql_in, sql_list
 from repolore.session import scratch_dir
 
@@ -36,3 +36,17 @@ def _(t):
     return lifecycle.answer_requests(
         t("fx_requests"), t("fx_messages"), t("fx_files"), t("fx_chunk_vectors"), _hash64, generate.EchoGenerator
     )
+
+
+@query("job_write_wikis", f"""SELECT repo AS wiki_id, pos, concat('p', pos) AS id, concat(top, ': ', n, ' files') AS title,
+   CASE WHEN pos = 0 THEN 'high' ELSE 'low' END AS importance, [least_path] AS file_paths,
+   concat('echo: Write the wiki page ''', top, ': ', n, ' files'' in Markdown.') AS content
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY top) - 1 AS pos FROM (SELECT repo, split_part(file_path, '/', 1) AS top, count(*) AS n,
+   min(file_path) AS least_path FROM fx_files WHERE {_LISTED} GROUP BY ALL))""", ("fx_files",))
+def _(t):
+    """From file trees to plans to written pages."""
+    repos = t("fx_files").select("repo").distinct().select(
+        "repo", F.lit("github").alias("type"), F.concat(F.lit("https://github.com/o/"), "repo").alias("repo_url"), F.lit("main").alias("branch")
+    )
+    pages, _ = lifecycle.write_wikis(t("fx_files"), repos, generate.FolderPlanner, generate.EchoGenerator)
+    return pages.select("wiki_id", "pos", "id", "title", "importance", "file_paths", "content")
