@@ -74,14 +74,13 @@ def _(t):
     a = t.stream("fx_responses")
     third = F.floor(F.length("content") / 3).cast("int")
     parts = a.select(
-        (F.col("conv_id") * 1000 + F.col("seq")).alias("response_id"),
+        "conv_id", F.col("seq").alias("turn"),
         F.posexplode(
             F.array(F.substr("content", F.lit(1), third), F.substr("content", third + 1, third), F.substr("content", third * 2 + 1))
         ).alias("pos", "delta"),
     ).withColumn("seq", F.col("pos").cast("bigint"))
-    growing = assemble.growing_text(parts).select(
-        F.floor(F.col("response_id") / 1000).alias("conv_id"),
-        F.floor((F.col("response_id") % 1000 + 1) / 2).alias("iteration"), "seq", "text",
+    growing = assemble.growing_text(parts, keys=["conv_id", "turn"]).select(
+        "conv_id", F.floor((F.col("turn") + 1) / 2).alias("iteration"), "seq", "text"
     )
     log = _finish(jobs.live_stages(growing, out, state), t.spark, out)
     return derive.upsert_stages(log).drop("first_seq")

@@ -8,7 +8,7 @@ answer, ``parse_chunks`` an unfinished line. Chunks of raw lines must come in or
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +17,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DELTA_SCHEMA = "response_id bigint, seq bigint, line bigint, delta string"
 SEGMENT_SCHEMA = "response_id bigint, from_seq bigint, to_seq bigint, text string"
-TEXT_SCHEMA = "response_id bigint, seq bigint, text string"
 BLOCK = 4_096
 
 
@@ -104,8 +103,8 @@ class SegmentBuilder(StatefulProcessor):
 class GrowingText(StatefulProcessor):
     """Deltas to the text so far, in order of position. Keeps the parts of one model answer; its length is the model's limit."""
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None = None, keys: Sequence[str] = ("response_id",)):
+        self.ttl_ms, self.keys = ttl_ms, tuple(keys)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("parts", "parts string", self.ttl_ms)
@@ -117,7 +116,7 @@ class GrowingText(StatefulProcessor):
             parts |= {int(q): d for q, d in zip(new["seq"], new["delta"].fillna(""), strict=True)}
             self.state.update((json.dumps(sorted(parts.items())),))
             text = "".join(parts[q] for q in sorted(parts))
-            yield pd.DataFrame({"response_id": [key[0]], "seq": [max(parts)], "text": [text]})
+            yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key, strict=True)}, "seq": [max(parts)], "text": [text]})
 
     def close(self) -> None:
         pass
@@ -147,5 +146,7 @@ def segments(deltas: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return _run(blocked, ["response_id", "block"], SegmentBuilder(ttl_ms), SEGMENT_SCHEMA, "append")
 
 
-def growing_text(deltas: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    return _run(deltas.select("response_id", "seq", "delta"), ["response_id"], GrowingText(ttl_ms), TEXT_SCHEMA, "update")
+def growing_text(deltas: DataFrame, ttl_ms: int | None = None, keys: Sequence[str] = ("response_id",)) -> DataFrame:
+    """(keys, seq, text): the bigint columns ``keys`` name an answer; each is kept, so that no two answers share a key."""
+    schema = "".join(f"{k} bigint, " for k in keys) + "seq bigint, text string"
+    return _run(deltas.select(*keys, "seq", "delta"), list(keys), GrowingText(ttl_ms, keys), schema, "update")
