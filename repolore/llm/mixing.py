@@ -2,7 +2,7 @@
 
 1. A text's size is its number of words. Sources, in code-point order with null last, take the weights in turn and share
    ``ratio`` times all words; a target stops at ``most`` times its source's size, and the excess is shared again by weight.
-2. Each source is dealt to shards by a hash of its documents. In a shard, documents in seeded order form a stream that is cut
+2. Each source is dealt by a hash of its documents to as many shards as its own words need. In a shard, documents in seeded order form a stream that is cut
    into equal blocks of about ``block`` words.
 3. All blocks of the mix go to sources by the highest quotients target / (2k - 1), then each source's blocks to its shards by
    the quotients of their sizes: integer quotas per shard.
@@ -10,7 +10,7 @@
 
 A document's ``taken`` words are its share of the blocks taken. Null and empty texts have size 0 and are never taken. The hash
 of (doc_id, text) orders a shard, so reruns agree, whatever the order of the rows; equal rows have equal results. A hot
-source is split over shards, whose number follows the words; one row per source or shard is all that quotas look at.
+source is split over shards, whose number follows its words; one row per source or shard is all that quotas look at.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repolore.session import cut_lineage
+from repolore.session import broadcast_if_small, cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -91,9 +91,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float =
     """
     sized = cut_lineage(sizes(docs))
     goal = cut_lineage(targets(sized, weights, ratio, most))
-    words = sized.agg(F.sum("size")).first()[0] or 0
-    n_shards = max(1, -(-words // shard_words))
-    dealt = sized.filter("size > 0").withColumn("shard", F.pmod(F.xxhash64("rk", F.lit(seed)), F.lit(n_shards)).cast("int"))
+    # by a source's own words: a small source cut into the shards of all words would have blocks far below ``block``
+    n_shards = goal.filter("source_size > 0").select("source", F.ceil(F.col("source_size") / shard_words).alias("n_shards"))
+    dealt = _same(sized.filter("size > 0"), broadcast_if_small(n_shards), ["source"])
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("rk", F.lit(seed)), F.col("n_shards")).cast("int")).drop("n_shards")
     stream = W.partitionBy("source", "shard").orderBy(F.xxhash64("rk", F.lit(seed + 1)), "rk")
     dealt = dealt.withColumn("end", F.sum("size").over(stream.rowsBetween(W.unboundedPreceding, 0)))
     dealt = cut_lineage(dealt.withColumn("start", F.col("end") - F.col("size")))
