@@ -12,8 +12,9 @@
   drops those whose sizes or largest possible overlap cannot reach the threshold, and those already connected to each
   other throughout. Trees run twice: over the small bitmaps of a cell, which tells apart documents that only share a
   passage, and, exactly, over the *regions* (connected sets) that are left, cut into blocks of bounded size.
-* **Large groups.** A task sends at most ``CROWD`` sets of a cell, and a cell of more than ``CELL`` sets gets no tree: there
-  the sets are put into one region without looking. In a region, every block also meets the first block; sets still
+* **Large groups.** Of a *crowd*, more than ``CROWD`` sets of a cell in one task, only one set is sent, flagged, and stands for
+  all. A cell with such a set, or of more than ``CELL`` sets, gets no tree: there the sets are put into one region without
+  looking, since a crowd's bitmaps are not at hand. In a region, every block also meets the first block; sets still
   outside the region's largest component then meet all blocks. So every pair is compared unless its sets are connected
   already, which is all that components need; nothing is dropped.
 
@@ -43,7 +44,7 @@ SMALL = 32
 _SMALL_SALT, _RANGE_SALT = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
 _SET_DDL = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 _SET = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.binary())])
-_BLOB = pa.schema([("bucket", pa.int32()), ("part", pa.binary()), ("id", pa.binary())])
+_BLOB = pa.schema([("bucket", pa.int32()), ("crowd", pa.bool_()), ("part", pa.binary()), ("id", pa.binary())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _MET = pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _TOKENS = pa.schema([("id", pa.int64()), ("blob", pa.binary())])
@@ -170,7 +171,7 @@ def _stars(h: np.ndarray, owner: np.ndarray, where: np.ndarray) -> np.ndarray:
 
 
 def _cells(k: int, num: int, den: int, seed: int, n: int):
-    """Packed buckets of (range hash, set id); of a crowd, the least id goes on and the others are linked to it here."""
+    """Packed buckets of (range hash, set id); of a crowd, the least id goes on, flagged, and the others are linked to it here."""
 
     def flush(hashes, ids):
         h, owner = np.concatenate(hashes), np.concatenate(ids)
@@ -180,12 +181,14 @@ def _cells(k: int, num: int, den: int, seed: int, n: int):
         crowd = np.repeat(length > CROWD, length)
         edges = _stars(h, owner, crowd)
         if len(edges):
-            yield A.rows(_BLOB, {"bucket": [-1], "part": [edges[:, 0].astype("<i8").tobytes()], "id": [edges[:, 1].astype("<i8").tobytes()]})
+            yield A.rows(_BLOB, {"bucket": [-1], "crowd": [True], "part": [edges[:, 0].astype("<i8").tobytes()], "id": [edges[:, 1].astype("<i8").tobytes()]})
         go_on = ~crowd
         go_on[start] = True
-        h, owner = h[go_on], owner[go_on]
-        for b, i in A.by_bucket(A.bucket_of(h, n), n):
-            yield A.rows(_BLOB, {"bucket": [b], "part": [h[i].astype("<u4").tobytes() + (h[i] >> np.uint64(32)).astype("<u1").tobytes()], "id": [owner[i].astype("<i8").tobytes()]})
+        for flag in (False, True):
+            use = go_on & (crowd == flag)
+            part, own = h[use], owner[use]
+            for b, i in A.by_bucket(A.bucket_of(part, n), n):
+                yield A.rows(_BLOB, {"bucket": [b], "crowd": [flag], "part": [part[i].astype("<u4").tobytes() + (part[i] >> np.uint64(32)).astype("<u1").tobytes()], "id": [own[i].astype("<i8").tobytes()]})
 
     def run(batches):
         ranges, known = Ranges(num, den), {}
@@ -213,21 +216,24 @@ def _cells(k: int, num: int, den: int, seed: int, n: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Cells of one bucket with two sets or more, as (cell, a) rows; cells with equal members are one. Above the bound, edges."""
-    low, high = [], []
-    for blob in table.column("part").to_pylist():
+    """Cells of one bucket with two sets or more, as (cell, a) rows; cells with equal members are one. Above the bound or with a crowd, edges."""
+    low, high, flags = [], [], []
+    for blob, flag in zip(table.column("part").to_pylist(), table.column("crowd").to_pylist(), strict=True):
         k = len(blob) // 5
         low.append(np.frombuffer(blob, "<u4", k))
         high.append(np.frombuffer(blob, "<u1", k, 4 * k))
+        flags.append(np.full(k, flag))
     h = np.concatenate(low).astype(np.uint64) | (np.concatenate(high).astype(np.uint64) << np.uint64(32))
     owner = A.join_blobs(table, "id", "<i8")
     order = np.lexsort((owner, h))
-    h, owner = h[order], owner[order]
+    h, owner, crowd = h[order], owner[order], np.concatenate(flags)[order]
+    crowd = np.logical_or.reduceat(crowd, A.runs(h)[0])  # by cell
     fresh = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
     h, owner = h[fresh], owner[fresh]
     start, length = A.runs(h)
-    edges = _stars(h, owner, np.repeat(length > CELL, length))
-    use = (length > 1) & (length <= CELL)
+    whole = crowd | (length > CELL)
+    edges = _stars(h, owner, np.repeat(whole, length))
+    use = (length > 1) & ~whole
     name = np.add.reduceat(A.mix(owner.view(np.uint64)), start) if len(start) else h
     _, once = np.unique(name[use], return_index=True)
     start, length, name = start[use][once], length[use][once], name[use][once]
@@ -411,7 +417,7 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
         raise RuntimeError("set ids clash under every seed")
     n = A.n_buckets(docs.sparkSession)
     none = F.lit(None).cast("long")
-    sent = texts.mapInArrow(_cells(k, num, den, seed, n), "bucket int, part binary, id binary")
+    sent = texts.mapInArrow(_cells(k, num, den, seed, n), "bucket int, crowd boolean, part binary, id binary")
     # the few edges found inside tasks take the same way as the buckets, so that texts are read once
     sent = sent.withColumn("deal", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("id"), F.lit(n)) - n).otherwise(F.col("bucket")))
     met = cut_lineage(sent.groupBy("deal").applyInArrow(_meet_or_pass, "cell long, a long, b long"))
