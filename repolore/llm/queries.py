@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolore.llm import chat, decontaminate, jaccard_join, line_dedup, mixing, quality_rules, substring_dedup, token_counts, token_shards, url_rules
+from repolore.llm import chat, collocations, decontaminate, jaccard_join, line_dedup, mixing, packing, quality_rules, spelling, substring_dedup, token_counts, token_shards, url_rules
 
 #: Rules of the url query: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -65,7 +65,19 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_token_shards, op4_substring_dedup, op5_quality_rules, op6_source_mix, op7_decontaminate, op8_chat_windows, op9_jaccard_join, op10_url_rules)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), min_count=10, longest=3, keep=2000, absorb=50)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), ratio=10, min_chars=7, min_count=2, noise=31)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_token_shards, op4_substring_dedup, op5_quality_rules, op6_source_mix, op7_decontaminate, op8_chat_windows, op9_jaccard_join, op10_url_rules, op11_collocations, op12_packing, op13_spelling_variants)}
 
 _LINES = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL AND text <> ''),
@@ -106,4 +118,28 @@ m AS (SELECT page_id, host, path, rh || rp AS rule, rv,
       FROM c LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM m WHERE k = 1"""
 
-ORACLES = {"op2_line_dedup": _LINES, "op4_substring_dedup": _PASSAGES, "op10_url_rules": _URLS}
+_COLLOCATIONS = """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s
+           FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(regexp_split_to_array(s, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS x FROM p),
+g AS (SELECT lang, unnest(x) AS phrase, 1 AS k FROM w
+      UNION ALL SELECT lang, unnest([x[i] || ' ' || x[i + 1] for i in range(1, len(x))]), 2 FROM w
+      UNION ALL SELECT lang, unnest([x[i] || ' ' || x[i + 1] || ' ' || x[i + 2] for i in range(1, len(x) - 1)]), 3 FROM w),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS x FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, j, array_to_string(x[1:j], ' ') AS le, array_to_string(x[j + 1:], ' ') AS ri
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, j, fl.a AS l, fr.a AS r,
+             (1000000::HUGEINT * cuts.a * cuts.a) // (fl.a::HUGEINT * fr.a) AS score
+      FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.phrase = le JOIN f fr ON fr.lang = cuts.lang AND fr.phrase = ri),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM s) WHERE o = 1),
+inner_two AS (SELECT lang, phrase, max(a) AS longer FROM (
+                SELECT lang, x[1] || ' ' || x[2] AS phrase, a FROM c WHERE k = 3
+                UNION ALL SELECT lang, x[2] || ' ' || x[3], a FROM c WHERE k = 3) GROUP BY lang, phrase),
+kept AS (SELECT low.* FROM low LEFT JOIN inner_two i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < 50 * low.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+ORACLES = {"op2_line_dedup": _LINES, "op4_substring_dedup": _PASSAGES, "op10_url_rules": _URLS, "op11_collocations": _COLLOCATIONS}
