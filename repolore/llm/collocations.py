@@ -4,14 +4,14 @@ A text's A-Z are lowered, it is cut into pieces at ``.,;:!?`` and line ends, and
 run of words inside one piece; everything is counted per ``lang``.
 
 1. *Sample.* A share of the documents proposes the words and phrases that seem frequent at a lowered threshold.
-2. *Full pass.* All documents count every word and the proposed phrases together with their negative border: every phrase that is
+2. *Full pass.* All documents count the proposed phrases together with their negative border: every word, and every phrase that is
    not proposed though both phrases of one word less inside it are. So a phrase is counted if its two shorter parts are proposed.
-3. *Expansion.* A frequent phrase that was counted on the border may be part of a longer one that nothing has counted. All such
-   failures are proposed too, and another full pass counts what that newly admits; this repeats until no border phrase
-   is frequent. Each phrase is counted in exactly one pass, over all documents.
+3. *Expansion.* A frequent phrase of the border may be part of a longer one that nothing has counted. All such failures are proposed
+   too, and another full pass counts what that newly admits; this repeats until no phrase of the border is frequent.
+4. The passes count 64-bit hashes, which can only count too much. A last one counts the frequent phrases by their texts.
 
 Proposals go to the tasks as one bitmap of ``bits`` bits, whatever the size of the input. Phrases that share a bit by chance are
-counted in vain; counts themselves are kept by the phrase's own text. A task adds up a stretch of words before the shuffle.
+counted in vain. A task adds up a stretch of words before the shuffle.
 
 Null texts are empty, a null ``lang`` is ``und``; other columns are ignored, each row counts for itself, and an empty table has no
 phrases. A text is handled whole, in numbers of its words; words may have any length.
@@ -35,8 +35,9 @@ BREAK = b"."
 _PLAIN = bytes(
     b + 32 if 65 <= b <= 90 else 46 if chr(b) in ".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b for b in range(256)
 )
-_OUT = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("hash", pa.int64()), ("known", pa.bool_()), ("a", pa.int64())])
-_DDL = "lang string, k int, phrase string, hash long, known boolean, a long"
+_HASHES = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("a", pa.binary())])
+_FOUND = pa.schema([("hash", pa.int64()), ("fresh", pa.bool_())])
+_OUT = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
 #: Bytes of phrases in one batch.
 _BATCH = 32 << 20
 
@@ -53,35 +54,24 @@ def _has(bitmap: np.ndarray | None, hashes: np.ndarray, default: bool) -> np.nda
     """Whether each hash's bit is set; without a bitmap, all are (or none)."""
     if bitmap is None:
         return np.full(len(hashes), default)
-    at = hashes & np.uint64(8 * len(bitmap) - 1)
+    at = hashes >> np.uint64(1) & np.uint64(8 * len(bitmap) - 1)
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _phrases(lang: str, k: int, words: pa.Array, grams: np.ndarray, hashes: np.ndarray, known: np.ndarray, counts: np.ndarray):
-    """Batches of counted phrases; ``grams`` has the numbers of each phrase's words."""
-    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False)[grams].sum(1) + k
-    cut = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum() + _BATCH, _BATCH))
-    for i, j in zip(cut, [*cut[1:], len(grams)], strict=True):
-        for s in range(i, j, 100_000):
-            e = min(j, s + 100_000)
-            texts = pc.binary_join_element_wise(*[words.take(pa.array(grams[s:e, c])) for c in range(k)], " ")
-            yield A.rows(_OUT, {"lang": [lang] * (e - s), "k": np.full(e - s, k, np.int32), "phrase": texts, "hash": A.signed(hashes[s:e]), "known": known[s:e], "a": counts[s:e]})
+def _levels(lang: str, x: np.ndarray, hashes: np.ndarray, longest: int, new, old):
+    """(k, numbers of the words of each phrase, hashes, counts) of the phrases that ``new`` admits and ``old`` does not.
 
-
-def _count_lang(lang: str, parts: list[np.ndarray], words: pa.Array, hashes: np.ndarray, longest: int, new, old, again: bool):
-    """Counts of one language's words and phrases. ``new``, ``old``: proposals of this and of the last full pass."""
-    x = np.concatenate(parts)
-    base = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
-    h = A.mix(hashes ^ base)
+    A phrase is admitted if both its parts of one word less are members: proposed, and so their own parts. The last bit of a hash
+    says whether the phrase has ``longest`` words, which are part of no other.
+    """
+    h = A.mix(hashes ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))) & ~np.uint64(1)
     counts = np.bincount(x, minlength=len(h))
-    counts[0] = 0
-    is_new, is_old = _has(new, h, True), _has(old, h, False)
-    is_new[0] = is_old[0] = False  # the break
     grams = np.arange(len(h))[:, None]
-    if not again:
-        yield A.rows(_OUT, {"lang": [lang], "k": [0], "phrase": [""], "hash": [0], "known": [True], "a": [int(counts.sum())]})
-        hit = np.flatnonzero(counts)
-        yield from _phrases(lang, 1, words, grams[hit], h[hit], is_new[hit], counts[hit])
+    if old is None:
+        hit = np.flatnonzero(counts[1:]) + 1  # 0 is the break
+        yield 1, grams[hit], h[hit], counts[hit]
+    is_new, is_old = _has(new, h, True), _has(old, h, False)
+    is_new[0] = is_old[0] = False
     for k in range(2, longest + 1):
         at = np.flatnonzero(is_new[x[:-1]] & is_new[x[1:]])
         keys, inverse, counts = np.unique(x[at] * np.int64(len(h)) + x[at + 1], return_inverse=True, return_counts=True)
@@ -89,23 +79,16 @@ def _count_lang(lang: str, parts: list[np.ndarray], words: pa.Array, hashes: np.
         done = is_old[left] & is_old[right]
         x, grams = np.full(len(x) - 1, len(keys)), np.concatenate([grams[left], grams[right][:, -1:]], 1)
         x[at] = inverse
-        h = A.mix(h[left] * A._ODD + h[right])
-        is_new, is_old = _has(new, h, True), _has(old, h, False) & done
+        h = A.mix(h[left] * A._ODD + h[right]) & ~np.uint64(1) | np.uint64(k == longest)
         hit = np.flatnonzero(~done)
-        yield from _phrases(lang, k, words, grams[hit], h[hit], is_new[hit], counts[hit].astype(np.int64))
-        # positions without a phrase carry one more number, which is no proposal
+        yield k, grams[hit], h[hit], counts[hit]
+        # positions without a phrase carry one more number, which is no member
+        is_new, is_old = np.r_[_has(new, h, True), False], np.r_[_has(old, h, False) & done, False]
         h, grams = np.r_[h, np.uint64(0)], np.concatenate([grams, np.zeros((1, k), grams.dtype)])
-        is_new, is_old = np.r_[is_new, False], np.r_[is_old, False]
 
 
-def _count(longest: int, new=None, old=None, again: bool = False):
-    def flush(parts, numbers):
-        words = list(numbers)
-        hashes = A.hash_items(words)
-        words = pa.array(words, pa.binary()).cast(pa.string())
-        bitmap = [None if b is None else np.frombuffer(b.value, np.uint8) for b in (new, old)]
-        for lang, xs in parts.items():
-            yield from _count_lang(lang, xs, words, hashes, longest, *bitmap, again)
+def _in_stretches(flush):
+    """Runs ``flush(words by language as numbers, words)`` for each stretch of a task's texts."""
 
     def run(batches):
         parts, numbers, size = {}, _Numbers({BREAK: 0}), 0
@@ -116,48 +99,102 @@ def _count(longest: int, new=None, old=None, again: bool = False):
                 parts.setdefault(lang, []).append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
                 size += len(words)
                 if size >= A.FLUSH:
-                    yield from flush(parts, numbers)
+                    yield from flush({k: np.concatenate(v) for k, v in parts.items()}, list(numbers))
                     parts, numbers, size = {}, _Numbers({BREAK: 0}), 0
         if parts:
-            yield from flush(parts, numbers)
+            yield from flush({k: np.concatenate(v) for k, v in parts.items()}, list(numbers))
 
     return run
 
 
-def _summed(texts: DataFrame, run, at_least: int) -> DataFrame:
-    """Counts over all tasks of what has ``at_least`` occurrences (``k`` 0: all words of a language)."""
-    found = texts.mapInArrow(run, _DDL).groupBy("hash", "lang", "k", "phrase", "known").agg(F.sum("a").alias("a"))
-    return cut_lineage(found.filter((F.col("a") >= at_least) | (F.col("k") == 0)))
+def _array(bitmap):
+    return None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
+
 
+def _send_hashes(longest: int, n: int, new=None, old=None):
+    def flush(parts, words):
+        hashes, hs, counts = A.hash_items(words), [], []
+        for lang, x in parts.items():
+            for _, _, h, a in _levels(lang, x, hashes, longest, _array(new), _array(old)):
+                hs.append(h)
+                counts.append(a.astype("<u4"))
+        h, a = np.concatenate(hs), np.concatenate(counts)
+        for b, i in A.by_bucket(A.bucket_of(h, n).astype(np.int32), n):
+            yield A.rows(_HASHES, {"bucket": [b], "hash": [h[i].astype("<u8").tobytes()], "a": [a[i].tobytes()]})
 
-def _bitmap(proposed: DataFrame, bits: int, before: bytes | None = None) -> bytes:
-    """``before`` with the bits of ``proposed``; at most 2 ** (bits - 6) numbers reach the driver, whatever the input."""
-    at = F.expr(f"hash & {(1 << bits) - 1}L")
-    slots = proposed.groupBy(F.shiftright(at, 6).alias("slot")).agg(F.expr(f"bit_or(shiftleft(1L, cast(hash & {63}L as int)))").alias("bits"))
+    return _in_stretches(flush)
+
+
+def _judge(at_least: int, now=None):
+    """Hashes of a bucket with ``at_least`` occurrences; ``fresh``: not proposed, and part of longer phrases."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, a = A.join_blobs(table, "hash", "<u8"), A.join_blobs(table, "a", "<u4")
+        order = np.argsort(h)
+        h, a = h[order], a[order].astype(np.int64)
+        start, _ = A.runs(h)
+        h = h[start][np.add.reduceat(a, start) >= at_least] if len(start) else h
+        fresh = ~_has(_array(now), h, False) & (h & np.uint64(1) == 0)
+        return pa.table([pa.array(A.signed(h)), pa.array(fresh)], schema=_FOUND)
+
+    return run
+
+
+def _frequent_hashes(texts: DataFrame, longest: int, at_least: int, now=None, before=None) -> DataFrame:
+    sent = texts.mapInArrow(_send_hashes(longest, A.n_buckets(texts.sparkSession), now, before), "bucket int, hash binary, a binary")
+    return cut_lineage(sent.groupBy("bucket").applyInArrow(_judge(at_least, now), "hash long, fresh boolean"))
+
+
+def _bitmap(found: DataFrame, bits: int, before: bytes | None = None) -> bytes:
+    """``before`` with the bits of the hashes found; at most 2 ** (bits - 6) numbers reach the driver, whatever the input."""
+    at = F.expr(f"shiftright(hash, 1) & {(1 << bits) - 1}L")
+    slots = found.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63L as int)))").alias("bits"))
     got = slots.toArrow()
     out = np.zeros(1 << (bits - 6), np.int64) if before is None else np.frombuffer(before, np.int64).copy()
     out[got.column("slot").to_numpy()] |= got.column("bits").to_numpy()
     return out.tobytes()
 
 
+def _send_texts(longest: int, frequent):
+    """``lang, k, phrase, a`` of the phrases whose hash and whose parts' hashes are frequent; ``k`` 0 for all words of a language."""
+
+    def batches_of(lang, k, words, grams, counts):
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)[grams].sum(1) + k
+        part = np.cumsum(sizes) // _BATCH
+        cuts = np.unique(np.r_[np.flatnonzero(np.diff(part)) + 1, np.arange(0, len(grams), 100_000), len(grams)])
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            texts = pc.binary_join_element_wise(*[words.take(pa.array(grams[i:j, c])) for c in range(k)], " ")
+            yield A.rows(_OUT, {"lang": [lang] * (j - i), "k": np.full(j - i, k, np.int32), "phrase": texts, "a": counts[i:j].astype(np.int64)})
+
+    def flush(parts, words):
+        bitmap, hashes, words = _array(frequent), A.hash_items(words), pa.array(words, pa.binary()).cast(pa.string())
+        for lang, x in parts.items():
+            yield A.rows(_OUT, {"lang": [lang], "k": [0], "phrase": [""], "a": [int(np.count_nonzero(x))]})
+            for k, grams, h, counts in _levels(lang, x, hashes, longest, bitmap, None):
+                hit = _has(bitmap, h, True)
+                yield from batches_of(lang, k, words, grams[hit], counts[hit])
+
+    return _in_stretches(flush)
+
+
 def frequent_phrases(docs: DataFrame, min_count: int = 10, longest: int = 3, sample: float = 0.25, bits: int = 26) -> DataFrame:
     """``lang, k, phrase, a``: every phrase of 1 to ``longest`` words with ``a`` >= ``min_count``; ``k`` 0: all words of the language."""
     sc = docs.sparkSession.sparkContext
     texts = A.with_text(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text", F.col("doc_id").alias("_doc")), "lang", "_doc")
     lot = F.pmod(F.xxhash64("_doc", "text", F.lit(11)), F.lit(1 << 20)) < int(sample * (1 << 20))
     drawn, texts = texts.filter(lot).drop("_doc"), texts.drop("_doc")
-    proposed = _summed(drawn, _count(longest - 1), max(1, round(0.8 * sample * min_count))).filter("k > 0")
-    now = _bitmap(proposed, bits)
-    found = _summed(texts, _count(longest, sc.broadcast(now)), min_count)
-    tables = [found]
-    while not (failures := found.filter((F.col("k") > 0) & (F.col("k") < longest) & ~F.col("known"))).isEmpty():
-        before, now = now, _bitmap(failures, bits, now)
-        found = _summed(texts, _count(longest, sc.broadcast(now), sc.broadcast(before), True), min_count)
-        tables.append(found)
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out.select("lang", "k", "phrase", "a")
+    now = _bitmap(_frequent_hashes(drawn, longest, max(1, round(0.8 * sample * min_count))), bits)
+    shared = sc.broadcast(now)
+    found = _frequent_hashes(texts, longest, min_count, shared)
+    frequent = _bitmap(found, bits)
+    while not (failures := found.filter("fresh")).isEmpty():
+        now, before = _bitmap(failures, bits, now), shared
+        shared = sc.broadcast(now)
+        found = _frequent_hashes(texts, longest, min_count, shared, before)
+        frequent = _bitmap(found, bits, frequent)
+    counted = texts.mapInArrow(_send_texts(longest, sc.broadcast(frequent)), "lang string, k int, phrase string, a long")
+    counted = counted.groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
+    return cut_lineage(counted.filter((F.col("a") >= min_count) | (F.col("k") == 0)))
 
 
 def _cuts(df: DataFrame, longest: int) -> DataFrame:
