@@ -2,15 +2,16 @@
 
 1. A text's size is its number of words. Sources, in code-point order with null last, take the weights in turn and share
    ``ratio`` times all words; a target stops at ``most`` times its source's size, and the excess is shared again by weight.
-2. Each source is dealt by a hash of its documents to as many shards as its own words need. In a shard, documents in seeded order form a stream that is cut
-   into equal blocks of about ``block`` words.
-3. All blocks of the mix go to sources by the highest quotients target / (2k - 1), then each source's blocks to its shards by
-   the quotients of their sizes: integer quotas per shard.
-4. A shard takes whole passes over its blocks, and the rest of its quota in seeded order.
-
-A document's ``taken`` words are its share of the blocks taken. Null and empty texts have size 0 and are never taken. The hash
-of (doc_id, text) orders a shard, so reruns agree, whatever the order of the rows; equal rows have equal results. A hot
-source is split over shards, whose number follows its words; one row per source or shard is all that quotas look at.
+2. The mix is counted in equal blocks of ``unit`` words: ``block``, or less where the smallest target asks for it (a sixteenth of it).
+   Blocks go to sources by the highest quotients target / (2k - 1), then each source's blocks to its shards by the quotients
+   of their sizes: integer quotas per shard. Only quotients near a share are ever listed, so their number follows the sources.
+3. A shard is dealt its documents by a hash; a source has as many shards as its own words need. In a shard, documents in seeded order
+   form a stream, cut into lots of about ``block`` words.
+4. A shard takes whole passes over its stream, and the rest of its quota as lots in seeded order, of the last one its first words.
+
+A document's ``taken`` words are its share of the lots taken. Null and empty texts have size 0 and are never taken; an empty table gives
+an empty mix. The hash of (doc_id, text, source) orders a shard, so reruns agree, whatever the order of the rows; equal rows are
+rows of their own, which one of them takes what is a matter of chance. Other columns pass through ``taken_rows``.
 """
 
 from __future__ import annotations
@@ -26,12 +27,18 @@ from pyspark.sql import functions as F
 
 from repolore.session import broadcast_if_small, cut_lineage
 
+#: Name of a column that no table has.
+CUTS = "cuts\x01"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rk"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _row_key().alias("rk"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...], ratio: float, most: float) -> DataFrame:
@@ -84,57 +91,59 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return left.join(renamed, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys]), how).drop(*[f"_r_{c}" for c in keys])
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, most: int = 2, block: int = 128, shard_words: int = 4_000_000, seed: int = 1) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken, passes, spans`` for every row of ``docs`` (``doc_id, text, source``).
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, most: int = 2, block: int = 128, shard_words: int = 1_000_000, seed: int = 1) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, passes, spans, rk`` for every row of ``docs`` (``doc_id, text, source``).
 
-    ``passes``: times the whole document is taken; ``spans``: word ranges (start, end) taken once more.
+    ``passes``: times the whole document is taken; ``spans``: word ranges (start, end) taken once more; ``rk``: the row's key.
     """
     sized = cut_lineage(sizes(docs))
     goal = cut_lineage(targets(sized, weights, ratio, most))
-    # by a source's own words: a small source cut into the shards of all words would have blocks far below ``block``
+    # by a source's own words, so that a small source is one stream
     n_shards = goal.filter("source_size > 0").select("source", F.ceil(F.col("source_size") / shard_words).alias("n_shards"))
     dealt = _same(sized.filter("size > 0"), broadcast_if_small(n_shards), ["source"])
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("rk", F.lit(seed)), F.col("n_shards")).cast("int")).drop("n_shards")
     stream = W.partitionBy("source", "shard").orderBy(F.xxhash64("rk", F.lit(seed + 1)), "rk")
     dealt = dealt.withColumn("end", F.sum("size").over(stream.rowsBetween(W.unboundedPreceding, 0)))
     dealt = cut_lineage(dealt.withColumn("start", F.col("end") - F.col("size")))
-    shards = cut_lineage(dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("words") / block)).cast("long")))
-
-    total = goal.agg(F.sum("target")).first()[0] or 0.0
-    all_sources = goal.withColumn("_one", F.lit(1))
-    quotas = apportion(all_sources, ["_one"], "target", F.lit(round(total / block))).select("source", F.col("quota").alias("seats"))
-    quotas = cut_lineage(quotas)
-    by_shard = _same(shards, quotas, ["source"]).select("source", "shard", "words", "blocks", "seats")
-    by_shard = apportion(by_shard, ["source"], "words", F.col("seats"), F.col("blocks") * most)
-    by_shard = cut_lineage(by_shard.select("source", "shard", "words", "blocks", F.expr("quota div blocks").alias("passes"), F.expr("quota % blocks").alias("rest")))
-
-    chosen = by_shard.filter("rest > 0").select("source", "shard", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    lot = W.partitionBy("source", "shard").orderBy(F.xxhash64("source", "shard", "block", F.lit(seed + 2)), "block")
-    chosen = chosen.withColumn("rank", F.row_number().over(lot)).filter("rank <= rest").select("source", "shard", "block", F.lit(True).alias("hit"))
+    shards = cut_lineage(dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")))
+
+    total, least = goal.filter("target > 0").agg(F.sum("target"), F.min("target")).first()
+    unit = max(1, min(block, int((least or 0) / 16)))
+    quotas = apportion(goal.withColumn("_one", F.lit(1)), ["_one"], "target", F.lit(round((total or 0.0) / unit))).select("source", F.col("quota").alias("seats"))
+    by_shard = _same(shards, cut_lineage(quotas), ["source"]).select("source", "shard", "words", "seats")
+    by_shard = apportion(by_shard, ["source"], "words", F.col("seats"), F.ceil(F.col("words") * most / unit))
+    by_shard = by_shard.withColumn("quota", F.least(F.col("quota") * unit, F.col("words") * most))
+    by_shard = by_shard.withColumn("lots", F.greatest(F.lit(1), F.round(F.col("words") / block)).cast("long"))
+    by_shard = cut_lineage(by_shard.select("source", "shard", "words", "lots", F.expr("quota div words").alias("passes"), F.expr("quota % words").alias("rest")))
+
+    # lot j holds words floor(j * words / lots) up to floor((j + 1) * words / lots)
+    low, high = F.expr("lot * words div lots"), F.expr("(lot + 1) * words div lots")
+    lots = by_shard.filter("rest > 0").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)))
+    order = W.partitionBy("source", "shard").orderBy(F.xxhash64("source", "shard", "lot", F.lit(seed + 2)), "lot")
+    before = F.sum(high - low).over(order.rowsBetween(W.unboundedPreceding, 0)) - (high - low)
+    chosen = lots.withColumn("use", F.least(high - low, F.col("rest") - before)).filter("use > 0").select("source", "shard", "lot", "use")
 
     placed = _same(dealt, by_shard, ["source", "shard"])
-    # block j holds words floor(j * words / blocks) up to floor((j + 1) * words / blocks)
-    first, last = F.expr("(start * blocks + blocks - 1) div words"), F.expr("((end - 1) * blocks + blocks - 1) div words")
-    first = F.when(F.expr("((start * blocks + blocks - 1) div words) * words div blocks > start"), first - 1).otherwise(first)
-    last = F.when(F.expr("(((end - 1) * blocks + blocks - 1) div words) * words div blocks > end - 1"), last - 1).otherwise(last)
-    cut = placed.withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.col("blocks") - 1))))
-    cut = cut.withColumn("lo", F.greatest("start", F.expr("block * words div blocks"))).withColumn("hi", F.least("end", F.expr("(block + 1) * words div blocks"))).filter("hi > lo")
-    got = _same(cut, chosen, ["source", "shard", "block"], "left")
-    span = F.when(F.col("hit"), F.struct((F.col("lo") - F.col("start")).alias("start"), (F.col("hi") - F.col("start")).alias("end")))
-    # rows that agree in doc_id and text share a key; each lies in the stream for itself, so each is its own group
-    per = got.groupBy("rk", "start", "size", "passes").agg(F.sum(F.when(F.col("hit"), F.col("hi") - F.col("lo")).otherwise(0)).alias("more"), F.sort_array(F.collect_list(span)).alias("spans"))
-    per = per.withColumn("taken", F.col("passes") * F.col("size") + F.col("more"))
-    nth = F.row_number().over(W.partitionBy("rk").orderBy("start"))
-    base = sized.withColumn("nth", F.row_number().over(W.partitionBy("rk").orderBy("size")))
-    out = base.join(per.select("rk", nth.alias("nth"), "taken", "passes", "spans"), ["rk", "nth"], "left")
-    out = _same(out, goal, ["source"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("passes", F.lit(0)).alias("passes"), "spans", "rk", "nth")
+    first, last = F.expr("(start * lots + lots - 1) div words"), F.expr("((end - 1) * lots + lots - 1) div words")
+    first = F.when(F.expr("((start * lots + lots - 1) div words) * words div lots > start"), first - 1).otherwise(first)
+    last = F.when(F.expr("(((end - 1) * lots + lots - 1) div words) * words div lots > end - 1"), last - 1).otherwise(last)
+    cut = placed.withColumn("lot", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.col("lots") - 1))))
+    got = _same(cut, chosen, ["source", "shard", "lot"], "left")
+    got = got.withColumn("lo", F.greatest("start", low)).withColumn("hi", F.least("end", high, low + F.coalesce("use", F.lit(0))))
+    hit = F.col("hi") > F.col("lo")
+    span = F.when(hit, F.struct((F.col("lo") - F.col("start")).alias("start"), (F.col("hi") - F.col("start")).alias("end")))
+    # a place in the stream is one row of the table, whatever it has in common with others
+    per = got.groupBy("source", "shard", "start", "rk", "doc_id", "size", "passes").agg(F.sum(F.when(hit, F.col("hi") - F.col("lo")).otherwise(0)).alias("more"), F.sort_array(F.collect_list(span)).alias("spans"))
+    per = per.select("doc_id", "source", "size", (F.col("passes") * F.col("size") + F.col("more")).cast("long").alias("taken"), "passes", "spans", "rk")
+    none = sized.filter("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("passes"), F.lit(None).cast(per.schema["spans"].dataType).alias("spans"), "rk")
+    out = _same(per.unionByName(none), goal, ["source"], "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "spans", "rk")
 
 
 def _pieces(batches):
     word = regex.compile(WORD)
     for batch in batches:
-        texts, cuts = batch.column("text").to_pylist(), batch.column("_cuts").to_pylist()
+        texts, cuts = batch.column("text").to_pylist(), batch.column(CUTS).to_pylist()
         out = []
         for text, spans in zip(texts, cuts, strict=True):
             if spans is None:
@@ -142,22 +151,22 @@ def _pieces(batches):
                 continue
             at = [m.span() for m in word.finditer(text)]
             out.append(" ".join(text[at[s["start"]][0] : at[s["end"] - 1][1]] for s in spans))
-        names = [n for n in batch.schema.names if n not in ("text", "_cuts")]
+        names = [n for n in batch.schema.names if n not in ("text", CUTS)]
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.string())], names=[*names, "text"])
 
 
 def taken_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: a row per whole pass, and one of the words in ``spans`` (runs joined by a space)."""
-    key = docs.withColumn("_rk", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    got = mixed.filter("taken > 0").groupBy(F.col("rk").alias("_got")).agg(F.collect_list(F.struct("passes", "spans")).alias("_rows"))
-    rows = key.dropDuplicates(["_rk"]).join(got, F.col("_rk") == F.col("_got"))
-    rows = rows.select(*docs.columns, F.explode("_rows").alias("_row"))
-    span = F.when(F.size("_row.spans") > 0, F.array(F.col("_row.spans"))).otherwise(F.array())
-    whole = F.array_repeat(F.lit(None).cast("array<struct<start:bigint,end:bigint>>"), F.col("_row.passes").cast("int"))
-    rows = rows.select(*docs.columns, F.explode(F.concat(whole, span)).alias("_cuts"))
+    # inside the job, columns have names that no table has
+    key, passes, spans, cuts = "rk\x01", "passes\x01", "spans\x01", CUTS
+    got = mixed.filter("taken > 0").select(F.col("rk").alias(key), F.col("passes").alias(passes), F.col("spans").alias(spans))
+    rows = docs.withColumn(key, _row_key()).dropDuplicates([key]).join(got, key)
+    span = F.when(F.size(spans) > 0, F.array(F.col(spans))).otherwise(F.array())
+    whole = F.array_repeat(F.lit(None).cast("array<struct<start:bigint,end:bigint>>"), F.col(passes).cast("int"))
+    rows = rows.select(*docs.columns, F.explode(F.concat(whole, span)).alias(cuts))
     others = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", text string"
-    out = rows.select(*others, "text", "_cuts").mapInArrow(_pieces, schema)
+    out = rows.select(*others, "text", cuts).mapInArrow(_pieces, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -24,6 +24,8 @@ from repolore.session import cut_lineage
 SPACE = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: Holds the caller's columns while statistics are worked out.
+ROW = "row\x01"
 
 #: Ratios that rules may test; all are defined for texts without words.
 FEATURES = {
@@ -55,10 +57,12 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_shouts, n_upper and FEATURES.
 
     ``n_repeat_words`` counts words inside five-word windows found twice in the text: hashes of the windows are compared as a
-    set first; only texts with a repeat sort them and merge the places.
+    set first; only texts with a repeat sort them and merge the places. Columns of ``docs`` keep their values, but for those that have
+    the name of a statistic, which are replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.withColumn("_text", text).withColumn("_trim", F.btrim("_text", F.lit(SPACE)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    df = docs.select(row.alias(ROW), text.alias("_text")).withColumn("_trim", F.btrim("_text", F.lit(SPACE)))
     df = df.withColumn("_w", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", GAP)))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("_lines", lines)
@@ -77,7 +81,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     df = df.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     # a generator, so that filters on the statistics stay above them instead of repeating their expressions
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_upper"]
-    df = df.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], F.inline(F.array(F.struct(*names))))
+    own = [F.col(f"`{ROW}`.`{c}`").alias(c) for c in docs.columns if c not in names and c not in FEATURES]
+    df = df.select(*own, F.inline(F.array(F.struct(*names))))
     return df.withColumns({name: F.expr(rule).cast("double") for name, rule in FEATURES.items()})
 
 
