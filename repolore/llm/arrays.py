@@ -105,3 +105,20 @@ def rows(schema: pa.Schema, columns: dict[str, Iterable]) -> pa.RecordBatch:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
+
+
+def bitmap_of(df: DataFrame, column: str, bits: int, before: bytes | None = None) -> bytes:
+    """2 ** ``bits`` bits with those of the hashes in ``column`` set, added to ``before``. Whatever the input, at most
+    2 ** (bits - 6) numbers reach the driver. The last bit of a hash is not looked at."""
+    at = F.expr(f"shiftright({column}, 1) & {(1 << bits) - 1}L")
+    slots = df.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63L as int)))").alias("bits"))
+    got = slots.toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64) if before is None else np.frombuffer(before, np.int64).copy()
+    out[got.column("slot").to_numpy()] |= got.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash's bit is set in a bitmap (as bytes)."""
+    at = hashes >> np.uint64(1) & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

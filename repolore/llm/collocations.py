@@ -52,10 +52,7 @@ class _Numbers(dict):
 
 def _has(bitmap: np.ndarray | None, hashes: np.ndarray, default: bool) -> np.ndarray:
     """Whether each hash's bit is set; without a bitmap, all are (or none)."""
-    if bitmap is None:
-        return np.full(len(hashes), default)
-    at = hashes >> np.uint64(1) & np.uint64(8 * len(bitmap) - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return np.full(len(hashes), default) if bitmap is None else A.in_bitmap(bitmap, hashes)
 
 
 def _levels(lang: str, x: np.ndarray, hashes: np.ndarray, longest: int, new, old):
@@ -145,16 +142,6 @@ def _frequent_hashes(texts: DataFrame, longest: int, at_least: int, now=None, be
     return cut_lineage(sent.groupBy("bucket").applyInArrow(_judge(at_least, now), "hash long, fresh boolean"))
 
 
-def _bitmap(found: DataFrame, bits: int, before: bytes | None = None) -> bytes:
-    """``before`` with the bits of the hashes found; at most 2 ** (bits - 6) numbers reach the driver, whatever the input."""
-    at = F.expr(f"shiftright(hash, 1) & {(1 << bits) - 1}L")
-    slots = found.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63L as int)))").alias("bits"))
-    got = slots.toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64) if before is None else np.frombuffer(before, np.int64).copy()
-    out[got.column("slot").to_numpy()] |= got.column("bits").to_numpy()
-    return out.tobytes()
-
-
 def _send_texts(longest: int, frequent):
     """``lang, k, phrase, a`` of the phrases whose hash and whose parts' hashes are frequent; ``k`` 0 for all words of a language."""
 
@@ -183,15 +170,15 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, longest: int = 3, sam
     texts = A.with_text(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text", F.col("doc_id").alias("_doc")), "lang", "_doc")
     lot = F.pmod(F.xxhash64("_doc", "text", F.lit(11)), F.lit(1 << 20)) < int(sample * (1 << 20))
     drawn, texts = texts.filter(lot).drop("_doc"), texts.drop("_doc")
-    now = _bitmap(_frequent_hashes(drawn, longest, max(1, round(0.8 * sample * min_count))), bits)
+    now = A.bitmap_of(_frequent_hashes(drawn, longest, max(1, round(0.8 * sample * min_count))), "hash", bits)
     shared = sc.broadcast(now)
     found = _frequent_hashes(texts, longest, min_count, shared)
-    frequent = _bitmap(found, bits)
+    frequent = A.bitmap_of(found, "hash", bits)
     while not (failures := found.filter("fresh")).isEmpty():
-        now, before = _bitmap(failures, bits, now), shared
+        now, before = A.bitmap_of(failures, "hash", bits, now), shared
         shared = sc.broadcast(now)
         found = _frequent_hashes(texts, longest, min_count, shared, before)
-        frequent = _bitmap(found, bits, frequent)
+        frequent = A.bitmap_of(found, "hash", bits, frequent)
     counted = texts.mapInArrow(_send_texts(longest, sc.broadcast(frequent)), "lang string, k int, phrase string, a long")
     counted = counted.groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
     return cut_lineage(counted.filter((F.col("a") >= min_count) | (F.col("k") == 0)))

@@ -203,7 +203,7 @@ def test_decontaminate(spark):
         None,
         "",
     ]
-    found = decontaminate.leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), portion=40)
+    found = decontaminate.leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(0, 1), (1, 1), (4, 2), (6, 4)]
     twice = [(1, "we saw Anna walk and then we saw Anna run and later we heard Anna sing")]
     texts = ["so we saw Lena walk and then we saw Lena run and later we heard Lena sing", "so we saw Lena walk and then we saw Mary run and later we heard Vera sing"]
