@@ -24,6 +24,27 @@ CUT_SHORT = frozenset(("'re", "'ve", "'ll"))
 TOUCHING = rf" [{SPACE}]|[{SPACE}] |^[{SPACE}]|[{SPACE}]$"
 
 
+#: Characters of white space in one run from which the pattern's engine may give up.
+LONG_GAP = 50_000
+_LONG_GAP = regex.compile(rf"[{SPACE}]{{{LONG_GAP},}}")
+
+
+def between_long_gaps(text: str, special: tuple[str, ...] = ()):
+    """(stretch, whether it is one piece) of a text: a long run of white space is a piece, less its last character if text follows.
+
+    The pattern cuts there as well, so the ids of the stretches, one after another, are those of the text.
+    """
+    at = 0
+    for m in _LONG_GAP.finditer(text) if len(text) >= LONG_GAP else ():
+        end = m.end() if m.end() == len(text) or text.startswith(special, m.end()) else m.end() - 1
+        if m.start() > at:
+            yield text[at : m.start()], False
+        yield text[m.start() : end], True
+        at = end
+    if at < len(text) or not text:
+        yield text[at:], False
+
+
 class Kept(dict):
     """Values by element, worked out on first use; forgets all when ``limit`` is reached (it is refilled as needed)."""
 

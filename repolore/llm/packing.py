@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolore.llm import arrays as A
-from repolore.llm.bpe import PIECES
+from repolore.llm.bpe import LONG_GAP, PIECES, between_long_gaps
 
 #: Sequences that one partition can number.
 ROOM = 1 << 38
@@ -43,10 +43,15 @@ class Ids:
             special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.special = tuple(special)
         self.encoding = tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=table, special_tokens=special)
+        self.gap = tiktoken.Encoding("gaps", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={})
 
     def of(self, text: str) -> np.ndarray:
-        return np.asarray(self.encoding.encode(text, allowed_special="all"), "<u4")
+        if len(text) < LONG_GAP:
+            return np.asarray(self.encoding.encode(text, allowed_special="all"), "<u4")
+        parts = [self.gap.encode_ordinary(x) if one else self.encoding.encode(x, allowed_special="all") for x, one in between_long_gaps(text, self.special)]
+        return np.concatenate([np.asarray(x, "<u4") for x in parts])
 
 
 _LOADED: dict[tuple[str, str], Ids] = {}

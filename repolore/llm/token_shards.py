@@ -11,7 +11,8 @@ newline, which only Spark's text writer needs. The record of slot ``s`` is in sh
 
 The index of a sequence is its place in the scan of ``docs``: partition, then row. ``docs`` is read twice (to count, then to
 write), and each partition's second reading is held against the first; give a table that reads the same way twice, such as
-files. Null and empty texts make one sequence that holds the end mark. A null ``doc_id`` is written as the least int64.
+files. Null and empty texts make one sequence that holds the end mark. A null ``doc_id`` is written as the least int64. Rows that repeat
+are written again, texts of any length whole; an empty table makes no records. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolore.llm import arrays as A
-from repolore.llm.bpe import PIECES
+from repolore.llm.bpe import LONG_GAP, PIECES, between_long_gaps
 from repolore.session import cut_lineage, scratch_dir
 
 NO_ID = -(1 << 63)
@@ -50,6 +51,7 @@ class Ids:
         self.end = max(ranks.values()) + 1
         self.encoding = tiktoken.Encoding("shards", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.ranks = self.encoding.encode_ordinary
+        self.gap = tiktoken.Encoding("gaps", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
     def of(self, text: str) -> bytes:
         return np.asarray(self._ids(text), "<u2").tobytes()
@@ -59,7 +61,11 @@ class Ids:
 
     def _ids(self, text: str) -> list[int] | np.ndarray:
         # the list is made faster, the array is smaller
-        return self.ranks(text) if len(text) < LONG else self.encoding.encode_to_numpy(text, disallowed_special=())
+        if len(text) < LONG_GAP:
+            return self.ranks(text)
+        whole = lambda x: self.ranks(x) if len(x) < LONG else self.encoding.encode_to_numpy(x, disallowed_special=())
+        parts = [np.asarray(self.gap.encode_ordinary(x) if one else whole(x), "<u2") for x, one in between_long_gaps(text)]
+        return np.concatenate(parts)
 
 
 _LOADED: dict[str, Ids] = {}
