@@ -36,17 +36,22 @@ _SSE_TEXT = """deltas AS (SELECT l.response_id, l.seq, CASE WHEN l.seq%10=3 THEN
 
 
 def _half_lines(t):
-    """Event lines cut in two, as a network delivers them."""
+    """Event lines cut in two, as a network delivers them, numbered per response and spread over files out of order."""
+    lines = t("fx_sse")
     half = F.floor(F.length("line") / 2).cast("int")
-    return t.stream("fx_sse").select(
+    place = (F.col("seq") - F.col("response_id") * 200) * 2
+    chunks = lines.select(
         "response_id",
         F.inline(
             F.array(
-                F.struct((F.col("seq") * 2).alias("seq"), F.substr("line", F.lit(1), half).alias("data")),
-                F.struct((F.col("seq") * 2 + 1).alias("seq"), F.concat(F.substr("line", half + 1), F.lit("\n")).alias("data")),
+                F.struct(place.alias("seq"), F.substr("line", F.lit(1), half).alias("data")),
+                F.struct((place + 1).alias("seq"), F.concat(F.substr("line", half + 1), F.lit("\n")).alias("data")),
             )
         ),
     )
+    path = scratch_dir(t.spark, "chunks")
+    chunks.withColumn("file", F.pmod(F.hash("response_id", "seq"), F.lit(4))).repartition(4, "file").drop("file").write.parquet(path)
+    return t.spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("str1_delta_assembly", """SELECT response_id, string_agg(coalesce(delta, ''), '' ORDER BY seq) AS text FROM fx_deltas GROUP BY response_id""",
@@ -61,8 +66,9 @@ def _(t):
 @query("str2_sse_chunks", "SELECT response_id, seq, delta FROM deltas", ("fx_sse",), ctes=_SSE_TEXT)
 def _(t):
     out, state = _paths(t, "str2")
+    first = t("events").agg(F.min("event_id")).first()[0] or 0
     rows = _finish(jobs.write_batches(assemble.parse_chunks(_half_lines(t)), out, state), t.spark, out)
-    return rows.select("response_id", F.floor((F.col("seq") - 1) / 2).alias("seq"), "delta")
+    return rows.select("response_id", (F.floor((F.col("seq") - 1) / 2) + F.col("response_id") * 200).alias("seq"), "delta")
 
 
 @query("str3_live_stages", f"""SELECT conv_id, iteration, type, CASE type WHEN 'plan' THEN 'Research Plan' WHEN 'update' THEN

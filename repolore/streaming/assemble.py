@@ -2,7 +2,8 @@
 
 ``segments`` keeps the positions seen in a block and emits what a micro-batch adds as runs of neighbouring positions, so
 rows may come late, in other files or partitions, and only true repeats are dropped. ``growing_text`` keeps the parts of one
-answer, ``parse_chunks`` an unfinished line. Chunks of raw lines must come in order, since a line may run on.
+answer. ``parse_chunks`` reads lines that may run on from chunk to chunk, so a chunk that comes early waits in the state until the
+ones before it are there; a gap that stays open becomes an ``error`` row.
 """
 
 from __future__ import annotations
@@ -11,21 +12,16 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DELTA_SCHEMA = "response_id bigint, seq bigint, line bigint, delta string"
+LINE_SCHEMA = DELTA_SCHEMA + ", error string"
 SEGMENT_SCHEMA = "response_id bigint, from_seq bigint, to_seq bigint, text string"
 BLOCK = 4_096
 
 
-def _in_order(rows: Iterator[pd.DataFrame], last: int) -> pd.DataFrame:
-    """This micro-batch's new rows of one response by ``seq``; repeats of seen positions are dropped."""
-    pdf = pd.concat(list(rows), ignore_index=True)
-    return pdf[pdf["seq"] > last].drop_duplicates("seq").sort_values("seq", kind="stable")
-
-
 def event_text(line: str) -> str | None:
     """Text of one event line; None for comments, blanks and broken JSON."""
     line = line.strip()
@@ -39,29 +35,102 @@ def event_text(line: str) -> str | None:
 
 
 class LineParser(StatefulProcessor):
-    """Raw chunks (response_id, seq, data) to deltas at (seq, line). A line may be split over chunks and over micro-batches."""
+    """Raw chunks (response_id, seq, data), numbered from ``first`` without holes, to deltas at (seq, line).
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    Chunks may come in any order, file and micro-batch; a line may be split over any of them. State: the next chunk expected, the
+    unfinished line, and the chunks that came early. With ``gap_ms``, a chunk that others have waited for that long is given up: its
+    error row names the chunks that are missing, and reading goes on behind the first line end after them. Repeats are
+    dropped. After the end mark nothing is kept but the mark.
+    """
+
+    def __init__(self, ttl_ms: int | None = None, gap_ms: int | None = None, first: int = 0):
+        self.ttl_ms, self.gap_ms, self.first = ttl_ms, gap_ms, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("line", "last bigint, rest string, done boolean", self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("line", "next bigint, rest string, torn boolean, done boolean, waiting bigint", self.ttl_ms)
+        self.early = handle.getMapState("early", "seq bigint", "data string", self.ttl_ms)
+
+    def _load(self) -> None:
+        self.next, self.rest, self.torn, self.done, self.waiting = (
+            self.state.get() if self.state.exists() else (self.first, "", False, False, 0)
+        )
+
+    def _read(self, data: str | None) -> list[tuple[int, str]]:
+        """(line number, text) of the lines that the next chunk ends."""
+        seq, out = self.next, []
+        *lines, self.rest = (self.rest + (data or "")).split("\n")
+        if self.torn and lines:  # the first line end after a gap ends a line whose beginning is lost
+            lines, self.torn = [None, *lines[1:]], False
+        for i, line in enumerate(lines):
+            if line is not None and not self.done:
+                self.done = line.strip() == "data: [DONE]"
+                text = None if self.done else event_text(line)
+                if text:
+                    out.append((seq, i, text))
+        self.next += 1
+        return out
+
+    def _drain(self) -> list[tuple[int, str]]:
+        """Lines of the early chunks whose turn has come."""
+        out = []
+        while self.waiting and not self.done and self.early.containsKey((self.next,)):
+            key = (self.next,)
+            data = self.early.getValue(key)[0]
+            self.early.removeKey(key)
+            self.waiting -= 1
+            out += self._read(data)
+        return out
+
+    def _save(self, now: int) -> None:
+        if self.done and self.waiting:
+            self.early.clear()
+            self.waiting = 0
+        if self.gap_ms:
+            timers = list(self.handle.listTimers())
+            if self.waiting and not timers:
+                self.handle.registerTimer(now + self.gap_ms)
+            elif not self.waiting:
+                for t in timers:
+                    self.handle.deleteTimer(t if isinstance(t, int) else t[0])
+        self.state.update((self.next, "" if self.done else self.rest, self.torn, self.done, self.waiting))
+
+    def _rows(self, key, found, error: tuple[int, str] | None = None) -> pd.DataFrame:
+        rows = [(key[0], error[0], -1, None, error[1])] if error else []
+        rows += [(key[0], seq, i, text, None) for seq, i, text in found]
+        frame = pd.DataFrame(rows, columns=["response_id", "seq", "line", "delta", "error"])
+        return frame.astype({"response_id": "int64", "seq": "int64", "line": "int64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, rest, done = self.state.get() if self.state.exists() else (-1, "", False)
+        self._load()
         out = []
-        for seq, data in _in_order(rows, last)[["seq", "data"]].itertuples(index=False):
-            last = int(seq)
-            *lines, rest = (rest + (data or "")).split("\n")
-            for i, line in enumerate(lines):
-                done = done or line.strip() == "data: [DONE]"
-                text = None if done else event_text(line)
-                if text:
-                    out.append((key[0], last, i, text))
-        self.state.update((last, rest, done))
-        yield pd.DataFrame(out, columns=["response_id", "seq", "line", "delta"]).astype(
-            {"response_id": "int64", "seq": "int64", "line": "int64"}
-        )
+        chunks = pd.concat(list(rows), ignore_index=True).drop_duplicates("seq").sort_values("seq", kind="stable")
+        for seq, data in chunks[["seq", "data"]].itertuples(index=False):
+            if self.done or seq < self.next:
+                continue
+            if seq > self.next:
+                out += self._drain()
+            if seq == self.next:
+                out += self._read(data)
+            elif seq > self.next and not (self.waiting and self.early.containsKey((int(seq),))):
+                self.early.updateValue((int(seq),), (data,))
+                self.waiting += 1
+        out += self._drain()
+        self._save(timerValues.getCurrentProcessingTimeInMs() if self.gap_ms else 0)
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._load()
+        if not self.waiting:
+            return
+        missing = self.next
+        self.next = min(k[0] for k in self.early.keys())
+        self.rest, self.torn = "", True
+        why = f"chunks {missing} to {self.next - 1} did not come"
+        out = self._drain()
+        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+        self._save(timerValues.getCurrentProcessingTimeInMs())
+        yield self._rows(key, out, (missing, why))
 
     def close(self) -> None:
         pass
@@ -133,9 +202,21 @@ def _run(stream: DataFrame, keys: list[str], processor, schema: str, mode: str)
     )
 
 
-def parse_chunks(chunks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """A line may run on into the next chunk, so a response is read in one place; one model answer is its size."""
-    return _run(chunks.select("response_id", "seq", "data"), ["response_id"], LineParser(ttl_ms), DELTA_SCHEMA, "append")
+def parse_chunks(chunks: DataFrame, ttl_ms: int | None = None, gap_ms: int | None = None, first: int = 0) -> DataFrame:
+    """(response_id, seq, line, delta, error) of chunks in any order (see ``LineParser``).
+
+    A line may run on into the next chunk, so a response is read in one place; one model answer is its size. Without ``gap_ms``
+    a chunk is waited for as long as the stream lives; ``waiting_chunks`` shows what waits."""
+    parser = LineParser(ttl_ms, gap_ms, first)
+    return chunks.select("response_id", "seq", "data").groupBy("response_id").transformWithStateInPandas(
+        statefulProcessor=parser, outputStructType=LINE_SCHEMA, outputMode="append", timeMode=time_mode(ttl_ms or gap_ms)
+    )
+
+
+def waiting_chunks(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(response_id, seq) of chunks that a stopped ``parse_chunks`` stream with this checkpoint still holds back."""
+    state = spark.read.format("statestore").option("stateVarName", "early").load(checkpoint)
+    return state.select(F.col("key.response_id").alias("response_id"), F.col("user_map_key.seq").alias("seq"))
 
 
 def segments(deltas: DataFrame, ttl_ms: int | None = None) -> DataFrame:

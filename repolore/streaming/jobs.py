@@ -21,17 +21,18 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 def write_batches(
     stream: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] = lambda b: b,
-    mode: str = "append",
+    mode: str = "append", every: str | None = None,
 ) -> StreamingQuery:
-    """Run ``each`` on every micro-batch and write the result under ``path``/batch=<id>."""
+    """Run ``each`` on every micro-batch and write the result under ``path``/batch=<id>.
+
+    The query ends with the available data, or starts a batch ``every`` so often until it is stopped; streams with clocks (expiry, gaps)
+    need the latter."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         each(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (
-        stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
 def live_stages(growing: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,5 +1,7 @@
 """Streams fed file by file, so state has to survive micro-batches; results equal the batch operators."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +31,22 @@ def run(spark, stream, tmp_path, each=lambda b: b, mode="append"):
     return spark.read.parquet(out)
 
 
+def run_until(spark, stream, tmp_path, enough, seconds=40):
+    """Rows of a stream that goes on, once there are enough of them."""
+    out = str(tmp_path / "out")
+    query = jobs.write_batches(stream, out, str(tmp_path / "state"), every="100 milliseconds")
+    try:
+        for _ in range(seconds * 2):
+            time.sleep(0.5)
+            rows = spark.read.schema(stream.schema).parquet(out + "/batch=*").collect() if query.recentProgress else []
+            if enough(rows) or query.exception():
+                break
+    finally:
+        query.stop()
+    assert not query.exception()
+    return rows
+
+
 def test_split_event_lines(spark, feed, tmp_path):
     line = 'data: {"choices":[{"delta":{"content":"%s"}}]}\n'
     whole = ": ping\n\n" + line % "Hel" + "data: {bad\n" + line % "lo" + "data: [DONE]\n" + line % "late"
@@ -39,6 +57,53 @@ def test_split_event_lines(spark, feed, tmp_path):
     assert join_text(deltas, ["response_id"], ["seq", "line"], "delta").first().text == "Hello"
 
 
+def answers(n, lines):
+    """Raw chunks (response_id, seq, data) of some answers, cut anywhere, and the text of each."""
+    import random
+
+    rnd = random.Random(4)
+    chunks, texts = [], {}
+    for r in range(n):
+        words = [f"w{r}-{i} " for i in range(lines)]
+        raw = "".join('data: {"choices":[{"delta":{"content":"%s"}}]}\n' % w + rnd.choice(["", ": ping\n", "\n"]) for w in words)
+        raw += "data: [DONE]\n" + 'data: {"choices":[{"delta":{"content":"late"}}]}\n'
+        cuts = [0, *sorted(rnd.sample(range(1, len(raw)), 25)), len(raw)]
+        chunks += [(r, i, raw[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        texts[r] = "".join(words)
+    return rnd, chunks, texts
+
+
+CHUNKS = "response_id bigint, seq bigint, data string"
+
+
+def test_chunks_come_in_any_order(spark, feed, tmp_path):
+    rnd, chunks, texts = answers(5, 30)
+    rnd.shuffle(chunks)
+    batches = [chunks[i::4] + rnd.sample(chunks, 9) for i in range(4)]  # with repeats
+    out = run(spark, assemble.parse_chunks(feed(batches, CHUNKS)), tmp_path)
+    assert {r.response_id: r.text for r in join_text(out, ["response_id"], ["seq", "line"], "delta").collect()} == texts
+    assert out.where("error IS NOT NULL").count() == 0
+    assert assemble.waiting_chunks(spark, str(tmp_path / "state")).count() == 0
+
+
+def test_chunks_that_wait_are_shown(spark, feed, tmp_path):
+    line = 'data: {"choices":[{"delta":{"content":"%s"}}]}\n'
+    batches = [[(1, 0, line % "a"), (1, 2, line % "c"), (2, 5, "x")], [(1, 3, line % "d")]]
+    out = run(spark, assemble.parse_chunks(feed(batches, CHUNKS)), tmp_path)
+    assert [r.delta for r in out.collect()] == ["a"]
+    held = assemble.waiting_chunks(spark, str(tmp_path / "state")).collect()
+    assert sorted((r.response_id, r.seq) for r in held) == [(1, 2), (1, 3), (2, 5)]
+
+
+def test_a_gap_that_stays_open_is_an_error(spark, feed, tmp_path):
+    line = 'data: {"choices":[{"delta":{"content":"%s"}}]}\n'
+    lost = (line % "b")[10:] + line % "c"
+    batches = [[(1, 0, line % "a" + (line % "b")[:10]), (1, 2, "tail of a line\n" + line % "d")], [(2, 0, line % "x")], [(1, 1, lost), (1, 3, line % "e")]]
+    parsed = assemble.parse_chunks(feed(batches, CHUNKS), gap_ms=1)
+    got = run_until(spark, parsed, tmp_path, lambda rows: len(rows) >= 5)
+    assert sorted((r.response_id, r.seq, r.line, r.delta, r.error) for r in got) == [(1, 0, 0, "a", None), (1, 1, -1, None, "chunks 1 to 1 did not come"), (1, 2, 1, "d", None), (1, 3, 0, "e", None), (2, 0, 0, "x", None)]
+
+
 def test_segments_follow_each_other(spark, feed, tmp_path):
     batches = [[(1, 1, "b"), (1, 0, "a"), (2, 0, "x")], [(1, 1, "b"), (1, 2, None), (1, 3, "c")]]
     segs = run(spark, assemble.segments(feed(batches, "response_id bigint, seq bigint, delta string")), tmp_path)
