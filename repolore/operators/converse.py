@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repolore import constants as C
 from repolore.functions import text as X
-from repolore.operators.ordered import join_text
+from repolore.operators.ordered import join_text, whole_texts
 from repolore.session import cut_lineage, fits
 
 REQUEST_SCHEMA = (
@@ -78,19 +78,29 @@ def turn_markup() -> Column:
     )
 
 
+def history_parts(pairs: DataFrame) -> DataFrame:
+    """(conv_id, pair_no, part)"""
+    return pairs.select("conv_id", "pair_no", turn_markup().alias("part"))
+
+
 def render_history(pairs: DataFrame, **kw) -> DataFrame:
-    """(conv_id, n_chars, history, error)"""
-    parts = pairs.select("conv_id", "pair_no", turn_markup().alias("part"))
-    return join_text(parts, ["conv_id"], ["pair_no"], "part", out="history", **kw)
+    """(conv_id, n_chars, history, error), in one cell: for model calls, whose prompts are cells."""
+    return join_text(history_parts(pairs), ["conv_id"], ["pair_no"], "part", out="history", **kw)
+
+
+def history_blocks(pairs: DataFrame, **kw) -> DataFrame:
+    """(conv_id, block, history) of any length."""
+    return whole_texts(history_parts(pairs), ["conv_id"], ["pair_no"], "part", out="history", **kw)
 
 
 def numbered_history(pairs: DataFrame, **kw) -> DataFrame:
+    """(conv_id, block, history) of any length."""
     part = F.concat(
         F.col("pair_no").cast("string"), F.lit(".\nUser: "), F.col("user_text"), F.lit("\nYou: "),
         F.col("assistant_text"), F.lit("\n"),
     )
-    return join_text(pairs.select("conv_id", "pair_no", part.alias("part")), ["conv_id"], ["pair_no"], "part",
-                     out="history", **kw)
+    return whole_texts(pairs.select("conv_id", "pair_no", part.alias("part")), ["conv_id"], ["pair_no"], "part",
+                       out="history", **kw)
 
 
 def clean_tag(content: Column) -> Column:
@@ -187,14 +197,12 @@ def _some(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
 
-def _prompt(system: Column, history: Column, file_path: Column, file_content: Column, middle: Column, query: Column,
-            provider: Column) -> Column:
+def _head(system: Column) -> Column:
+    return F.concat(F.lit("/no_think "), system, F.lit("\n\n"))
+
+
+def _tail(file_path: Column, file_content: Column, middle: Column, query: Column, provider: Column) -> Column:
     return F.concat(
-        F.lit("/no_think "), system, F.lit("\n\n"),
-        F.when(
-            _some(history),
-            F.concat(F.lit("<conversation_history>\n"), history, F.lit("</conversation_history>\n\n")),
-        ).otherwise(""),
         F.when(
             _some(file_content),
             F.concat(F.lit('<currentFileContent path="'), file_path, F.lit('">\n'), file_content,
@@ -206,15 +214,49 @@ def _prompt(system: Column, history: Column, file_path: Column, file_content: Co
     )
 
 
-def full_prompt(system, history, file_path, file_content, context, query, provider) -> Column:
-    block = F.when(
+OPEN_HISTORY, CLOSE_HISTORY = "<conversation_history>\n", "</conversation_history>\n\n"
+
+
+def _prompt(system: Column, history: Column, file_path: Column, file_content: Column, middle: Column, query: Column,
+            provider: Column) -> Column:
+    shown = F.when(_some(history), F.concat(F.lit(OPEN_HISTORY), history, F.lit(CLOSE_HISTORY))).otherwise("")
+    return F.concat(_head(system), shown, _tail(file_path, file_content, middle, query, provider))
+
+
+def context_block(context: Column) -> Column:
+    return F.when(
         X.is_blank(context), C.NO_CONTEXT_NOTE + "\n\n"
     ).otherwise(F.concat(F.lit("<START_OF_CONTEXT>\n"), context, F.lit("\n<END_OF_CONTEXT>\n\n")))
-    return _prompt(system, history, file_path, file_content, block, query, provider)
+
+
+SIMPLIFIED = C.SIMPLIFIED_NOTE + "\n\n"
+
+
+def full_prompt(system, history, file_path, file_content, context, query, provider) -> Column:
+    return _prompt(system, history, file_path, file_content, context_block(context), query, provider)
 
 
 def simplified_prompt(system, history, file_path, file_content, query, provider) -> Column:
-    return _prompt(system, history, file_path, file_content, F.lit(C.SIMPLIFIED_NOTE + "\n\n"), query, provider)
+    return _prompt(system, history, file_path, file_content, F.lit(SIMPLIFIED), query, provider)
+
+
+def prompt_blocks(requests: DataFrame, pairs: DataFrame, middle: Column, **kw) -> DataFrame:
+    """(conv_id, block, prompt): the same text as ``full_prompt`` (``middle``: ``context_block``) or ``simplified_prompt``
+    (``SIMPLIFIED``), with a history of any length, which is never put into one cell.
+
+    ``requests``: conv_id, system_prompt, file_path, file_content, query, provider and what ``middle`` names."""
+    c, at = F.col, F.lit(0).cast("bigint").alias("place")
+    talked = pairs.groupBy("conv_id").agg(F.lit(True).alias("_talked"))
+    asked = requests.join(talked, "conv_id", "left")
+    tags = [F.when(c("_talked"), x).otherwise("") for x in (OPEN_HISTORY, CLOSE_HISTORY)]
+    tail = _tail(c("file_path"), c("file_content"), middle, c("query"), c("provider"))
+    ends = asked.select("conv_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("section"), at, F.concat(_head(c("system_prompt")), tags[0]).alias("part")),
+        F.struct(F.lit(2).alias("section"), at, F.concat(tags[1], tail).alias("part")),
+    )))
+    history = history_parts(pairs).join(requests.select("conv_id").distinct(), "conv_id", "left_semi")
+    history = history.select("conv_id", F.lit(1).alias("section"), c("pair_no").cast("bigint").alias("place"), "part")
+    return whole_texts(ends.unionByName(history), ["conv_id"], ["section", "place"], "part", out="prompt", **kw)
 
 
 def model_parameters(requests: DataFrame, models: DataFrame) -> DataFrame:
@@ -244,21 +286,44 @@ def model_parameters(requests: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
+def _structure_ends(readme: Column) -> tuple[Column, Column]:
+    """What stands before and after the file tree of a wiki plan's prompt."""
+    ask = F.concat(F.lit("Plan a wiki for repository "), F.col("repo"), F.lit(".\n\n<file_tree>\n"))
+    rest = F.concat(F.lit("\n</file_tree>\n\n<readme>\n"), F.coalesce(readme, F.lit("")),
+                    F.lit("\n</readme>\n\nReply with one <wiki_structure> XML document."))
+    return ask, rest
+
+
 def structure_prompt(repos: DataFrame, listing: DataFrame, readmes: DataFrame, **kw) -> DataFrame:
-    """(repo, prompt, tree_error): prompt asking for the repository's wiki plan, from its file tree and readme. A tree that does
-    not fit one cell gives a null prompt and a ``tree_error``."""
+    """(repo, prompt, tree_error): prompt asking for the repository's wiki plan, from its file tree and readme, in one cell for a
+    model call. A tree that does not fit one cell gives a null prompt and a ``tree_error``; ``structure_prompt_blocks`` gives it."""
     tree = join_text(listing, ["repo"], ["file_path"], "file_path", sep="\n", out="file_tree", **kw).drop("n_chars")
-    ask = F.concat(
-        F.lit("Plan a wiki for repository "), F.col("repo"), F.lit(".\n\n<file_tree>\n"),
-        F.coalesce("file_tree", F.lit("")), F.lit("\n</file_tree>\n\n<readme>\n"), F.coalesce("readme", F.lit("")),
-        F.lit("\n</readme>\n\nReply with one <wiki_structure> XML document."),
-    )
+    before, after = _structure_ends(F.col("readme"))
+    ask = F.concat(before, F.coalesce("file_tree", F.lit("")), after)
     return (
         repos.join(tree, "repo", "left").join(readmes.select("repo", "readme"), "repo", "left")
         .select("repo", F.when(F.col("error").isNull(), ask).alias("prompt"), F.col("error").alias("tree_error"))
     )
 
 
+def structure_prompt_blocks(repos: DataFrame, listing: DataFrame, readmes: DataFrame, **kw) -> DataFrame:
+    """(repo, block, prompt): the prompt of ``structure_prompt`` with a file tree of any length."""
+    paths = listing.where("file_path IS NOT NULL").join(repos.select("repo").distinct(), "repo", "left_semi")
+    first = paths.groupBy("repo").agg(F.min("file_path").alias("_first"))
+    before, after = _structure_ends(F.col("readme"))
+    ends = repos.select("repo").distinct().join(readmes.select("repo", "readme"), "repo", "left").select("repo", F.inline(F.array(
+        F.struct(F.lit(0).alias("section"), F.lit("").alias("place"), F.lit(False).alias("more"), before.alias("part")),
+        F.struct(F.lit(2).alias("section"), F.lit("").alias("place"), F.lit(False).alias("more"), after.alias("part")),
+    )))
+    # each path but the first of its tree follows a line feed; equal paths are told apart by their number
+    tree = paths.groupBy("repo", "file_path").agg(F.count("*").alias("n")).join(first, "repo")
+    tree = tree.select("repo", F.col("file_path").alias("place"), F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i"), "_first")
+    more = (F.col("place") != F.col("_first")) | (F.col("i") > 1)
+    tree = tree.select("repo", F.lit(1).alias("section"), "place", more.alias("more"),
+                       F.concat(F.when(more, "\n").otherwise(""), "place").alias("part"))
+    return whole_texts(ends.unionByName(tree), ["repo"], ["section", "place", "more"], "part", out="prompt", **kw)
+
+
 def file_list_markup(file_paths: Column, link) -> Column:
     """Bullet list of source links; ``link`` maps a path column to its address."""
     return F.array_join(

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from repolore import constants as C
 from repolore.functions import text as X
-from repolore.operators.ordered import join_text
+from repolore.operators.ordered import whole_texts
 from repolore.session import keep_small
 
 RESPONSE_FIELDS = [
@@ -302,8 +302,8 @@ def parse_sse(lines: DataFrame) -> DataFrame:
 
 
 def fold_deltas(deltas: DataFrame, **kw) -> DataFrame:
-    """One completion per response: text in ``seq`` order, last non-empty id/model/created and usage; ``error`` where the
-    text does not fit one cell."""
+    """Completions per response: the text in ``seq`` order as blocks (``whole_texts``), with the last non-empty id, model, created and
+    usage on each; almost every response is one block. ``n_chars`` is the block's."""
 
     def last(name: str) -> Column:
         ok = F.col(name).isNotNull() & (F.col(name).cast("string") != "")
@@ -311,7 +311,8 @@ def fold_deltas(deltas: DataFrame, **kw) -> DataFrame:
 
     meta = deltas.groupBy("response_id").agg(*[last(c) for c in ("id", "model", "created", "total_tokens")])
     parts = deltas.select("response_id", "seq", F.coalesce("delta", F.lit("")).alias("part"))
-    return meta.join(join_text(parts, ["response_id"], ["seq"], "part", out="content", **kw), "response_id")
+    texts = whole_texts(parts, ["response_id"], ["seq"], "part", out="content", **kw)
+    return meta.join(texts.withColumn("n_chars", F.length("content").cast("bigint")), "response_id")
 
 
 # --- catalogue, images, tagged prompts ---------------------------------------------------------------------------

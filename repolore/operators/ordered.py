@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolore.session import cut_lineage, keep_small
+from repolore.session import broadcast_if_small, cut_lineage, keep_small
 
 # Longest text put into one cell; longer ones are given as ordered blocks, which are always complete.
 MAX_CELL_CHARS = 256_000_000
 BLOCK_CHARS = 4_000_000
+# Text that ``whole_texts`` gives as one block.
+CELL_CHARS = 16_000_000
 
 
 def join_text(
@@ -52,7 +54,7 @@ def text_blocks(
 ) -> DataFrame:
     """(keys, block, text): the ordered text of every key, of any length, cut at parts into blocks of about ``block_chars``.
 
-    The texts of a key in order of ``block`` give its whole text; all blocks but the first begin with ``sep``. Parts are
+    The texts of a key in order of ``block`` (0, 1, ...) give its whole text; all blocks but the first begin with ``sep``. Parts are
     dealt by ranges of (keys, order), so a key that holds a third of the rows spreads over a third of the partitions.
     Null parts are left out, as in ``join_text``; a part is never cut.
     """
@@ -62,16 +64,42 @@ def text_blocks(
     dealt = cut_lineage(dealt.repartitionByRange(*place).withColumn("_p", F.spark_partition_id()))
     before = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sized = dealt.withColumn("_b", F.floor(F.coalesce(F.sum(F.length("_t") + len(sep)).over(before), F.lit(0)) / block_chars))
+    # a part longer than a block takes the place of several
+    sized = sized.withColumn("_b", F.dense_rank().over(Window.partitionBy(*keys, "_p").orderBy("_b")).cast("bigint") - 1)
     pieces = F.array_sort(F.collect_list(F.struct(*order, "_t")))
     blocks = sized.groupBy(*keys, "_p", "_b").agg(F.array_join(F.transform(pieces, lambda p: p["_t"]), sep).alias("text"))
-    first = keep_small(dealt.groupBy(*keys).agg(F.min("_p").alias("_first")))
-    begins = (F.col("_p") == F.col("_first")) & (F.col("_b") == 0)
-    block = F.col("_p").cast("bigint") * (1 << 32) + F.col("_b")
-    return blocks.join(first, list(keys)).select(
-        *keys, block.alias("block"), F.when(begins, F.col("text")).otherwise(F.concat(F.lit(sep), "text")).alias("text")
+    # numbers only: blocks of a key in earlier ranges; a key has a row per range that it lies in
+    held = sized.groupBy(*keys, "_p").agg((F.max("_b") + 1).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    held = keep_small(held.withColumn("_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+    block = (F.col("_first") + F.col("_b")).cast("bigint")
+    return blocks.join(held, [*keys, "_p"]).select(
+        *keys, block.alias("block"), F.when(block == 0, F.col("text")).otherwise(F.concat(F.lit(sep), "text")).alias("text")
     )
 
 
+def whole_texts(
+    parts: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, sep: str = "", out: str = "text",
+    cell_chars: int = CELL_CHARS, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """(keys, block, out): the ordered text of every key, of any length.
+
+    A text of up to ``cell_chars`` characters is block 0 alone; a longer one is cut at parts into blocks of about ``block_chars``,
+    numbered from 0 without holes. The blocks of a key in order, put together, are its text. Keys whose parts are all null are
+    left out. No text is ever gathered beyond ``cell_chars``, dropped or replaced by an error.
+    """
+    parts = parts.where(F.col(text).isNotNull()).select(*keys, *order, text)
+    short = join_text(parts, keys, order, text, sep, out, cell_chars)
+    found = short.where("error IS NULL").select(*keys, F.lit(0).cast("bigint").alias("block"), out)
+    sizes = parts.groupBy(*keys).agg((F.sum(F.length(text)) + F.lit(len(sep)) * (F.count("*") - 1)).alias("_n"))
+    # a cell of text for each key found here lies in the table, so they are few beside the text they have
+    long = cut_lineage(sizes.where(F.col("_n") > cell_chars).select(*keys))
+    if long.isEmpty():
+        return found
+    blocks = text_blocks(parts.join(broadcast_if_small(long), list(keys), "left_semi"), keys, order, text, sep, block_chars)
+    return found.unionByName(blocks.withColumnRenamed("text", out).select(*keys, "block", out))
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, out: str = "rank") -> DataFrame:
     """First ``n`` rows per key. Spark cuts each task's share to ``n`` before the shuffle (WindowGroupLimit, for ``n`` up
     to ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default)."""

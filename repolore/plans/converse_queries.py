@@ -71,16 +71,16 @@ _TURN = """concat('<turn>', chr(10), '<user>', user_text, '</user>', chr(10), '<
    '</turn>', chr(10))"""
 
 
-@query("cnv2_history", f"""SELECT conv_id, string_agg({_TURN}, '' ORDER BY pair_no) AS history,
+@query("cnv2_history", f"""SELECT conv_id, 0::BIGINT AS block, string_agg({_TURN}, '' ORDER BY pair_no) AS history,
    sum(length({_TURN}))::BIGINT AS n_chars FROM pairs GROUP BY conv_id""", ("fx_messages",), ctes=_PAIRS)
 def _(t):
-    return converse.render_history(converse.pair_turns(t("fx_messages"))).drop("error")
+    return converse.history_blocks(converse.pair_turns(t("fx_messages"))).withColumn("n_chars", F.length("history").cast("bigint"))
 
 
-@query("cnv2_numbered_history", """SELECT conv_id, string_agg(concat(pair_no, '.', chr(10), 'User: ', user_text, chr(10), 'You: ',
+@query("cnv2_numbered_history", """SELECT conv_id, 0::BIGINT AS block, string_agg(concat(pair_no, '.', chr(10), 'User: ', user_text, chr(10), 'You: ',
    assistant_text, chr(10)), '' ORDER BY pair_no) AS history FROM pairs GROUP BY conv_id""", ("fx_messages",), ctes=_PAIRS)
 def _(t):
-    return converse.numbered_history(converse.pair_turns(t("fx_messages"))).drop("n_chars", "error")
+    return converse.numbered_history(converse.pair_turns(t("fx_messages")))
 
 
 @query("cnv3_validation", """SELECT d.doc_id AS conv_id, CASE WHEN a.n_messages IS NULL OR a.last_role <> 'user' THEN 400::BIGINT END AS error_code,
@@ -141,7 +141,7 @@ def _(t):
 
 
 def _prompt_sql(middle: str) -> str:
-    return f"""SELECT s.conv_id, concat('/no_think ', s.system_prompt, chr(10), chr(10),
+    return f"""SELECT s.conv_id, 0::BIGINT AS block, concat('/no_think ', s.system_prompt, chr(10), chr(10),
   CASE WHEN h.history IS NOT NULL THEN concat('<conversation_history>', chr(10), h.history, '</conversation_history>', chr(10), chr(10)) ELSE '' END,
   CASE WHEN f.text <> '' THEN concat('<currentFileContent path="', s.file_path, '">', chr(10), f.text, chr(10), '</currentFileContent>',
     chr(10), chr(10)) ELSE '' END, {middle}, '<query>', chr(10), s.query, chr(10), '</query>', chr(10), chr(10), 'Assistant: ',
@@ -155,10 +155,9 @@ _CTX_JOIN = """ LEFT JOIN (SELECT query_id, concat(chr(10), chr(10), '----------
 _ALL_FX = ("fx_requests", "fx_messages", "fx_queries", "fx_chunk_vectors")
 
 
-def _with_parts(t):
-    """Everything a prompt is made of, one row per request."""
-    history = converse.render_history(converse.pair_turns(t("fx_messages"))).select("conv_id", "history")
-    return corpus.file_for_requests(_requests(t).join(history, "conv_id", "left"), t("fx_files"))
+def _with_files(t):
+    """Requests with the file that they name."""
+    return corpus.file_for_requests(_requests(t), t("fx_files"))
 
 
 @query("cnv9_full_prompt", _prompt_sql("""CASE WHEN c.context IS NULL THEN concat('<note>Answering without retrieval augmentation.</note>',
@@ -166,24 +165,17 @@ def _with_parts(t):
        _ALL_FX, ctes=", ".join([_STATE, _SYSTEM, _PAIRS, V._HITS, V._CONTEXT]))
 def _(t):
     context = retrieve.context_text(V.hits(t)).withColumnRenamed("query_id", "conv_id")
-    c = F.col
-    p = converse.full_prompt(
-        c("system_prompt"), c("history"), c("file_path"), c("file_content"), c("context"), c("query"), c("provider")
-    )
-    return _with_parts(t).join(context, "conv_id", "left").select("conv_id", p.alias("prompt"))
+    asked = _with_files(t).join(context, "conv_id", "left")
+    return converse.prompt_blocks(asked, converse.pair_turns(t("fx_messages")), converse.context_block(F.col("context")))
 
 
 @query("cnv10_simplified_prompt", _prompt_sql("""'<note>Answering without retrieval augmentation due to input size constraints.</note>',
    chr(10), chr(10)"""), _ALL_FX[:2], ctes=", ".join([_STATE, _SYSTEM, _PAIRS]))
 def _(t):
-    c = F.col
-    p = converse.simplified_prompt(
-        c("system_prompt"), c("history"), c("file_path"), c("file_content"), c("query"), c("provider")
-    )
-    return _with_parts(t).select("conv_id", p.alias("prompt"))
+    return converse.prompt_blocks(_with_files(t), converse.pair_turns(t("fx_messages")), F.lit(converse.SIMPLIFIED))
 
 
-@query("cnv12_structure_prompt", f"""SELECT r.repo, concat('Plan a wiki for repository ', r.repo, '.', chr(10), chr(10), '<file_tree>', chr(10),
+@query("cnv12_structure_prompt", f"""SELECT r.repo, 0::BIGINT AS block, concat('Plan a wiki for repository ', r.repo, '.', chr(10), chr(10), '<file_tree>', chr(10),
    r.file_tree, chr(10), '</file_tree>', chr(10), chr(10), '<readme>', chr(10), coalesce(m.readme, ''), chr(10), '</readme>', chr(10), chr(10),
    'Reply with one <wiki_structure> XML document.') AS prompt
   FROM (SELECT repo, string_agg(file_path, chr(10) ORDER BY file_path) FILTER ({_LISTED}) AS file_tree FROM fx_files GROUP BY repo) r
@@ -192,7 +184,7 @@ def _(t):
    WHERE lower({_NAME}) = 'readme.md' AND text <> '' AND {_LISTED}) WHERE rn = 1) m USING (repo)""", ("fx_files",))
 def _(t):
     f = t("fx_files")
-    return converse.structure_prompt(f.select("repo").distinct(), corpus.list_tree(f), corpus.pick_readme(f)).drop("tree_error")
+    return converse.structure_prompt_blocks(f.select("repo").distinct(), corpus.list_tree(f), corpus.pick_readme(f))
 
 
 @query("cnv13_page_prompt", """SELECT wiki_id, id, concat('Write the wiki page ''', title, ''' in Markdown.', chr(10), chr(10), '<details>', chr(10),

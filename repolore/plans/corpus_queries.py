@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from repolore import constants as C
 from repolore.functions import paths, text
 from repolore.operators import corpus
-from repolore.operators.ordered import join_text
+from repolore.operators.ordered import join_text, whole_texts
 from repolore.plans.registry import query, sql_in, sql_list
 
 _EXCL_DIRS = (
@@ -130,11 +130,11 @@ def _dumps(t):
     return joined.select("repo", "page", F.concat(F.lit("["), F.col("body"), F.lit("]")).alias("json"))
 
 
-@query("src4_tree_dump", """SELECT repo, string_agg(file_path, chr(10) ORDER BY doc_id) AS file_tree FROM fx_files
+@query("src4_tree_dump", """SELECT repo, 0::BIGINT AS block, string_agg(file_path, chr(10) ORDER BY doc_id) AS file_tree FROM fx_files
   GROUP BY repo""", ("fx_files",))
 def _(t):
     rows = corpus.explode_tree_dump(_dumps(t))
-    return join_text(rows, ["repo"], ["page", "pos"], "path", sep="\n", out="file_tree").drop("n_chars", "error")
+    return whole_texts(rows, ["repo"], ["page", "pos"], "path", sep="\n", out="file_tree")
 
 
 @query("src5_contents_decode", """SELECT doc_id, CASE WHEN doc_id%10 IN (1, 2, 3) THEN NULL ELSE text END AS text,

@@ -96,13 +96,13 @@ def _(t):
     return t("fx_deltas").where(generate.keep_delta(d)).select("response_id", "seq", generate.drop_think_tags(d).alias("delta"))
 
 
-@query("gen10_fold_deltas", """SELECT response_id, string_agg(coalesce(delta, ''), '' ORDER BY seq) AS content,
+@query("gen10_fold_deltas", """SELECT response_id, 0::BIGINT AS block, string_agg(coalesce(delta, ''), '' ORDER BY seq) AS content,
    sum(length(coalesce(delta, '')))::BIGINT AS n_chars,
    arg_max(id, seq) FILTER (id <> '') AS id, arg_max(model, seq) FILTER (model IS NOT NULL) AS model,
    arg_max(created, seq) FILTER (created IS NOT NULL) AS created, arg_max(total_tokens, seq) FILTER (total_tokens IS NOT NULL) AS total_tokens
   FROM fx_deltas GROUP BY response_id""", ("fx_deltas",))
 def _(t):
-    return generate.fold_deltas(t("fx_deltas")).drop("error")
+    return generate.fold_deltas(t("fx_deltas"))
 
 
 @query("gen11_model_catalogue", """SELECT DISTINCT user_id, event_type AS provider, concat('m', event_id%3) AS model,

@@ -191,17 +191,17 @@ def _(t):
     return exports.markdown_parts(t("fx_cache_wikis"), t("fx_wiki_pages"), _AT)
 
 
-@query("snk5_json_export", f"""SELECT w.wiki_id, concat('{{"metadata":{{"repository":"', w.repo_url, '","generated_at":"{_AT}","page_count":', count(*), '}},"pages":[',
+@query("snk5_json_export", f"""SELECT w.wiki_id, 0::BIGINT AS block, concat('{{"metadata":{{"repository":"', w.repo_url, '","generated_at":"{_AT}","page_count":', count(*), '}},"pages":[',
    string_agg(to_json(struct_pack(id := p.id, title := p.title, content := p.content, "filePaths" := p.file_paths, importance := p.importance,
     "relatedPages" := p.related))::VARCHAR, ',' ORDER BY p.pos), ']}}') AS document
   FROM fx_cache_wikis w JOIN fx_wiki_pages p ON p.wiki_id = w.wiki_id GROUP BY w.wiki_id, w.repo_url""", _W)
 def _(t):
-    return exports.json_documents(t("fx_cache_wikis"), t("fx_wiki_pages"), _AT).drop("error")
+    return exports.json_documents(t("fx_cache_wikis"), t("fx_wiki_pages"), _AT)
 
 
-@query("snk6_slide_decks", """SELECT doc_id AS deck_id, concat('<!DOCTYPE html>', chr(10), '<html lang="en">', chr(10), '<body>', chr(10),
+@query("snk6_slide_decks", """SELECT doc_id AS deck_id, 0::BIGINT AS block, concat('<!DOCTYPE html>', chr(10), '<html lang="en">', chr(10), '<body>', chr(10),
    string_agg(concat('<div class="slide-container">', trim(string_split(item, ':')[1]), '</div>'), chr(10) ORDER BY k0), chr(10), '</body>', chr(10),
    '</html>', chr(10)) AS document FROM items GROUP BY doc_id""", ("fx_plans",), ctes=_ITEMS)
 def _(t):
     slides = derive.slide_plan(t("fx_plans").select(F.col("doc_id").alias("deck_id"), "repo", "plan"))
-    return exports.slide_decks(slides.select("deck_id", "k", F.col("title").alias("html"))).drop("error")
+    return exports.slide_decks(slides.select("deck_id", "k", F.col("title").alias("html")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from repolore import constants as C
 from repolore.operators import converse, derive, generate
-from repolore.operators.ordered import join_text
+from repolore.operators.ordered import whole_texts
 from repolore.plans.converse_queries import _STATE
 from repolore.plans.generate_queries import _FIRST
 from repolore.plans.registry import query
@@ -54,19 +54,19 @@ def _half_lines(t):
     return t.spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("str1_delta_assembly", """SELECT response_id, string_agg(coalesce(delta, ''), '' ORDER BY seq) AS text FROM fx_deltas GROUP BY response_id""",
+@query("str1_delta_assembly", """SELECT response_id, 0::BIGINT AS block, string_agg(coalesce(delta, ''), '' ORDER BY seq) AS text
+   FROM fx_deltas GROUP BY response_id""",
        ("fx_deltas",))
 def _(t):
     out, state = _paths(t, "str1")
     segs = assemble.segments(t.stream("fx_deltas"))
     rows = _finish(jobs.write_batches(segs, out, state), t.spark, out)
-    return join_text(rows, ["response_id"], ["from_seq"], "text").select("response_id", "text")
+    return whole_texts(rows, ["response_id"], ["from_seq"], "text")
 
 
 @query("str2_sse_chunks", "SELECT response_id, seq, delta FROM deltas", ("fx_sse",), ctes=_SSE_TEXT)
 def _(t):
     out, state = _paths(t, "str2")
-    first = t("events").agg(F.min("event_id")).first()[0] or 0
     rows = _finish(jobs.write_batches(assemble.parse_chunks(_half_lines(t)), out, state), t.spark, out)
     return rows.select("response_id", (F.floor((F.col("seq") - 1) / 2) + F.col("response_id") * 200).alias("seq"), "delta")
 

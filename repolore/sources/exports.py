@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolore.operators.ordered import join_text
+from repolore.operators.ordered import whole_texts
 from repolore.operators.wiki import related_titles
 
 
@@ -64,24 +64,27 @@ def write_parts(parts: DataFrame, path: str) -> None:
 
 
 def json_documents(wikis: DataFrame, pages: DataFrame, generated_at: str, **kw) -> DataFrame:
-    """(wiki_id, document, error) with metadata and pages. A wiki too long for one cell has an ``error`` and no document; its pages, in
-    order, are in ``markdown_parts``."""
+    """(wiki_id, block, document): metadata and pages of each wiki that has pages, as blocks of one JSON text (``whole_texts``)."""
     page = F.to_json(
         F.struct("id", "title", "content", F.col("file_paths").alias("filePaths"), "importance", F.col("related").alias("relatedPages"))
     )
-    rows = pages.select("wiki_id", "pos", page.alias("page"))
-    bodies = join_text(rows, ["wiki_id"], ["pos"], "page", sep=",", out="body", **kw)
-    counts = rows.groupBy("wiki_id").agg(F.count("*").alias("page_count"))
+    counts = pages.groupBy("wiki_id").agg(F.count("*").alias("page_count"), F.min("pos").alias("_first"))
     meta = F.to_json(
         F.struct(
             F.struct(F.col("repo_url").alias("repository"), F.lit(generated_at).alias("generated_at"), "page_count").alias("metadata")
         )
     )
-    doc = F.concat(F.expr("left(_meta, length(_meta) - 1)"), F.lit(',"pages":['), F.col("body"), F.lit("]}"))
-    return (
-        wikis.join(counts, "wiki_id").join(bodies, "wiki_id").withColumn("_meta", meta)
-        .select("wiki_id", doc.alias("document"), "error")
+    at = F.lit(0).cast("bigint").alias("pos")
+    ends = wikis.join(counts, "wiki_id").withColumn("_meta", meta).select("wiki_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("section"), at, F.concat(F.expr("left(_meta, length(_meta) - 1)"), F.lit(',"pages":[')).alias("part")),
+        F.struct(F.lit(2).alias("section"), at, F.lit("]}").alias("part")),
+    )))
+    known = counts.join(wikis.select("wiki_id").distinct(), "wiki_id", "left_semi")
+    rows = pages.join(known, "wiki_id").select(
+        "wiki_id", F.lit(1).alias("section"), F.col("pos").cast("bigint").alias("pos"),
+        F.concat(F.when(F.col("pos") > F.col("_first"), ",").otherwise(""), page).alias("part"),
     )
+    return whole_texts(ends.unionByName(rows), ["wiki_id"], ["section", "pos"], "part", out="document", **kw)
 
 
 def file_name(repo_url: Column, stamp: str, extension: str) -> Column:
@@ -90,16 +93,15 @@ def file_name(repo_url: Column, stamp: str, extension: str) -> Column:
 
 
 def slide_decks(slides: DataFrame, language: str = "en", **kw) -> DataFrame:
-    """(deck_id, k, html) to one HTML document per deck; ``error`` instead where it does not fit one cell."""
-    box = F.concat(F.lit('<div class="slide-container">'), F.col("html"), F.lit("</div>"))
-    body = join_text(slides.select("deck_id", "k", box.alias("box")), ["deck_id"], ["k"], "box", sep="\n", out="body", **kw)
-    return body.select(
-        "deck_id",
-        F.concat(
-            F.lit(f'<!DOCTYPE html>\n<html lang="{language}">\n<body>\n'), F.col("body"), F.lit("\n</body>\n</html>\n")
-        ).alias("document"),
-        "error",
-    )
+    """(deck_id, k, html) to (deck_id, block, document): one HTML text per deck, as blocks (``whole_texts``)."""
+    box = F.concat(F.lit('<div class="slide-container">'), F.col("html"), F.lit("</div>\n"))
+    boxes = slides.select("deck_id", F.lit(1).alias("section"), F.col("k").cast("bigint").alias("k"), box.alias("part"))
+    at = F.lit(0).cast("bigint").alias("k")
+    ends = slides.select("deck_id").distinct().select("deck_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("section"), at, F.lit(f'<!DOCTYPE html>\n<html lang="{language}">\n<body>\n').alias("part")),
+        F.struct(F.lit(2).alias("section"), at, F.lit("</body>\n</html>\n").alias("part")),
+    )))
+    return whole_texts(ends.unionByName(boxes), ["deck_id"], ["section", "k"], "part", out="document", **kw)
 
 
 def write_documents(docs: DataFrame, key: str, text: str, path: str) -> None:

@@ -10,7 +10,7 @@ from repolore.operators import converse, corpus, derive, embed, generate, retrie
 from repolore.operators.ordered import join_text, text_blocks
 from repolore.plans import flagship
 from repolore.session import cut_lineage
-from repolore.sources import stores
+from repolore.sources import exports, stores
 
 
 def test_chunks_rejoin_to_the_text(spark):
@@ -120,7 +120,56 @@ def test_text_blocks_hold_every_text(spark, size):
         got[b.k] = got.get(b.k, "") + b.text
     want = {k: ", ".join(t for g, _, t in rows if g == k and t is not None) for k in {r[0] for r in rows}}
     assert got == want
-    assert len({(b.k, b.block) for b in blocks}) == len(blocks)
+    for k in want:
+        assert sorted(b.block for b in blocks if b.k == k) == list(range(sum(b.k == k for b in blocks)))
+
+
+def whole(df, key, text):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r[key], r.block)):
+        out[r[key]] = out.get(r[key], "") + r[text]
+    return out
+
+
+SMALL = {"cell_chars": 30, "block_chars": 25}
+
+
+def test_prompts_of_any_length_equal_their_short_form(spark):
+    talk = [(c, t, ("user", "assistant")[t % 2], f"says {c}-{t}") for c in (1, 2) for t in range(2 if c == 1 else 40)] + [(3, 0, "user", "alone")]
+    pairs = converse.pair_turns(spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, content string"))
+    want = {r.conv_id: r.history for r in converse.render_history(pairs).collect()}
+    assert whole(converse.history_blocks(pairs, **SMALL), "conv_id", "history") == want
+    assert len(converse.history_blocks(pairs, **SMALL).where("conv_id = 2").collect()) == 20
+    numbered = whole(converse.numbered_history(pairs), "conv_id", "history")
+    assert whole(converse.numbered_history(pairs, **SMALL), "conv_id", "history") == numbered and "1.\nUser: " in numbered[2]
+    rows = [(1, "sys", "a.py", "code", "what", "ollama", "ctx"), (2, "sys", "a.py", "", "why", "x", " "), (3, "s", None, None, "q", "x", None)]
+    asked = spark.createDataFrame(rows, "conv_id bigint, system_prompt string, file_path string, file_content string, query string, provider string, context string")
+    c = F.col
+    cells = asked.join(spark.createDataFrame(list(want.items()) or None, "conv_id bigint, history string"), "conv_id", "left")
+    parts = (c("system_prompt"), c("history"), c("file_path"), c("file_content"))
+    full = cells.select("conv_id", converse.full_prompt(*parts, c("context"), c("query"), c("provider")).alias("p"))
+    plain = cells.select("conv_id", converse.simplified_prompt(*parts, c("query"), c("provider")).alias("p"))
+    for options in ({}, SMALL):
+        got = converse.prompt_blocks(asked, pairs, converse.context_block(c("context")), **options)
+        assert whole(got, "conv_id", "prompt") == {r.conv_id: r.p for r in full.collect()}
+        got = converse.prompt_blocks(asked, pairs, F.lit(converse.SIMPLIFIED), **options)
+        assert whole(got, "conv_id", "prompt") == {r.conv_id: r.p for r in plain.collect()}
+
+
+def test_long_trees_answers_and_decks_are_blocks(spark):
+    repos = spark.createDataFrame([("a",), ("b",)], "repo string")
+    listing = spark.createDataFrame([("a", f"f{i:03d}.py") for i in range(50)] + [("a", "f001.py"), ("x", "other")], "repo string, file_path string")
+    readmes = spark.createDataFrame([("a", "read me")], "repo string, readme string")
+    want = {r.repo: r.prompt for r in converse.structure_prompt(repos, listing, readmes).collect()}
+    for options in ({}, SMALL):
+        assert whole(converse.structure_prompt_blocks(repos, listing, readmes, **options), "repo", "prompt") == want
+    deltas = [(r, i, f"d{i} " if i % 3 else None, "id", "m", i, 5) for r in (1, 2) for i in range(3 if r == 1 else 60)]
+    deltas = spark.createDataFrame(deltas, "response_id bigint, seq bigint, delta string, id string, model string, created bigint, total_tokens bigint")
+    short, long = generate.fold_deltas(deltas), generate.fold_deltas(deltas, **SMALL)
+    assert whole(short, "response_id", "content") == whole(long, "response_id", "content")
+    assert long.count() > short.count() == 2 and {r.created for r in long.where("response_id = 2").collect()} == {59}
+    slides = spark.createDataFrame([(1, k, f"<b>{k}</b>") for k in range(20)], "deck_id bigint, k bigint, html string")
+    assert whole(exports.slide_decks(slides), "deck_id", "document") == whole(exports.slide_decks(slides, **SMALL), "deck_id", "document")
 
 
 def test_a_tree_that_fits_no_cell_is_an_error(spark):

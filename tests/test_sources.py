@@ -132,8 +132,9 @@ def test_json_document(wiki_tables):
     d = json.loads(exports.json_documents(*wiki_tables, "NOW").first().document)
     assert d["metadata"] == {"repository": "https://x/o/w/", "generated_at": "NOW", "page_count": 3}
     assert [p["id"] for p in d["pages"]] == ["p1", "p2", "p3"] and d["pages"][0]["relatedPages"] == ["p2", "gone"]
-    long = exports.json_documents(*wiki_tables, "NOW", max_chars=5).first()
-    assert long.document is None and "does not fit" in long.error
+    small = exports.json_documents(*wiki_tables, "NOW", cell_chars=5, block_chars=40).orderBy("block").collect()
+    assert [r.block for r in small] == list(range(len(small))) and len(small) > 2
+    assert json.loads("".join(r.document for r in small)) == d
 
 
 def test_file_name_and_documents(spark, wiki_tables, tmp_path):
