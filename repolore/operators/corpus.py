@@ -69,6 +69,18 @@ def to_documents(
     return cap_tokens(type_files(kept), count)
 
 
+#: Numbers for the chunks of one document. A cell holds below 2 ** 31 bytes, so at most 2 ** 30 words, and chunks begin
+#: ``CHUNK_WORDS - CHUNK_OVERLAP`` (250) words apart: at most 4.3 million of them.
+MAX_CHUNKS = 1 << 23
+
+
+def chunk_id(doc_id: str = "doc_id", ord: str = "ord") -> Column:
+    """One number per (document, chunk): no two are alike below ``MAX_CHUNKS`` chunks and 2 ** 40 documents, and others are an error."""
+    fits = (F.col(ord) < MAX_CHUNKS) & (F.abs(F.col(doc_id)) < 1 << 40)
+    number = F.col(doc_id).cast("bigint") * MAX_CHUNKS + F.col(ord)
+    return F.when(fits, number).when(F.col(doc_id).isNotNull(), F.raise_error(F.lit("chunk numbers are used up")).cast("bigint"))
+
+
 def chunk_words(docs: DataFrame, size: int = C.CHUNK_WORDS, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
     """Overlapping word windows: one row per chunk with ``ord``; all other columns are copied."""
     step = size - overlap

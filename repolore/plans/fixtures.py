@@ -56,12 +56,12 @@ SELECT doc_id, source AS repo,
 _fx(
     "fx_chunks",
     """
-SELECT doc_id*1000000+ord AS chunk_id, doc_id, repo, file_path, ord, array_join(slice(w, ord*250+1, 350),' ') AS text
+SELECT doc_id*8388608+ord AS chunk_id, doc_id, repo, file_path, ord, array_join(slice(w, ord*250+1, 350),' ') AS text
 FROM (SELECT doc_id, repo, file_path, split(text,' ') w FROM fx_files)
 LATERAL VIEW explode(sequence(0, cast(greatest(ceil((size(w)-350)/250.0),0) AS int))) AS ord""",
     ("fx_files",),
     duck="""
-SELECT doc_id*1000000+ord AS chunk_id, doc_id, repo, file_path, ord,
+SELECT doc_id*8388608+ord AS chunk_id, doc_id, repo, file_path, ord,
  array_to_string(w[ord*250+1 : ord*250+350],' ') AS text
 FROM (SELECT doc_id, repo, file_path, string_split(text,' ') w FROM fx_files),
      unnest(range(0, cast(greatest(ceil((len(w)-350)/250.0),0) AS int)+1)) u(ord)""",
@@ -317,7 +317,7 @@ class Tables:
 
     def chunks(self) -> DataFrame:
         """Chunks of all files, by the operator itself."""
-        return corpus.chunk_words(self("fx_files")).withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("ord"))
+        return corpus.chunk_words(self("fx_files")).withColumn("chunk_id", corpus.chunk_id())
 
 
 def _closure(names: tuple[str, ...]) -> list[str]:

@@ -20,7 +20,7 @@ def build_index(files: DataFrame, chunk_path: str, embedding_path: str, model: s
     """
     spark = files.sparkSession
     docs = corpus.to_documents(files, **filters)
-    chunks = corpus.chunk_words(docs).withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("ord"))
+    chunks = corpus.chunk_words(docs).withColumn("chunk_id", corpus.chunk_id())
     known = stores.read_embeddings(spark, embedding_path)
     stores.append_embeddings(embed.embed_missing(chunks, known, model, make_embedder), embedding_path)
     vectors = embed.attach_vectors(chunks, stores.read_embeddings(spark, embedding_path), model).drop("text_hash")

@@ -1,4 +1,4 @@
-"""Stored chunks, embeddings and wikis as partitioned files. Writes replace whole partitions, so a rerun changes nothing."""
+"""Stored chunks and embeddings as partitioned files, wikis in buckets. Writes replace whole records, so a rerun changes nothing."""
 
 from __future__ import annotations
 
@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolore.functions import urls
-from repolore.session import broadcast_if_small, cut_lineage, keep_small
+from repolore.session import broadcast_if_small, cut_lineage
+from repolore.sources.buckets import BucketStore
 
 CACHE_KEY = ["repo_type", "owner", "repo", "language"]
 CACHE_SCHEMA = (
     "kind string, pos bigint, id string, title string, importance string, content string, "
     "file_paths array<string>, related array<string>, provider string, model string, saved_at timestamp, "
-    "repo_type string, owner string, repo string, language string, _corrupt string"
+    "repo_type string, owner string, repo string, language string"
 )
 
 
@@ -70,7 +71,13 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, EMBEDDING_SCHEMA)
 
 
-# --- wiki cache: one partition per (repo_type, owner, repo, language) ------------------------------------------------
+# --- wiki cache: a record per (repo_type, owner, repo, language) in a bucket store ------------------------------------
+
+
+def wiki_cache(spark: SparkSession, path: str) -> BucketStore:
+    """The index knows each record's title and number of pages, so lookups and the catalogue open no record."""
+    about = {"title": F.max(F.when(F.col("kind") == "wiki", F.col("title"))), "n_pages": F.count_if(F.col("kind") == "page")}
+    return BucketStore(spark, path, tuple(CACHE_KEY), CACHE_SCHEMA, about)
 
 
 def cache_rows(wikis: DataFrame, pages: DataFrame, saved_at: str) -> DataFrame:
@@ -95,35 +102,16 @@ def cache_rows(wikis: DataFrame, pages: DataFrame, saved_at: str) -> DataFrame:
 
 def upsert_cache(rows: DataFrame, path: str) -> None:
     """Replace the record of every key in ``rows``."""
-    _replace_partitions(rows, CACHE_KEY, path, "json")
+    wiki_cache(rows.sparkSession, path).write(rows)
 
 
 def read_cache(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
-    """All readable rows of live records, or of those in ``keys``. A record with an unreadable row is left out, like a
-    deleted one. Keys of such records are kept first, so that AQE can split a hot record's rows."""
-    try:
-        rows = (
-            spark.read.schema(CACHE_SCHEMA)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt")
-            .json(path)
-        )
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], CACHE_SCHEMA).drop("_corrupt")
-    if keys is not None:  # a filter on the partitions, before any record is read
-        rows = rows.join(broadcast_if_small(keys.select(*CACHE_KEY).distinct()), CACHE_KEY, "left_semi")
-    bad = keep_small(rows.where("_corrupt IS NOT NULL OR kind = 'deleted'").select(*CACHE_KEY).distinct())
-    return rows.join(bad, CACHE_KEY, "left_anti").where("_corrupt IS NULL").drop("_corrupt")
+    """All rows of whole records, or of those in ``keys``. A record with an unreadable row is left out, like a deleted one."""
+    return wiki_cache(spark, path).read(keys)
 
 
 def lookup_cache(keys: DataFrame, path: str) -> DataFrame:
-    """Each key with its record's title and page count; nulls when there is no usable record.
-
-    The page count needs one number per key, so only counts are moved. The keys meet the partition columns first, so that
-    records of other wikis need not be read.
-    """
+    """Each key with its record's title and page count; nulls when there is no usable record."""
     wanted = keys.withColumn("language", urls.language_or_default(F.col("language")))
     rows = read_cache(keys.sparkSession, path, wanted)
     found = rows.groupBy(*CACHE_KEY).agg(
@@ -134,12 +122,10 @@ def lookup_cache(keys: DataFrame, path: str) -> DataFrame:
 
 
 def delete_cache(keys: DataFrame, path: str) -> DataFrame:
-    """Delete records by key; returns the status per key.
-
-    A record is replaced by a tombstone row, so a delete is one partition write as well. The status is taken before
-    the write; keys with an unsupported language are refused.
-    """
-    live = read_cache(keys.sparkSession, path, keys).where("kind = 'wiki'").select(*CACHE_KEY).distinct()
+    """Delete records by key; returns the status per key. The status is taken before the write; keys with an unsupported
+    language are refused."""
+    store = wiki_cache(keys.sparkSession, path)
+    live = store.index(keys).select(*CACHE_KEY).distinct()
     status = (
         F.when(~F.coalesce(urls.is_supported(F.col("language")), F.lit(False)), "unsupported language")
         .when(F.col("_live"), "deleted")
@@ -148,9 +134,7 @@ def delete_cache(keys: DataFrame, path: str) -> DataFrame:
     result = cut_lineage(
         keys.join(live.withColumn("_live", F.lit(True)), CACHE_KEY, "left").withColumn("status", status).drop("_live")
     )
-    gone = result.where("status = 'deleted'").select(F.lit("deleted").alias("kind"), *CACHE_KEY).distinct()
-    if not gone.isEmpty():
-        upsert_cache(gone, path)
+    store.delete(result.where("status = 'deleted'"))
     return result
 
 
@@ -158,17 +142,9 @@ def delete_cache(keys: DataFrame, path: str) -> DataFrame:
 
 
 def cache_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(name, mtime_ms) per live record. Of the bodies only ``kind`` is used, to leave out tombstones."""
-    rows = spark.read.schema(CACHE_SCHEMA).json(path)
-    return (
-        rows.select(*CACHE_KEY, F.col("_metadata.file_modification_time").alias("_t"), (F.col("kind") == "deleted").alias("_gone"))
-        .groupBy(*CACHE_KEY)
-        .agg(F.max("_t").alias("_t"), F.bool_or("_gone").alias("_gone"))
-        .where("NOT _gone")
-        .select(
-            urls.cache_key(*[F.col(k) for k in CACHE_KEY]).alias("name"), F.unix_millis("_t").alias("mtime_ms")
-        )
-    )
+    """(name, mtime_ms) per record, from the index alone."""
+    name = urls.cache_key(*[F.col(k) for k in CACHE_KEY]).alias("name")
+    return wiki_cache(spark, path).index().select(name, F.unix_millis("stored_at").alias("mtime_ms"))
 
 
 def projects(objects: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repolore.operators import corpus
 from repolore.sources import exports, stores, tree
+from repolore.sources.buckets import BucketStore
 
 
 @pytest.fixture
@@ -88,11 +89,71 @@ def test_cache_upsert_lookup_delete(spark, tmp_path):
 def test_corrupt_record_reads_as_absent(spark, tmp_path):
     path = tmp_path / "cache"
     keys = _cache(spark, str(path))
-    part = next(path.glob("repo_type=*/owner=*/repo=*/language=*"))
-    (part / "part-x.json").write_text('{"kind": "page", "pos": \n')
+    part = next(path.glob("data/v=*/bucket=*/part-*.json"))
+    lines = part.read_text().splitlines()
+    part.with_name("." + part.name + ".crc").unlink()
+    part.write_text("\n".join([lines[0], lines[1][:20]]) + "\n")
     assert [r.title for r in stores.lookup_cache(keys, str(path)).collect()] == [None]
 
 
+def _records(spark, names, text, schema="k string, pos bigint, text string"):
+    return spark.createDataFrame([(k, i, f"{text} {k} {i}") for k in names for i in range(2)], schema)
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return BucketStore(spark, str(tmp_path / "store"), ("k",), "k string, pos bigint, text string", {"last": F.max("pos")}, 8)
+
+
+def _held(df):
+    return sorted((r.k, r.pos, r.text) for r in df.collect())
+
+
+def test_buckets_hold_any_number_of_keys(spark, tmp_path, store):
+    many = spark.range(20_000).selectExpr("concat('k', id) as k", "0L as pos", "'t' as text")
+    store.write(many)
+    store.write(many.limit(5_000).withColumn("text", F.lit("u")))
+    folders = list((tmp_path / "store").glob("data/v=*/bucket=*"))
+    assert len(folders) <= 16 and store.index().count() == 20_000 and store.read().where("text = 'u'").count() == 5_000
+    one = store.read(spark.createDataFrame([("k7",)], "k string"))
+    assert len({f.rsplit("/", 2)[1] for f in one.inputFiles()}) == 1 and one.count() == 1
+
+
+def test_the_index_opens_no_record(spark, tmp_path, store):
+    store.write(_records(spark, "abc", "one"))
+    for f in (tmp_path / "store").glob("data/v=*/bucket=*/*"):
+        f.unlink()
+    assert sorted((r.k, r.n_rows, r.last) for r in store.index().collect()) == [(k, 2, 1) for k in "abc"]
+    assert store.read().count() == 0  # records without their rows are absent
+
+
+def test_records_are_replaced_and_deleted_whole(spark, store):
+    store.write(_records(spark, "abcdef", "one"))
+    store.write(_records(spark, "bd", "two").where("pos = 0"))
+    want = _records(spark, "acef", "one").collect() + _records(spark, "bd", "two").where("pos = 0").collect()
+    assert _held(store.read()) == sorted(map(tuple, want))
+    store.delete(spark.createDataFrame([("a",), ("b",), ("nobody",)], "k string"))
+    assert _held(store.read()) == sorted(tuple(r) for r in want if r.k not in "ab")
+    store.delete(spark.createDataFrame([(k,) for k in "cdef"], "k string"))
+    assert store.read().count() == store.index().count() == 0
+    store.write(_records(spark, [], "none"))
+    store.write(_records(spark, "a", "again"))
+    assert _held(store.read()) == _held(_records(spark, "a", "again"))
+
+
+def test_a_writer_that_fails_leaves_the_old_version(spark, store):
+    store.write(_records(spark, "abc", "one"))
+    torn = _records(spark, "abxyz", "two").withColumn("text", F.when(F.col("k") == "z", F.raise_error(F.lit("lost"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="lost"):
+        store.write(torn)
+    store._put(_records(spark, "abq", "left behind"), "data", store._next(), "json", "append")  # as a writer that died before its commit
+    assert _held(store.read()) == _held(_records(spark, "abc", "one"))
+    store.write(_records(spark, "c", "three"))
+    assert _held(store.read()) == sorted(_held(_records(spark, "ab", "one")) + _held(_records(spark, "c", "three")))
+    with pytest.raises(ValueError, match="8 buckets"):
+        BucketStore(spark, store.path, store.keys, store.schema, store.about, 9).read()
+
+
 def test_lookup_without_a_store(spark, tmp_path):
     keys = spark.createDataFrame([("github", "o", "r", None)], "repo_type string, owner string, repo string, language string")
     got = stores.lookup_cache(keys, str(tmp_path / "none")).collect()
