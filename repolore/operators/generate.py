@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from typing import NamedTuple, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repolore import constants as C
 from repolore.functions import text as X
 from repolore.operators.ordered import whole_texts
-from repolore.session import keep_small
+from repolore.session import cut_lineage, keep_small
 
 RESPONSE_FIELDS = [
     T.StructField("response", T.StringType()),
@@ -74,17 +78,38 @@ class FolderPlanner:
         return Reply(plan, len(prompt.split()), len(pages))
 
 
+class Pace:
+    """Call starts of one task, no closer than ``gap`` seconds."""
+
+    def __init__(self, gap: float):
+        self.gap, self.next, self.lock = gap, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            start = max(self.next, time.monotonic())
+            self.next = start + self.gap
+        time.sleep(max(0.0, start - time.monotonic()))
+
+
 def generate(
     df: DataFrame, make_generator: Callable[[], Generator], prompt: str = "prompt", retries: int = 0,
-    parallel: int | None = None,
+    parallel: int | None = None, in_flight: int = 1, calls_per_second: float | None = None,
 ) -> DataFrame:
-    """Add response, error and token counts. ``parallel`` bounds the calls in flight (number of partitions).
+    """Add response, error and token counts; rows keep their order.
 
-    A failed call is made again up to ``retries`` times, after waits that double, within ``RETRY_WINDOW`` seconds of waiting.
+    A task has up to ``in_flight`` calls open at once; the generator must allow that. ``parallel`` bounds the tasks (number of
+    partitions), so at most ``parallel * in_flight`` calls are open in the job. ``calls_per_second`` is the job's limit, shared out
+    evenly among the tasks, and so needs ``parallel``. A failed call is made again up to ``retries`` times, after waits
+    that double, within ``RETRY_WINDOW`` seconds of waiting. Each batch of rows is answered before the next is read.
     """
+    if calls_per_second and not parallel:
+        raise ValueError("a limit for the job needs a number of tasks to share it")
+    gap = parallel / calls_per_second if calls_per_second else 0.0
     schema = T.StructType([f for f in df.schema.fields] + RESPONSE_FIELDS)
 
-    def answer(gen: Generator, text: str | None) -> tuple:
+    def answer(gen: Generator, pace: Pace, text: str | None) -> tuple:
         failure = "empty prompt"
         if text:
             wait, left = FIRST_WAIT, RETRY_WINDOW
@@ -94,6 +119,7 @@ def generate(
                         break
                     time.sleep(min(wait, left))
                     wait, left = 2 * wait, left - wait
+                pace.wait()
                 try:
                     r = gen(text)
                     return r.text, None, r.prompt_tokens, r.completion_tokens
@@ -102,16 +128,54 @@ def generate(
         return None, failure, None, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = make_generator()
-        for pdf in batches:
-            rows = pd.DataFrame(
-                [answer(gen, t) for t in pdf[prompt]], columns=[f.name for f in RESPONSE_FIELDS], index=pdf.index
-            ).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
-            yield pd.concat([pdf, rows], axis=1)
+        gen, pace = make_generator(), Pace(gap)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in batches:
+                rows = pd.DataFrame(
+                    list(pool.map(partial(answer, gen, pace), pdf[prompt])), columns=[f.name for f in RESPONSE_FIELDS], index=pdf.index
+                ).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
+                yield pd.concat([pdf, rows], axis=1)
 
     return (df.repartition(parallel) if parallel else df).mapInPandas(run, schema)
 
 
+ANSWER_SCHEMA = "prompt_hash string, response string, error string, prompt_tokens bigint, completion_tokens bigint"
+
+
+def generate_once(
+    df: DataFrame, make_generator: Callable[[], Generator], store: str, prompt: str = "prompt", waves: int = 8, **kw
+) -> DataFrame:
+    """As ``generate``, with answers kept below ``store`` by prompt hash: no prompt is answered twice, also not by a job that starts again.
+
+    Equal prompts are one call. Prompts are dealt to ``waves`` by their hash and each wave is written before the next begins, so an
+    executor that is lost repeats at most the calls of its tasks in one wave. Failed calls are not kept, but come back with their ``error``.
+    """
+    spark = df.sparkSession
+    hashed = df.withColumn("prompt_hash", F.sha2(F.coalesce(F.col(prompt), F.lit("")), 256))
+    asked = cut_lineage(hashed.groupBy("prompt_hash").agg(F.first(prompt).alias("prompt")))
+    for wave in range(waves):
+        known = _answers(spark, store).select("prompt_hash")
+        mine = asked.where(F.pmod(F.xxhash64("prompt_hash"), F.lit(waves)) == wave).join(known, "prompt_hash", "left_anti")
+        out = generate(mine, make_generator, "prompt", **kw).drop("prompt")
+        out.write.mode("overwrite").parquet(f"{store}/last/wave={wave}")
+        spark.read.schema(ANSWER_SCHEMA).parquet(f"{store}/last/wave={wave}").where("error IS NULL").write.mode("append").parquet(f"{store}/answers")
+    names = [f.name for f in RESPONSE_FIELDS]
+    failed = spark.read.schema(ANSWER_SCHEMA + ", wave int").parquet(f"{store}/last").where("error IS NOT NULL").drop("wave")
+    answers = _answers(spark, store).unionByName(failed)
+    return hashed.join(answers, "prompt_hash", "left").select(*df.columns, *names)
+
+
+def _answers(spark: SparkSession, store: str) -> DataFrame:
+    """One answer per prompt; a wave that was written twice has each twice."""
+    try:
+        kept = spark.read.schema(ANSWER_SCHEMA).parquet(f"{store}/answers")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ANSWER_SCHEMA)
+    return kept.dropDuplicates(["prompt_hash"])
+
+
 def is_token_limit(error: Column) -> Column:
     return F.coalesce(X.contains_any(error, C.TOKEN_LIMIT_ERRORS), F.lit(False))
 

@@ -111,6 +111,20 @@ def _(t):
     return _finish(q, t.spark, out).select("wiki_id", "page_id")
 
 
+@query("str5_released_pages", """SELECT user_id AS wiki_id, event_type AS page_id, event_id AS seq FROM (SELECT *,
+   lag(event_id%3 = 2) OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts::TIMESTAMP), event_id) AS before FROM events)
+  WHERE event_id%3 <> 2 AND coalesce(before, true)""")
+def _(t):
+    """A third of the events finish the page that the others ask for; a hold outlives all of them."""
+    out, state = _paths(t, "str5")
+    events = t.stream("events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id").alias("wiki_id"),
+        F.col("event_type").alias("page_id"), F.when(F.col("event_id") % 3 == 2, "finish").otherwise("request").alias("kind"),
+    )
+    q = jobs.write_batches(jobs.in_flight(events, 4_000 * 86_400_000), out, state)
+    return _finish(q, t.spark, out).select("wiki_id", "page_id", "seq")
+
+
 def _round_prompts(state):
     system = converse.system_prompt(
         F.col("phase"), F.lit("github"), F.lit("https://github.com/o/r"), F.lit("English"), F.col("iteration")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from repolore.operators import derive, generate, retrieve
 from repolore.plans import flagship
@@ -52,6 +53,59 @@ def live_contexts(requests: DataFrame, vectors: DataFrame, path: str, checkpoint
     return write_batches(requests, path, checkpoint, lambda b: retrieve.context_text(flagship.hits(b, vectors)))
 
 
+class PageLock(StatefulProcessor):
+    """Events of one page in order of (ts, seq): a request passes while nobody works on the page, and then holds it until a finish
+    event comes or ``hold_ms`` have gone by. State: the time until which the page is held."""
+
+    def __init__(self, hold_ms: int):
+        self.hold_ms = hold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("held", "until bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        until = self.state.get()[0] if self.state.exists() else None
+        events = pd.concat(list(rows), ignore_index=True).sort_values(["at_ms", "seq"], kind="stable")
+        out = []
+        for at, seq, kind in events[["at_ms", "seq", "kind"]].itertuples(index=False):
+            if kind == "finish":
+                until = None
+            elif until is None or at >= until:
+                out.append((*key, int(at), int(seq)))
+                until = int(at) + self.hold_ms
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        if until is None:
+            self.state.clear()
+        else:
+            self.state.update((until,))
+            if until > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(until)
+        yield pd.DataFrame(out, columns=["wiki_id", "page_id", "at_ms", "seq"]).astype({"at_ms": "int64", "seq": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()  # the hold is over
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def in_flight(events: DataFrame, hold_ms: int, late: str = "10 minutes") -> DataFrame:
+    """(wiki_id, page_id, at_ms, seq) of the requests that pass. ``events``: ts, seq, wiki_id, page_id and ``kind``, request or finish.
+
+    A page that is finished can be asked for again at once; one whose worker died, after ``hold_ms``. ``seq`` orders events of
+    one time. Events may be up to ``late`` behind; state is kept for pages that are held only."""
+    timed = events.withWatermark("ts", late).select(
+        "ts", F.unix_millis("ts").alias("at_ms"), "seq", "wiki_id", "page_id", "kind"
+    )
+    schema = f"wiki_id {timed.schema['wiki_id'].dataType.simpleString()}, page_id string, at_ms bigint, seq bigint"
+    return timed.groupBy("wiki_id", "page_id").transformWithStateInPandas(
+        statefulProcessor=PageLock(hold_ms), outputStructType=schema, outputMode="append", timeMode="eventTime"
+    )
+
+
 def in_flight_once(requests: DataFrame, hold: str = "1 hour") -> DataFrame:
     """First request per page while it is in work; ``ts`` is the request time, ``hold`` bounds the state."""
     return requests.withWatermark("ts", hold).dropDuplicatesWithinWatermark(["wiki_id", "page_id"])

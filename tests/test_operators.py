@@ -1,5 +1,8 @@
 """Operators on small inputs, against brute force or golden rows; skewed inputs included."""
 
+import os
+import time
+import uuid
 from functools import partial
 
 import numpy as np
@@ -387,3 +390,48 @@ def test_failed_calls_are_made_again(spark):
     assert {(r.response, r.error) for r in again} == {("A", None), ("B", None)}
     once = generate.generate(df, FailsTwice, retries=1).collect()
     assert {(r.response, r.error) for r in once} == {(None, "busy")}
+
+
+class Slow:
+    """Takes 50 ms for a prompt and notes in a folder that it was called."""
+
+    def __init__(self, folder=None, broken=""):
+        self.folder, self.broken = folder, broken
+
+    def __call__(self, prompt):
+        time.sleep(0.05)
+        if self.folder:
+            with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as f:
+                f.write(prompt)
+        if self.broken and self.broken in prompt:
+            raise RuntimeError("down")
+        return generate.Reply(f"re: {prompt}", 1, 2)
+
+
+def test_calls_overlap_and_keep_their_order(spark):
+    prompts = spark.range(0, 1000, 1, 1).selectExpr("id", "concat('p', id) as prompt")
+    start = time.time()
+    rows = generate.generate(prompts, Slow, in_flight=16).collect()
+    assert time.time() - start < 6
+    assert [(r.id, r.response) for r in rows] == [(i, f"re: p{i}") for i in range(1000)]
+
+
+def test_a_job_keeps_its_rate(spark):
+    prompts = spark.range(0, 40, 1, 2).selectExpr("id", "concat('p', id) as prompt")
+    start = time.time()
+    rows = generate.generate(prompts, Slow, parallel=2, in_flight=8, calls_per_second=20).collect()
+    assert len(rows) == 40 and time.time() - start >= 40 / 20 - 0.3
+    with pytest.raises(ValueError, match="share"):
+        generate.generate(prompts, Slow, calls_per_second=20)
+
+
+def test_prompts_are_answered_once(spark, tmp_path):
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    prompts = spark.createDataFrame([(i, f"p{i % 6}") for i in range(30)] + [(99, None)], "id bigint, prompt string")
+    make = partial(Slow, str(calls), "p5")
+    first = {r.id: (r.response, r.error) for r in generate.generate_once(prompts, make, store, waves=3, in_flight=4).collect()}
+    assert first[4] == ("re: p4", None) and first[5] == (None, "down") and first[99] == (None, "empty prompt") and len(first) == 31
+    assert len(list(calls.iterdir())) == 6
+    again = generate.generate_once(prompts, partial(Slow, str(calls)), store, waves=3).collect()
+    assert len(list(calls.iterdir())) == 7 and {r.response for r in again if r.id % 6 == 5 and r.id < 30} == {"re: p5"}

@@ -147,6 +147,22 @@ def test_in_flight_pages_pass_once(spark, feed, tmp_path):
     assert sorted(r.page_id for r in got.collect()) == ["p", "p", "q", "y", "z"]  # the last 'p' came after the hold
 
 
+def test_a_finished_page_can_be_asked_for_again(spark, feed, tmp_path):
+    import datetime as dt
+
+    t0, minute = dt.datetime(2024, 1, 1), dt.timedelta(minutes=1)
+
+    def at(i, seq, page, kind="request"):
+        return (t0 + i * minute, seq, "w", page, kind)
+
+    batches = [[at(0, 1, "p"), at(1, 2, "p"), at(0, 3, "q")], [at(2, 4, "p", "finish"), at(3, 5, "p"), at(3, 6, "p")],
+               [at(4, 7, "q"), at(5, 8, "q", "finish"), at(5, 9, "q")], [at(90, 10, "p"), at(91, 11, "p")], [at(200, 12, "p", "finish"), at(200, 13, "p")]]
+    events = feed(batches, "ts timestamp, seq bigint, wiki_id string, page_id string, kind string")
+    got = run(spark, jobs.in_flight(events, hold_ms=60 * 60_000), tmp_path)
+    # 5 passes because 4 finished the page, 10 because the hold of 5 is over
+    assert sorted(r.seq for r in got.collect()) == [1, 3, 5, 9, 10, 13]
+
+
 def test_failures_are_rows(spark, feed, tmp_path):
     s = feed([[(1, "fine")], [(2, "boom")], [(3, "fine too")]], "id bigint, prompt string")
     out = str(tmp_path / "o")
