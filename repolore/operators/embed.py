@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from repolore import constants as C
 from repolore.functions.text import is_blank
-from repolore.session import cut_lineage, keep_small
+from repolore.session import cut_lineage, fits, keep_small
 
 
 class Embedder(Protocol):
@@ -94,11 +94,13 @@ def _usable() -> Column:
     return F.coalesce(F.size("vector"), F.lit(0)) > 0
 
 
-def modal_dims(vectors: DataFrame, pos: str = "chunk_id") -> DataFrame:
-    """Most common vector size per repo (ties: the size seen first), from size counts only."""
+def modal_dims(vectors: DataFrame, pos: str = "chunk_id", size: Column | None = None) -> DataFrame:
+    """Most common vector size per repo (ties: the size seen first), from size counts only. ``size`` is for tables that
+    hold sizes instead of vectors."""
+    size = F.size("vector") if size is None else size
     counts = (
-        vectors.where(_usable())
-        .groupBy("repo", F.size("vector").alias("dim"))
+        vectors.where(F.coalesce(size, F.lit(0)) > 0)
+        .groupBy("repo", size.alias("dim"))
         .agg(F.count("*").alias("n"), F.min(pos).alias("first_pos"))
     )
     return counts.groupBy("repo").agg(F.max_by("dim", F.struct("n", -F.col("first_pos"))).alias("dim"))
@@ -124,11 +126,12 @@ def keep_first_dim(vectors: DataFrame, pos: str = "chunk_id") -> DataFrame:
     return keep_dim(vectors, first_dims(vectors, pos))
 
 
-def repos_without_vectors(vectors: DataFrame) -> DataFrame:
+def repos_without_vectors(vectors: DataFrame, size: Column | None = None) -> DataFrame:
     """Repositories where nothing can be searched: the index step reports them as errors."""
+    size = F.size("vector") if size is None else size
     return (
         vectors.groupBy("repo")
-        .agg(F.count_if(_usable()).alias("valid"))
+        .agg(F.count_if(F.coalesce(size, F.lit(0)) > 0).alias("valid"))
         .where("valid = 0")
         .select("repo", F.lit("no valid vectors").alias("error"))
     )
@@ -174,16 +177,46 @@ def text_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: Bits of one row of a key filter, as ``bitmap_construct_agg`` has them.
+_ROW_BITS = 32_768
+
+
+def maybe_among(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``keys`` (same column name): all that are, and few others.
+
+    The keys' hashes set bits in a bitmap of fixed size (4 MB at most), which is broadcast, so ``df`` is thinned before it
+    is shuffled; an exact join has to follow. Beyond a quarter as many keys as bits the filter would pass nearly all
+    and is left out. ``keys`` is used twice: give it a checkpointed or stored table.
+    """
+    if not fits(keys, bits // 4):
+        return df
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    place = (slot % _ROW_BITS).cast("int")
+    rows = keys.select(F.floor(slot / _ROW_BITS).alias("_row"), place.cast("bigint").alias("_bit")).groupBy("_row").agg(
+        F.bitmap_construct_agg("_bit").alias("_bits")
+    )
+    marked = df.withColumn("_slot_row", F.floor(slot / _ROW_BITS)).withColumn("_slot_bit", place)
+    byte = F.expr("cast(conv(hex(substring(_bits, _slot_bit div 8 + 1, 1)), 16, 10) as int)")
+    hit = (F.col("_slot_row") == F.col("_row")) & (F.getbit(byte, F.expr("_slot_bit % 8")) == 1)
+    return marked.join(F.broadcast(rows), hit, "left_semi").drop("_slot_row", "_slot_bit")
+
+
+def _with_hash(chunks: DataFrame) -> DataFrame:
+    return chunks if "text_hash" in chunks.columns else chunks.withColumn("text_hash", text_hash(F.col("text")))
+
+
 def missing_texts(chunks: DataFrame, store: DataFrame, model: str, id: str = "chunk_id") -> DataFrame:
     """Distinct texts (text_hash, text) that the store has no vector for under ``model``.
 
-    Hashes are compared first, with one id per hash (partial minimum), so a text that fills a third of the corpus is
-    one row before the shuffle. Texts are then fetched by unique id, only for what is missing.
+    Hashes are compared first (``chunks`` may bring them as ``text_hash``), with one id per hash (partial minimum), so a
+    text that fills a third of the corpus is one row before the shuffle. Texts are then fetched by unique id; rows that
+    cannot be among those asked for are dropped before the shuffle, so known texts do not move.
     """
-    hashed = chunks.select(F.col(id).alias("_id"), text_hash(F.col("text")).alias("text_hash"))
+    hashed = _with_hash(chunks).select(F.col(id).alias("_id"), "text_hash")
     known = store.where(F.col("model") == model).select("text_hash")
-    todo = hashed.groupBy("text_hash").agg(F.min("_id").alias("_id")).join(known, "text_hash", "left_anti")
-    return chunks.select(F.col(id).alias("_id"), "text").join(todo, "_id").select("text_hash", "text")
+    todo = cut_lineage(hashed.groupBy("text_hash").agg(F.min("_id").alias("_id")).join(known, "text_hash", "left_anti"))
+    texts = maybe_among(chunks.select(F.col(id).alias("_id"), "text"), "_id", todo.select("_id"))
+    return texts.join(todo, "_id").select("text_hash", "text")
 
 
 def embed_missing(
@@ -196,10 +229,23 @@ def embed_missing(
     return done.select("text_hash", F.lit(model).alias("model"), "vector")
 
 
+def stored_vectors(chunks: DataFrame, store: DataFrame, model: str) -> DataFrame:
+    """(text_hash, vector, dim), checkpointed: the stored vectors that ``chunks`` (with ``text_hash``) ask for.
+
+    Of a large store only the rows asked for are shuffled and kept. A store appended to twice by a retried job may
+    hold a text twice; one row per text stays."""
+    asked = cut_lineage(chunks.select("text_hash").distinct())
+    rows = maybe_among(store.where(F.col("model") == model).select("text_hash", "vector"), "text_hash", asked)
+    once = rows.dropDuplicates(["text_hash"]).join(asked, "text_hash", "left_semi")
+    return cut_lineage(once.withColumn("dim", F.size("vector")))
+
+
 def attach_vectors(chunks: DataFrame, store: DataFrame, model: str) -> DataFrame:
     """Chunks with their stored vector (null when there is none).
 
-    A store appended to twice by a retried job may hold a text twice; one row per text is kept, in a checkpoint: AQE splits
-    a hot text on the chunk side only where both sides come straight from a shuffle."""
-    s = cut_lineage(store.where(F.col("model") == model).select("text_hash", "vector").dropDuplicates(["text_hash"]))
-    return chunks.withColumn("text_hash", text_hash(F.col("text"))).join(s, "text_hash", "left")
+    The stored side is a checkpoint: AQE splits a hot text on the chunk side only where both sides come straight from a
+    shuffle."""
+    hashed = _with_hash(chunks)
+    return hashed.join(stored_vectors(hashed, store, model).drop("dim"), "text_hash", "left").select(
+        *chunks.columns, *([] if "text_hash" in chunks.columns else ["text_hash"]), "vector"
+    )

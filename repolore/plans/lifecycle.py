@@ -9,23 +9,28 @@ from repolore.functions import text as X
 from repolore.functions import urls
 from repolore.operators import converse, corpus, embed, generate, retrieve, wiki
 from repolore.plans import flagship
-from repolore.session import cut_lineage
+from repolore.session import cut_lineage, scratch_dir
 from repolore.sources import stores
 
 
 def build_index(files: DataFrame, chunk_path: str, embedding_path: str, model: str, make_embedder, **filters) -> DataFrame:
     """Files (repo, doc_id, file_path, text) to stored chunks with vectors; returns the repositories left without any.
 
-    Only texts the embedding store does not know are embedded.
+    Only texts the embedding store does not know are embedded. Chunks are made once and stored with their text's hash below
+    the shared checkpoint folder; what follows reads hashes and sizes, and texts and vectors only where they are written.
     """
     spark = files.sparkSession
-    docs = corpus.to_documents(files, **filters)
-    chunks = corpus.chunk_words(docs).withColumn("chunk_id", corpus.chunk_id())
+    staged = scratch_dir(spark, "index-chunks")
+    made = corpus.chunk_words(corpus.to_documents(files, **filters)).withColumn("chunk_id", corpus.chunk_id())
+    made.withColumn("text_hash", embed.text_hash(F.col("text"))).write.parquet(staged)
+    chunks = spark.read.parquet(staged)
     known = stores.read_embeddings(spark, embedding_path)
     stores.append_embeddings(embed.embed_missing(chunks, known, model, make_embedder), embedding_path)
-    vectors = embed.attach_vectors(chunks, stores.read_embeddings(spark, embedding_path), model).drop("text_hash")
-    stores.write_chunks(embed.keep_modal_dim(vectors), chunk_path)
-    return embed.repos_without_vectors(vectors)
+    stored = embed.stored_vectors(chunks, stores.read_embeddings(spark, embedding_path), model)
+    sized = chunks.select("repo", "chunk_id", "text_hash").join(stored.select("text_hash", "dim"), "text_hash", "left")
+    vectors = chunks.join(stored.drop("dim"), "text_hash", "left").drop("text_hash")
+    stores.write_chunks(embed.keep_dim(vectors, embed.modal_dims(sized, size=F.col("dim"))), chunk_path)
+    return embed.repos_without_vectors(sized, F.col("dim"))
 
 
 def prompts(requests: DataFrame, messages: DataFrame, files: DataFrame, vectors: DataFrame, make_embedder) -> DataFrame:

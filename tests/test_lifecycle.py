@@ -38,6 +38,8 @@ def test_index_embeds_each_text_once(spark, files, tmp_path):
     assert spark.read.parquet(b).count() == 5
     lifecycle.build_index(files, a, b, "m", partial(Forbidden, 8))
     assert spark.read.parquet(b).count() == 5
+    model = embed.HashEmbedder(8)
+    assert all(list(model([r.text])[0]) == r.vector for r in spark.read.parquet(a).collect())
     assert {(r.repo, r.n) for r in spark.read.parquet(a).groupBy("repo").agg(F.count("*").alias("n")).collect()} == {("r1", 8), ("r2", 1)}
 
 
