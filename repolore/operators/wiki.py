@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolore import constants as C
@@ -199,6 +199,101 @@ def section_tree(sections: DataFrame, roots: DataFrame, max_depth: int | None =
     return reduce(DataFrame.unionByName, levels)
 
 
+_ITEM = ["wiki_id", "parent_id", "k", "id", "kind", "depth", "own"]
+
+
+def _outline_levels(sections: DataFrame, pages_in: DataFrame, roots: DataFrame, max_depth: int) -> list[DataFrame]:
+    """Per depth the sections and references (``_ITEM``); ``own``: places the row itself and its pages take."""
+    known = cut_lineage(
+        sections.select("wiki_id", F.col("section_id").alias("id"), F.col("pos").alias("_pos"))
+        .join(pages_in.groupBy("wiki_id", F.col("section_id").alias("id")).agg(F.count("*").alias("_n")), ["wiki_id", "id"], "left")
+        .select("wiki_id", "id", "_pos", (1 + F.coalesce("_n", F.lit(0))).alias("_own"))
+    )
+    child = sections.select("wiki_id", F.col("section_id").alias("parent_id"), F.posexplode("child_ids").alias("k", "id"))
+    edges = cut_lineage(child.withColumn("k", F.col("k").cast("bigint")).join(known, ["wiki_id", "id"]))
+    at = roots.select("wiki_id", F.col("section_id").alias("id")).distinct().join(known, ["wiki_id", "id"])
+    zero = F.lit(0).cast("bigint")
+    level = cut_lineage(at.select(
+        "wiki_id", F.lit(None).cast("string").alias("parent_id"), F.col("_pos").alias("k"), "id", F.lit("section").alias("kind"),
+        zero.alias("depth"), F.col("_own").alias("own"), "_pos",
+    ))
+    levels, seen = [level], level.select("wiki_id", "id")
+    while not level.isEmpty():
+        parents = level.where("kind = 'section'").select("wiki_id", F.col("id").alias("parent_id"), F.col("_pos").alias("_parent_pos"))
+        if len(levels) > max_depth:  # what lies deeper is named, not entered
+            deep = edges.join(parents, ["wiki_id", "parent_id"])
+            levels.append(cut_lineage(deep.select(
+                "wiki_id", "parent_id", "k", "id", F.lit("error").alias("kind"), F.lit(len(levels)).cast("bigint").alias("depth"),
+                F.lit(1).cast("bigint").alias("own"), "_pos",
+            )))
+            break
+        found = edges.join(parents, ["wiki_id", "parent_id"])
+        first = (
+            found.join(seen, ["wiki_id", "id"], "left_anti").groupBy("wiki_id", "id")
+            .agg(F.min(F.struct("_parent_pos", "parent_id", "k")).alias("_first"))
+        )
+        enters = F.coalesce(F.col("_first") == F.struct("_parent_pos", "parent_id", "k"), F.lit(False))
+        level = cut_lineage(found.join(first, ["wiki_id", "id"], "left").select(
+            "wiki_id", "parent_id", "k", "id", F.when(enters, "section").otherwise("reference").alias("kind"),
+            F.lit(len(levels)).cast("bigint").alias("depth"), F.when(enters, F.col("_own")).otherwise(1).cast("bigint").alias("own"), "_pos",
+        ))
+        levels.append(level)
+        seen = seen.unionByName(level.where("kind = 'section'").select("wiki_id", "id"))
+    return [x.select(*_ITEM) for x in levels]
+
+
+def section_outline(sections: DataFrame, pages: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
+    """The whole navigation in display order, as nested sets: (wiki_id, entry, exit, kind, id, parent_id, depth, error).
+
+    ``entry`` numbers the rows of a wiki from 0 as they are read: a section, its pages, its subsections; ``exit`` is the
+    last entry inside. A section is entered once, at its least deep place (ties: the parent first in the plan, then
+    by list position); its other places are rows of kind ``reference``, so the outline has one row per link however
+    many paths there are, and cycles end. Sections below ``max_depth`` are rows of kind ``error``. Links to unknown
+    sections and pages are dropped, as are sections that no root leads to. One join per level down, up and down
+    again over narrow rows; section ids and positions are unique in a wiki.
+    """
+    refs = sections.select("wiki_id", "section_id", F.posexplode("page_ids").alias("j", "id"))
+    pages_in = cut_lineage(refs.join(pages.select("wiki_id", "id").distinct(), ["wiki_id", "id"], "left_semi"))
+    levels = _outline_levels(sections, pages_in, roots, max_depth)
+
+    sized, below = [], None
+    for level in reversed(levels):  # up: places that a row takes with all inside
+        if below is None:
+            level = level.withColumn("size", F.col("own"))
+        else:
+            inside = below.groupBy("wiki_id", F.col("parent_id").alias("id")).agg(F.sum("size").alias("_in"))
+            inside = inside.withColumn("kind", F.lit("section"))
+            level = level.join(inside, ["wiki_id", "id", "kind"], "left").select(
+                *_ITEM, (F.col("own") + F.coalesce("_in", F.lit(0))).alias("size")
+            )
+        below = cut_lineage(level)
+        sized.insert(0, below)
+
+    placed, above = [], None
+    for level in sized:  # down: after the parent, its pages and the rows before
+        before = Window.partitionBy("wiki_id", "parent_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+        level = level.withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        if above is None:
+            level = level.withColumn("entry", F.col("_before"))
+        else:
+            start = above.where("kind = 'section'").select("wiki_id", F.col("id").alias("parent_id"), (F.col("entry") + F.col("own")).alias("_start"))
+            level = level.join(start, ["wiki_id", "parent_id"]).withColumn("entry", F.col("_start") + F.col("_before"))
+        above = cut_lineage(level.select(*_ITEM, "size", "entry"))
+        placed.append(above)
+    rows = reduce(DataFrame.unionByName, placed)
+    error = F.when(F.col("kind") == "error", F.lit(f"nested deeper than {max_depth} levels"))
+    items = rows.select(
+        "wiki_id", "entry", (F.col("entry") + F.col("size") - 1).alias("exit"), "kind", "id", "parent_id", "depth", error.alias("error")
+    )
+    nth = F.row_number().over(Window.partitionBy("wiki_id", "section_id").orderBy("j"))
+    owner = rows.where("kind = 'section'").select("wiki_id", F.col("id").alias("section_id"), "entry", "depth")
+    leaves = pages_in.withColumn("_nth", nth).join(owner, ["wiki_id", "section_id"]).select(
+        "wiki_id", (F.col("entry") + F.col("_nth")).alias("entry"), (F.col("entry") + F.col("_nth")).alias("exit"), F.lit("page").alias("kind"),
+        "id", F.col("section_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"), F.lit(None).cast("string").alias("error"),
+    )
+    return items.unionByName(leaves)
+
+
 def navigation(wikis: DataFrame, tree: DataFrame, pages: DataFrame) -> DataFrame:
     """Section rows where a wiki has any, else its pages as a flat list. Ids are kept before they meet the pages, whose
     hot wikis AQE can then split."""

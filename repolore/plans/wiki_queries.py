@@ -149,6 +149,29 @@ def _(t):
     return wiki.section_tree(s, wiki.root_sections(s)).withColumn("path", F.array_join("path", "/"))
 
 
+_OUTLINE = _TREE + """, place AS (SELECT wiki_id, section_id, min(depth) AS d FROM tree GROUP BY ALL),
+ links AS (SELECT e.wiki_id, e.section_id AS parent, s.pos AS ppos, e.i AS k, e.c FROM (SELECT wiki_id, section_id, generate_subscripts(child_ids, 1) - 1 AS i,
+   unnest(child_ids) AS c FROM fx_sections) e JOIN fx_sections s ON s.wiki_id = e.wiki_id AND s.section_id = e.section_id
+   JOIN fx_sections x ON x.wiki_id = e.wiki_id AND x.section_id = e.c),
+ cand AS (SELECT l.*, row_number() OVER (PARTITION BY l.wiki_id, l.c ORDER BY p.d, ppos, k) = 1 AND q.d > 0 AS enters FROM links l
+   JOIN place p ON p.wiki_id = l.wiki_id AND p.section_id = l.parent JOIN place q ON q.wiki_id = l.wiki_id AND q.section_id = l.c),
+ outline AS (SELECT wiki_id, 'section' AS kind, section_id AS id, NULL::VARCHAR AS parent_id, 0::BIGINT AS depth, [1::BIGINT, pos::BIGINT] AS key FROM roots
+  UNION ALL SELECT o.wiki_id, CASE WHEN c.enters THEN 'section' ELSE 'reference' END, c.c, c.parent, o.depth + 1, list_concat(o.key, [1::BIGINT, c.k::BIGINT])
+   FROM outline o JOIN cand c ON o.kind = 'section' AND c.wiki_id = o.wiki_id AND c.parent = o.id),
+ rows AS (SELECT * FROM outline UNION ALL SELECT o.wiki_id, 'page', r.p, o.id, o.depth + 1, list_concat(o.key, [0::BIGINT, r.i::BIGINT])
+   FROM outline o JOIN (SELECT wiki_id, section_id, generate_subscripts(page_ids, 1) AS i, unnest(page_ids) AS p FROM fx_sections) r
+   ON o.kind = 'section' AND r.wiki_id = o.wiki_id AND r.section_id = o.id JOIN (SELECT DISTINCT wiki_id, id FROM fx_wiki_pages) g ON g.wiki_id = r.wiki_id AND g.id = r.p)"""
+
+
+@query("wik5_outline", """SELECT wiki_id, kind, id, parent_id, depth, row_number() OVER (PARTITION BY wiki_id ORDER BY key) - 1 AS entry,
+   row_number() OVER (PARTITION BY wiki_id ORDER BY key) - 1 + (SELECT count(*) FROM rows x WHERE x.wiki_id = r.wiki_id AND len(x.key) > len(r.key)
+    AND x.key[1:len(r.key)] = r.key) AS exit, NULL::VARCHAR AS error FROM rows r""", ("fx_sections", "fx_wiki_pages"), ctes=_OUTLINE)
+def _(t):
+    """Sections, references and pages in display order."""
+    s = t("fx_sections")
+    return wiki.section_outline(s, t("fx_wiki_pages"), wiki.root_sections(s))
+
+
 @query("wik6_navigation", """SELECT wiki_id, 'section' AS kind, section_id AS item, depth FROM tree WHERE wiki_id IN (SELECT wiki_id FROM planned)
   UNION ALL SELECT wiki_id, 'page', id, 0 FROM fx_wiki_pages WHERE wiki_id NOT IN (SELECT wiki_id FROM planned)""", _S,
        ctes=_TREE + ", planned AS (SELECT w.wiki_id FROM fx_wikis w JOIN labels l ON l.doc_id = w.n WHERE l.quality = 1)")

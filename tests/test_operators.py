@@ -107,6 +107,33 @@ def test_copies_are_embedded_once(spark):
     assert again.count() == 0
 
 
+def test_key_filter_keeps_every_key_and_few_others(spark):
+    df = spark.range(20_000).select(F.col("id").alias("k"), F.lit("x").alias("t"))
+    keys = cut_lineage(df.where("k % 100 = 7").select("k"))
+    got = embed.maybe_among(df, "k", keys)
+    kept = {r.k for r in got.collect()}
+    assert got.columns == ["k", "t"] and {r.k for r in keys.collect()} <= kept and len(kept) < 300
+    assert embed.maybe_among(df, "k", keys, bits=32_768).count() < 1_000
+    assert embed.maybe_among(df, "k", keys, bits=64).count() == 20_000  # too many keys for the filter
+    assert embed.maybe_among(df, "k", keys.limit(0)).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan
+
+
+def test_index_moves_asked_vectors_only(spark):
+    chunks = spark.createDataFrame([(i, f"t{i % 3}") for i in range(9)] + [(9, None)], "chunk_id bigint, text string")
+    rows = [(f"t{i}", [float(i)]) for i in range(2)] + [("t1", [1.0])] + [(f"other{i}", [0.5]) for i in range(50)]
+    store = spark.createDataFrame(rows, "t string, vector array<float>").select(
+        embed.text_hash(F.col("t")).alias("text_hash"), F.lit("m").alias("model"), "vector"
+    )
+    hashed = chunks.withColumn("text_hash", embed.text_hash(F.col("text")))
+    assert embed.stored_vectors(hashed, store, "m").count() == 2
+    got = {r.chunk_id: r.vector for r in embed.attach_vectors(chunks, store, "m").collect()}
+    assert got == {i: ([float(i % 3)] if i % 3 < 2 else None) for i in range(9)} | {9: None}
+    assert embed.stored_vectors(hashed, store, "other").count() == 0
+    assert {r.text for r in embed.missing_texts(chunks.where("text is not null"), store, "m").collect()} == {"t2"}
+
+
 def test_join_text_names_what_does_not_fit(spark):
     parts = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z" * 50)], "k string, pos int, t string")
     got = {r.k: (r.n_chars, r.text, r.error) for r in join_text(parts, ["k"], ["pos"], "t", sep="-", max_chars=10).collect()}
@@ -305,6 +332,57 @@ def test_section_tree_survives_cycles_and_shared_children(spark):
     assert got == {"a", "a/b", "a/c", "a/b/d", "a/c/d", "a/c/d/b"}
 
 
+def _outline_by_hand(sections, pages, roots):
+    """Least deep places by breadth, then one walk in display order."""
+    place, frontier = {r: None for r in roots}, list(roots)
+    while frontier:
+        links = sorted((sections[p][0], p, k, c) for p in frontier for k, c in enumerate(sections[p][2]) if c in sections)
+        frontier = []
+        for _, p, k, c in links:
+            if c not in place:
+                place[c] = (p, k)
+                frontier.append(c)
+    out = []
+
+    def walk(s, parent, depth):
+        at = len(out)
+        out.append(None)
+        for p in sections[s][1]:
+            if p in pages:
+                out.append((len(out), len(out), "page", p, s, depth + 1))
+        for k, c in enumerate(sections[s][2]):
+            if c in sections and place.get(c) == (s, k):
+                walk(c, s, depth + 1)
+            elif c in sections:
+                out.append((len(out), len(out), "reference", c, s, depth + 1))
+        out[at] = (at, len(out) - 1, "section", s, parent, depth)
+
+    for r in sorted(roots, key=lambda r: sections[r][0]):
+        walk(r, None, 0)
+    return sorted(out)
+
+
+def test_outline_of_dense_and_cyclic_plans(spark):
+    names = [f"s{i}" for i in range(30)]
+    dense = {n: (i, [f"p{i}", "gone"], names[i + 1:]) for i, n in enumerate(names)}  # 2**28 paths
+    cyclic = {"a": (1, ["p1", "p2"], ["b", "c", "b"]), "b": (2, ["p1"], ["d", "gone"]), "c": (3, [], ["d", "a"]), "d": (4, ["p2", "p1"], ["b"]), "e": (0, [], [])}
+    pages = {f"p{i}" for i in range(30)}
+    rows = [(w, s, *v) for w, plan in (("dense", dense), ("cyclic", cyclic)) for s, v in plan.items()]
+    s = spark.createDataFrame(rows, "wiki_id string, section_id string, pos bigint, page_ids array<string>, child_ids array<string>")
+    p = spark.createDataFrame([(w, x) for w in ("dense", "cyclic") for x in pages], "wiki_id string, id string")
+    roots = s.where("section_id IN ('s0', 'a', 'e')")
+    start = time.time()
+    got = wiki.section_outline(s, p, roots).collect()
+    assert time.time() - start < 120
+    for name, plan, at in (("dense", dense, ["s0"]), ("cyclic", cyclic, ["a", "e"])):
+        found = sorted((r.entry, r.exit, r.kind, r.id, r.parent_id, r.depth) for r in got if r.wiki_id == name)
+        assert found == _outline_by_hand(plan, pages, at)
+    chain = s.where("wiki_id = 'dense'").withColumn("child_ids", F.slice("child_ids", 1, 1))
+    cut = wiki.section_outline(chain, p, roots, max_depth=3).orderBy("entry").collect()
+    assert [r.kind for r in cut] == ["section", "page"] * 4 + ["error"] and cut[-1].error == "nested deeper than 3 levels"
+    assert cut[0].exit == 8 and wiki.section_outline(s.limit(0), p, roots.limit(0)).count() == 0
+
+
 def test_substring_categories(spark):
     df = spark.createDataFrame([("Container",), ("User guide",), ("Nothing",)], "title string")
     assert [r.c for r in df.select(wiki.title_category(F.col("title")).alias("c")).collect()] == ["models", "ui", "other"]
