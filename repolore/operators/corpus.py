@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,6 +152,59 @@ def decode_contents(payloads: DataFrame) -> DataFrame:
     )
 
 
+_ENCODERS: dict = {}
+
+
+def _encoder(ranks: str, pattern: str, special: Sequence[str]):
+    """The encoder of a rank file, once per worker process; None where the file cannot be read."""
+    if ranks not in _ENCODERS:
+        try:
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            names = {s: len(table) + i for i, s in enumerate(special)}
+            _ENCODERS[ranks] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=names)
+        except (ImportError, OSError, ValueError):
+            _ENCODERS[ranks] = None
+    return _ENCODERS[ranks]
+
+
+def count_tokens(
+    docs: DataFrame, ranks: str | None, pattern: str, special: Sequence[str] = ("<|endoftext|>",), text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with ``token_count`` and ``counted_by`` ('vocabulary' or 'length').
+
+    Tokens of the whole text under the rank file ``ranks`` (on every executor). As in the original, a text that cannot be encoded
+    counts length / 4: one that holds the string of a special token, or any text where the vocabulary cannot be read.
+    A null text has a null count. Each row is counted where it lies; nothing is shuffled."""
+    if ranks is None:
+        exact = F.lit(None).cast("bigint")
+    else:
+
+        @F.pandas_udf("bigint")
+        def counted(texts: pd.Series) -> pd.Series:
+            encoder = _encoder(ranks, pattern, special)
+
+            def one(t):
+                try:
+                    return None if encoder is None or t is None else len(encoder.encode(t))
+                except (KeyboardInterrupt, SystemExit):
+                    raise
+                except BaseException:  # the library's own failures are no Exception
+                    return None
+
+            return pd.Series([one(t) for t in texts], dtype="Int64")
+
+        exact = counted(F.col(text_col))
+    return (
+        docs.withColumn("_exact", exact)
+        .withColumn("token_count", F.coalesce("_exact", text.approx_tokens(F.col(text_col))))
+        .withColumn("counted_by", F.when(F.col("_exact").isNotNull(), "vocabulary").when(F.col("token_count").isNotNull(), "length"))
+        .drop("_exact")
+    )
+
+
 def file_for_requests(requests: DataFrame, files: DataFrame) -> DataFrame:
     """Attach the text of the file each request points at; '' when there is none."""
     f = files.select("repo", "file_path", F.col("text").alias("_text"))

@@ -101,6 +101,20 @@ def _(t):
     return t("documents").select("doc_id", text.approx_tokens(F.col("text")).alias("token_count"))
 
 
+def _vocabulary() -> tuple[str | None, str]:
+    """Rank file and pattern of the public vocabulary, where it is installed."""
+    try:
+        import public_tokenizers as P
+    except ImportError:
+        return None, ""
+    return P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+
+
+@query("chk2_vocabulary_count")
+def _(t):
+    return corpus.count_tokens(t("documents").select("doc_id", "text"), *_vocabulary()).drop("text")
+
+
 @query("chk3_token_estimate", f"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{_SPACE_RE}'),
    lambda x: x <> '')) AS tokens FROM documents""")
 def _(t):
