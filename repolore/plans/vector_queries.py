@@ -21,10 +21,13 @@ def _norm():
 
 
 @query("emb1_batch_embed", """SELECT chunk_id, 64 AS dim, CASE WHEN ord%3=1 OR trim(text, chr(32)||chr(9)||chr(10)||chr(13)) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm,
-   NULL::VARCHAR AS error FROM fx_chunks""", ("fx_chunks",))
+   NULL::VARCHAR AS error FROM (SELECT chunk_id, 0 AS ord, text FROM fx_chunks UNION ALL SELECT -1 - chunk_id, 1, '' FROM fx_chunks WHERE ord%3=1)""",
+       ("fx_chunks",))
 def _(t):
-    """Blank chunks are among those embedded."""
-    c = t.chunks().select("chunk_id", F.when(F.col("ord") % 3 == 1, F.lit("  ")).otherwise(F.col("text")).alias("text"))
+    """Every chunk, and blank ones beside them."""
+    c = t.chunks()
+    blank = c.where(F.col("ord") % 3 == 1).select((-1 - F.col("chunk_id")).alias("chunk_id"), F.lit("  ").alias("text"))
+    c = c.select("chunk_id", "text").unionByName(blank)
     return embed.embed(c, _hash64).select("chunk_id", F.size("vector").alias("dim"), _norm().alias("norm"), "error")
 
 
@@ -103,6 +106,20 @@ def _(t):
     return embed.embed(q, _hash64, text="query").select("conv_id", F.size("vector").alias("dim"), "error")
 
 
+@query("emb8_single_text", """SELECT conv_id, turn, CASE WHEN n = 1 THEN 64 END AS dim, CASE WHEN n = 1 THEN CASE WHEN trim(text, chr(32)||chr(9)||chr(10)||chr(13)) = ''
+   THEN 0.0 ELSE 1.0 END END::DOUBLE AS norm, CASE WHEN n <> 1 THEN 'only a single text can be embedded as a query' END AS error
+  FROM (SELECT conv_id, turn, text, (conv_id + turn) % 3 AS n FROM conversations)""")
+def _(t):
+    """Queries that come as lists of no, one or two texts; only those of one are sent."""
+    n = (F.col("conv_id") + F.col("turn")) % 3
+    given = F.slice(F.array("text", "text"), F.lit(1), n.cast("int"))
+    asked = t("conversations").select("conv_id", "turn", embed.single_text(given).alias("one")).select("conv_id", "turn", "one.*")
+    sent = embed.embed(asked.where("error IS NULL").select("conv_id", "turn", "query"), _hash64, text="query")
+    done = sent.select("conv_id", "turn", F.size("vector").alias("dim"), _norm().alias("norm"), "error")
+    refused = asked.where("error IS NOT NULL").select("conv_id", "turn", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("double").alias("norm"), "error")
+    return done.unionByName(refused)
+
+
 # --- retrieval: every conversation searches all chunks of its repository -------------------------------------------
 
 _HITS = """scored AS (SELECT q.query_id, c.chunk_id, c.file_path, c.text,
