@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolore import constants as C
 from repolore.functions import text as X
+from repolore.operators.ordered import whole_texts
+from repolore.session import keep_small
 
 _LINE = r"[^\n\r\x{2028}\x{2029}]"
 
@@ -284,6 +288,17 @@ def upsert_stages(stage_rows: DataFrame) -> DataFrame:
     )
 
 
+def stage_texts(runs: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+    """(keys, type, title, first_seq, block, content) from logged runs (keys with ``iteration``, from_seq, to_seq, text, type): the content of
+    a stage is the answer's text up to the last run that shows it, as blocks (``whole_texts``)."""
+    shown = runs.where("type IS NOT NULL").groupBy(*keys, "type").agg(F.min("to_seq").alias("first_seq"), F.max("to_seq").alias("_last"))
+    shown = keep_small(shown)
+    parts = runs.drop("type").join(shown, list(keys)).where("to_seq <= _last")
+    texts = whole_texts(parts, [*keys, "type"], ["from_seq"], "text", out="content", **kw)
+    title = stage_title(F.col("type"), F.col("iteration"))
+    return texts.join(shown.drop("_last"), [*keys, "type"]).select(*keys, "type", title.alias("title"), "first_seq", "block", "content")
+
+
 def force_conclusion(content: Column, iteration: Column) -> Column:
     forced = (iteration >= C.MAX_RESEARCH_ITERATIONS) & ~research_complete(content)
     return F.when(forced, F.concat(content, F.lit(C.FORCED_CONCLUSION))).otherwise(content)

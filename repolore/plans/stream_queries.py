@@ -71,20 +71,25 @@ def _(t):
     return rows.select("response_id", (F.floor((F.col("seq") - 1) / 2) + F.col("response_id") * 200).alias("seq"), "delta")
 
 
-@query("str3_live_stages", f"""SELECT conv_id, iteration, type, CASE type WHEN 'plan' THEN 'Research Plan' WHEN 'update' THEN
-   concat('Research Update ', iteration) ELSE 'Final Conclusion' END AS title, content
-   FROM (SELECT *, {_TYPE} AS type FROM fx_responses) WHERE type IS NOT NULL""", ("fx_responses",))
-def _(t):
-    """Each answer arrives in three parts; a stage is logged when its text shows it."""
-    out, state = _paths(t, "str3")
-    a = t.stream("fx_responses")
+def _answer_parts(t, a=None):
+    """Each answer in three deltas (conv_id, turn, seq, delta)."""
+    a = t.stream("fx_responses") if a is None else a
     third = F.floor(F.length("content") / 3).cast("int")
-    parts = a.select(
+    return a.select(
         "conv_id", F.col("seq").alias("turn"),
         F.posexplode(
             F.array(F.substr("content", F.lit(1), third), F.substr("content", third + 1, third), F.substr("content", third * 2 + 1))
         ).alias("pos", "delta"),
     ).withColumn("seq", F.col("pos").cast("bigint"))
+
+
+@query("str3_live_stages", f"""SELECT conv_id, iteration, type, CASE type WHEN 'plan' THEN 'Research Plan' WHEN 'update' THEN
+   concat('Research Update ', iteration) ELSE 'Final Conclusion' END AS title, content
+   FROM (SELECT *, {_TYPE} AS type FROM fx_responses) WHERE type IS NOT NULL""", ("fx_responses",))
+def _(t):
+    """Each answer arrives in three parts; a stage is logged when its text shows it."""
+    out, state = _paths(t, "str3")
+    parts = _answer_parts(t)
     growing = assemble.growing_text(parts, keys=["conv_id", "turn"]).select(
         "conv_id", F.floor((F.col("turn") + 1) / 2).alias("iteration"), "seq", "text"
     )
@@ -92,6 +97,21 @@ def _(t):
     return derive.upsert_stages(log).drop("first_seq")
 
 
+@query("str3_stage_runs", f"""SELECT conv_id, iteration, type, CASE type WHEN 'plan' THEN 'Research Plan' WHEN 'update' THEN
+   concat('Research Update ', iteration) ELSE 'Final Conclusion' END AS title, 0::BIGINT AS block, content
+   FROM (SELECT *, {_TYPE} AS type FROM fx_responses) WHERE type IS NOT NULL""", ("fx_responses",))
+def _(t):
+    """The stages again, from runs that hold each text once, over several micro-batches with parts out of order."""
+    out, state = _paths(t, "str3-runs")
+    path = scratch_dir(t.spark, "parts")
+    parts = _answer_parts(t, t("fx_responses")).withColumn("iteration", F.floor((F.col("turn") + 1) / 2))
+    parts.withColumn("file", F.pmod(F.hash("conv_id", "turn", "seq"), F.lit(3))).repartition(3, "file").drop("file").write.parquet(path)
+    stream = t.spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    runs = assemble.stage_runs(stream, keys=["conv_id", "turn", "iteration"])
+    log = _finish(jobs.write_batches(runs, out, state), t.spark, out).drop("batch")
+    return derive.stage_texts(log, ["conv_id", "turn", "iteration"]).drop("turn", "first_seq")
+
+
 @query("str4_streaming_retrieval", """SELECT query_id, concat(chr(10), chr(10), '----------', string_agg(part, chr(10)||chr(10) ORDER BY first_rank))
    AS context FROM parts GROUP BY query_id""", V._FX, ctes=V._HITS + ", " + V._CONTEXT)
 def _(t):

@@ -191,6 +191,69 @@ class GrowingText(StatefulProcessor):
         pass
 
 
+PLAN, UPDATE, CONCLUSION = "## Research Plan", "## Research Update {}", "## Final Conclusion"
+
+
+class StageScanner(StatefulProcessor):
+    """Deltas of one answer, numbered from 0, to runs of text with the stage that the text up to there shows.
+
+    State: the next position, the last characters read (as many as a marker may need), which markers were met, and deltas that
+    came early. A micro-batch reads and emits its own deltas only, so state and output grow with the answer, not with
+    answer times batches. The last key is the iteration.
+    """
+
+    def __init__(self, ttl_ms: int | None = None, keys: Sequence[str] = ("response_id", "iteration")):
+        self.ttl_ms, self.keys = ttl_ms, tuple(keys)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("scan", "next bigint, tail string, plan boolean, renewed boolean, final boolean, waiting bigint", self.ttl_ms)
+        self.early = handle.getMapState("early", "seq bigint", "delta string", self.ttl_ms)
+
+    @staticmethod
+    def _stage(iteration: int, met: list[bool]) -> str | None:
+        if iteration == 1 and met[0]:
+            return "plan"
+        return "update" if 1 <= iteration <= 4 and met[1] else "conclusion" if met[2] else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, tail, *met, waiting = self.state.get() if self.state.exists() else (0, "", False, False, False, 0)
+        chunks = pd.concat(list(rows), ignore_index=True).drop_duplicates("seq")
+        here = {int(q): d or "" for q, d in chunks[["seq", "delta"]].itertuples(index=False) if q >= at}
+        iteration = int(key[-1])
+        markers = [PLAN, UPDATE.format(iteration), CONCLUSION]
+        keep, found = max(map(len, markers)) - 1, []
+        while True:
+            if at in here:
+                delta = here.pop(at)
+            elif waiting and self.early.containsKey((at,)):
+                delta = self.early.getValue((at,))[0]
+            else:
+                break
+            if waiting and self.early.containsKey((at,)):
+                self.early.removeKey((at,))
+                waiting -= 1
+            seen = tail + delta
+            met = [m or x in seen for m, x in zip(met, markers, strict=True)]
+            tail, kind = seen[-keep:], self._stage(iteration, met)
+            if found and found[-1][3] == kind:
+                found[-1][1] = at
+                found[-1][2].append(delta)
+            else:
+                found.append([at, at, [delta], kind])
+            at += 1
+        for q, delta in here.items():
+            if not (waiting and self.early.containsKey((q,))):
+                self.early.updateValue((q,), (delta,))
+                waiting += 1
+        self.state.update((at, tail, *met, waiting))
+        if found:
+            runs = pd.DataFrame([(a, b, "".join(d), k) for a, b, d, k in found], columns=["from_seq", "to_seq", "text", "type"])
+            yield runs.assign(**dict(zip(self.keys, key, strict=True)))[[*self.keys, "from_seq", "to_seq", "text", "type"]]
+
+    def close(self) -> None:
+        pass
+
+
 def time_mode(ttl_ms: int | None) -> str:
     """State expiry needs the clock; without it a run-to-the-end query would never see its last batch."""
     return "processingTime" if ttl_ms else "none"
@@ -231,3 +294,11 @@ def growing_text(deltas: DataFrame, ttl_ms: int | None = None, keys: Sequence[st
     """(keys, seq, text): the bigint columns ``keys`` name an answer; each is kept, so that no two answers share a key."""
     schema = "".join(f"{k} bigint, " for k in keys) + "seq bigint, text string"
     return _run(deltas.select(*keys, "seq", "delta"), list(keys), GrowingText(ttl_ms, keys), schema, "update")
+
+
+def stage_runs(deltas: DataFrame, ttl_ms: int | None = None, keys: Sequence[str] = ("response_id", "iteration")) -> DataFrame:
+    """(keys, from_seq, to_seq, text, type): every text once, in runs, each with the stage shown at its end (null: none yet).
+
+    ``keys`` are bigint columns, the iteration last. Deltas may come in any order and micro-batch; one that comes early waits in the state."""
+    schema = "".join(f"{k} bigint, " for k in keys) + "from_seq bigint, to_seq bigint, text string, type string"
+    return _run(deltas.select(*keys, "seq", "delta"), list(keys), StageScanner(ttl_ms, keys), schema, "append")

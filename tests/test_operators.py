@@ -134,6 +134,33 @@ def test_index_moves_asked_vectors_only(spark):
     assert {r.text for r in embed.missing_texts(chunks.where("text is not null"), store, "m").collect()} == {"t2"}
 
 
+def test_token_counts_under_a_vocabulary(spark, tmp_path):
+    import base64
+
+    ranks = str(tmp_path / "own.tiktoken")
+    pieces = [bytes([i]) for i in range(256)] + [b"ab", b"abc", b" ab"]
+    with open(ranks, "wb") as f:
+        f.write(b"\n".join(base64.b64encode(p) + b" " + str(i).encode() for i, p in enumerate(pieces)))
+    rows = [(1, "abc ab"), (2, "abcab"), (3, ""), (4, None), (5, "stop <|endoftext|> here"), (6, "\u00e9")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.token_count, r.counted_by) for r in corpus.count_tokens(docs, ranks, r" ?\w+|\s+|.").collect()}
+    assert got == {1: (2, "vocabulary"), 2: (2, "vocabulary"), 3: (0, "vocabulary"), 4: (None, None), 5: (5, "length"), 6: (2, "vocabulary")}
+    for path in (None, str(tmp_path / "missing")):
+        by_length = corpus.count_tokens(docs, path, "").collect()
+        assert [(r.token_count, r.counted_by) for r in by_length[:2]] == [(1, "length"), (1, "length")]
+
+
+def test_vocabulary_counts_equal_the_library(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = corpus.count_tokens(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    whole = tok.encode_batch([r.text for r in rows], add_special_tokens=False)
+    assert rows and all(r.counted_by == "vocabulary" and r.token_count == len(e.ids) for r, e in zip(rows, whole, strict=True))
+
+
 def test_join_text_names_what_does_not_fit(spark):
     parts = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z" * 50)], "k string, pos int, t string")
     got = {r.k: (r.n_chars, r.text, r.error) for r in join_text(parts, ["k"], ["pos"], "t", sep="-", max_chars=10).collect()}

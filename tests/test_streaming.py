@@ -135,6 +135,38 @@ def test_growing_text_shows_stages(spark, feed, tmp_path):
     assert [(r.type, r.content) for r in derive.upsert_stages(log).collect()] == [("plan", "## Research Plan\nfirst then")]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stage_runs_hold_each_text_once(spark, feed, tmp_path, seed):
+    import random
+
+    rng = random.Random(seed)
+    texts = {
+        (1, 1): "intro ## Research Plan\nsteps ## Final Conclusion", (1, 2): "## Final Conclusion first, ## Research Update 2 later",
+        (2, 1): "nothing to see", (2, 7): "x" * 50 + "## Research Update 7 ## Final Conclusion" + "y" * 40, (3, 3): "## Research Update",
+    }
+    rows = [(c, i, seq, t[at:at + 5]) for (c, i), t in texts.items() for seq, at in enumerate(range(0, len(t), 5))]
+    rng.shuffle(rows)
+    batches = [rows[k::4] + rows[:3] for k in range(4)]  # out of order, with repeats
+    deltas = feed(batches, "conv_id bigint, iteration bigint, seq bigint, delta string")
+    log = run(spark, assemble.stage_runs(deltas, keys=["conv_id", "iteration"]), tmp_path).drop("batch")
+    whole = {(r.conv_id, r.iteration): r.text for r in join_text(log, ["conv_id", "iteration"], ["from_seq"], "text").collect()}
+    assert whole == texts
+
+    def kind(i, t):
+        if i == 1 and "## Research Plan" in t:
+            return "plan"
+        return "update" if 1 <= i <= 4 and f"## Research Update {i}" in t else "conclusion" if "## Final Conclusion" in t else None
+
+    expected = {}
+    for (c, i), t in texts.items():
+        for end in range(5, len(t) + 5, 5):
+            if kind(i, t[:end]):
+                expected[c, i, kind(i, t[:end])] = t[:end]
+    got = derive.stage_texts(log, ["conv_id", "iteration"]).collect()
+    assert {(r.conv_id, r.iteration, r.type): r.content for r in got} == expected and len(got) == len(expected)
+    assert {r.title for r in got} == {"Research Plan", "Research Update 2", "Final Conclusion"}
+
+
 def test_in_flight_pages_pass_once(spark, feed, tmp_path):
     schema = "ts timestamp, wiki_id string, page_id string"
     import datetime as dt
