@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from repolore import constants as C
 from repolore.functions import text as X
-from repolore.operators import converse, corpus, embed, retrieve
+from repolore.operators import blocks, converse, corpus, embed, retrieve
 from repolore.plans import flagship
 from repolore.plans.registry import query, sql_in, sql_list
+from repolore.session import cut_lineage
 
 DIM = 64
 _hash64 = partial(embed.HashEmbedder, DIM)
@@ -147,6 +148,13 @@ def _(t):
     return retrieve.search(t("fx_queries"), t("fx_chunk_vectors"), broadcast_queries=False, chunk_block=500, query_block=64)
 
 
+@query("ret1_topk_pruned", "SELECT query_id, chunk_id, score, rank FROM hits", _FX, ctes=_HITS)
+def _(t):
+    """Blocks whose bound is below a query's k-th score stay unread."""
+    marked = cut_lineage(blocks.mark_blocks(t("fx_chunk_vectors").select("chunk_id", "repo", "vector")))
+    return blocks.search_pruned(t("fx_queries"), marked, blocks.block_stats(marked))
+
+
 @query("ret2_hydrate", "SELECT query_id, rank, chunk_id, file_path, text FROM hits", _FX, ctes=_HITS)
 def _(t):
     return hits(t).select("query_id", "rank", "chunk_id", "file_path", "text")

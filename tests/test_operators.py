@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from repolore.operators import converse, corpus, derive, embed, generate, retrieve, wiki
+from repolore.operators import blocks, converse, corpus, derive, embed, generate, retrieve, wiki
 from repolore.operators.ordered import join_text, text_blocks
 from repolore.plans import flagship
 from repolore.session import cut_lineage
@@ -274,6 +274,29 @@ def test_hot_texts_and_conversations_are_split(spark, eager_to_split):
     assert len(rows) == n and "skew=true" in plan
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_pruned_search_equals_the_whole_and_reads_less(spark, few):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 16))
+    vec = [[float(x) for x in centres[i % 40] + 0.02 * rng.standard_normal(16)] for i in range(2000)]
+    rows = [(i, "hot" if i % 3 else f"r{i % 5}", v) for i, v in enumerate(vec)]
+    rows += [(5000 + i, "hot", vec[i % 4]) for i in range(30)]  # ties
+    rows += [(6000, "hot", []), (6001, "hot", None), (6002, None, vec[0]), (6003, "hot", [1.0, 2.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, repo string, vector array<double>")
+    qs = [(i, ["hot", "r0", "r3"][i % 3], vec[i * 7]) for i in range(30)] + [(90, "none", vec[0]), (91, None, vec[0]), (92, "hot", []), (93, "hot", [0.5, 1.0])]
+    queries = spark.createDataFrame(qs, "query_id bigint, repo string, vector array<double>")
+    marked = cut_lineage(blocks.mark_blocks(chunks))
+    stats = blocks.block_stats(marked)
+    want = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in retrieve.search(queries, chunks, 10).collect()}
+    got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in blocks.search_pruned(queries, marked, stats, 10, broadcast_queries=few).collect()}
+    assert got == want and len(want) == 301
+    bound = cut_lineage(blocks.first_blocks(blocks.bounds(queries, stats), 10))
+    found = blocks._search_in(queries, marked, bound.where("first"), 10)
+    read = bound.where("first").count() + blocks.open_blocks(bound, found, 10).count()
+    assert read < bound.count() / 2
+    assert blocks.search_pruned(queries, marked.limit(0), stats.limit(0), 10).count() == 0
+
+
 def test_search_reads_the_partitions_asked_for(spark, tmp_path):
     path = str(tmp_path / "chunks")
     rows = [(i, f"r{i % 4}", "f", f"t{i}", [float(i % 7), 1.0]) for i in range(40)]
