@@ -9,11 +9,14 @@ from repolore.operators import corpus, embed, retrieve
 from repolore.plans.fixtures import Tables
 
 
-def hits(queries: DataFrame, vectors: DataFrame, k: int = C.TOP_K) -> DataFrame:
-    """Search the usable vectors of the repositories asked for, then bring in file and text of the hits."""
+def hits(queries: DataFrame, vectors: DataFrame, k: int = C.TOP_K, dims: DataFrame | None = None) -> DataFrame:
+    """Search the usable vectors of the repositories asked for, then bring in file and text of the hits.
+
+    ``dims`` (repo, dim): the vector sizes that count, where they are known; else they are found first."""
     few = retrieve.few(queries)
     stored = retrieve.only_asked(queries, vectors, few)
-    usable = embed.keep_modal_dim(stored.select("repo", "chunk_id", "vector"))
+    narrow = stored.select("repo", "chunk_id", "vector")
+    usable = embed.keep_modal_dim(narrow) if dims is None else embed.keep_dim(narrow, dims)
     found = retrieve.search(queries, usable, k, few)
     few_hits = few and k * retrieve.MAX_BROADCAST_QUERIES <= retrieve.MAX_BROADCAST_HITS
     return retrieve.hydrate(found, stored, few_hits=few_hits)

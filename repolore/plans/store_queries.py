@@ -178,7 +178,7 @@ def _(t):
 # --- exports -----------------------------------------------------------------------------------------------------------
 
 
-@query("snk4_markdown", f"""SELECT wiki_id, 0::BIGINT AS block, 0::BIGINT AS pos, concat('# Wiki Documentation for ', repo_url, chr(10), chr(10),
+_MARKDOWN = f"""SELECT wiki_id, 0::BIGINT AS block, 0::BIGINT AS pos, concat('# Wiki Documentation for ', repo_url, chr(10), chr(10),
    'Generated on: {_AT}', chr(10), chr(10), '## Table of Contents', chr(10), chr(10)) AS text FROM fx_cache_wikis
   UNION ALL SELECT wiki_id, 1, pos, concat('- [', title, '](#', id, ')', chr(10)) FROM fx_wiki_pages
   UNION ALL SELECT wiki_id, 2, 0, chr(10) FROM fx_cache_wikis
@@ -186,11 +186,22 @@ def _(t):
    chr(10), CASE WHEN l.links IS NULL THEN '' ELSE concat('Related topics: ', l.links, chr(10), chr(10)) END, content, chr(10), chr(10), '---', chr(10), chr(10))
    FROM fx_wiki_pages p LEFT JOIN (SELECT r.wiki_id, r.id, string_agg(concat('[', q.title, '](#', q.id, ')'), ', ' ORDER BY r.i) AS links FROM
     (SELECT wiki_id, id, i, related[i] AS rid FROM fx_wiki_pages, unnest(range(1, 4)) u(i)) r JOIN fx_wiki_pages q ON q.wiki_id = r.wiki_id AND q.id = r.rid
-    GROUP BY r.wiki_id, r.id) l ON l.wiki_id = p.wiki_id AND l.id = p.id""", _W)
+    GROUP BY r.wiki_id, r.id) l ON l.wiki_id = p.wiki_id AND l.id = p.id"""
+
+
+@query("snk4_markdown", _MARKDOWN, _W)
 def _(t):
     return exports.markdown_parts(t("fx_cache_wikis"), t("fx_wiki_pages"), _AT)
 
 
+@query("snk4_written", f"""SELECT wiki_id, 0::BIGINT AS block, string_agg(text, '' ORDER BY block, pos) AS document FROM ({_MARKDOWN}) GROUP BY wiki_id""", _W)
+def _(t):
+    """The documents as written to files and read back."""
+    path = scratch_dir(t.spark, "markdown")
+    exports.write_parts(exports.markdown_parts(t("fx_cache_wikis"), t("fx_wiki_pages"), _AT), path)
+    return exports.read_parts(t.spark, path)
+
+
 @query("snk5_json_export", f"""SELECT w.wiki_id, 0::BIGINT AS block, concat('{{"metadata":{{"repository":"', w.repo_url, '","generated_at":"{_AT}","page_count":', count(*), '}},"pages":[',
    string_agg(to_json(struct_pack(id := p.id, title := p.title, content := p.content, "filePaths" := p.file_paths, importance := p.importance,
     "relatedPages" := p.related))::VARCHAR, ',' ORDER BY p.pos), ']}}') AS document

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolore.operators.ordered import whole_texts
@@ -63,6 +63,13 @@ def write_parts(parts: DataFrame, path: str) -> None:
     )
 
 
+def read_parts(spark: SparkSession, path: str, **kw) -> DataFrame:
+    """(wiki_id, block, document): what ``write_parts`` wrote, as blocks (``whole_texts``). A file is one task's share, so it fits a cell."""
+    files = spark.read.schema("value string, wiki_id string").text(path, wholetext=True)
+    named = files.select("wiki_id", "value", F.col("_metadata.file_name").alias("name"))
+    return whole_texts(named, ["wiki_id"], ["name"], "value", out="document", **kw)
+
+
 def json_documents(wikis: DataFrame, pages: DataFrame, generated_at: str, **kw) -> DataFrame:
     """(wiki_id, block, document): metadata and pages of each wiki that has pages, as blocks of one JSON text (``whole_texts``)."""
     page = F.to_json(

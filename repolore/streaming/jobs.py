@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from repolore.operators import derive, generate, retrieve
+from repolore.operators import derive, embed, generate, retrieve
 from repolore.plans import flagship
+from repolore.session import cut_lineage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,8 +50,9 @@ def live_stages(growing: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def live_contexts(requests: DataFrame, vectors: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Context per arriving request (query_id, repo, vector) from the static chunk store."""
-    return write_batches(requests, path, checkpoint, lambda b: retrieve.context_text(flagship.hits(b, vectors)))
+    """Context per arriving request (query_id, repo, vector) from the static chunk store, whose vector sizes are found once."""
+    dims = cut_lineage(embed.modal_dims(vectors))
+    return write_batches(requests, path, checkpoint, lambda b: retrieve.context_text(flagship.hits(b, vectors, dims=dims)))
 
 
 class PageLock(StatefulProcessor):

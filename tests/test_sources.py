@@ -187,6 +187,8 @@ def test_markdown_files_hold_the_document(wiki_tables, tmp_path):
     exports.write_parts(parts.repartition(3), str(tmp_path / "md"))
     files = sorted((tmp_path / "md" / "wiki_id=w").glob("part-*"))
     assert "".join(f.read_text() for f in files) == WANT
+    back = exports.read_parts(parts.sparkSession, str(tmp_path / "md"))
+    assert [(r.wiki_id, r.block, r.document) for r in back.collect()] == [("w", 0, WANT)]
 
 
 def test_json_document(wiki_tables):
