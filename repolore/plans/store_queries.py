@@ -19,8 +19,8 @@ from repolore.sources import exports, stores, tree
 _AT = "2024-01-02 03:04:05"
 
 
-def _write_tree(t) -> str:
-    """The file table as real files below a mounted folder; some are no UTF-8."""
+def _write_tree(t) -> tuple[str, str]:
+    """The file table as real files below a mounted folder, some no UTF-8: the folder, and where its (repo, root) rows are."""
     base = scratch_dir(t.spark, "tree")
     if not base.startswith(("/", "file:")):
         raise RuntimeError("the tree scan needs spark.checkpoint.dir on a mounted file system")
@@ -38,14 +38,23 @@ def _write_tree(t) -> str:
     roots = t("fx_files").mapInPandas(write, "repo string").distinct()
     path = scratch_dir(t.spark, "roots")
     roots.select("repo", F.concat(F.lit(base + "/"), "repo").alias("root")).write.parquet(path)
-    return path
+    return base, path
 
 
-@query("src1_tree_scan", f"""SELECT repo, concat('d', doc_id, '/', file_path) AS file_path, text FROM fx_files WHERE doc_id%37 <> 0
+_SCANNED = f"""SELECT repo, concat('d', doc_id, '/', file_path) AS file_path, text FROM fx_files WHERE doc_id%37 <> 0
    AND NOT list_has_any(string_split(file_path, '/'), {_EXCL_DIRS}) AND NOT list_contains({sql_list(C.EXCLUDED_FILES)}, {_NAME})
-   AND {_EXT} IN {sql_in(C.CODE_EXTENSIONS + C.DOC_EXTENSIONS)} AND NOT {_HIDDEN}""", ("fx_files",))
+   AND {_EXT} IN {sql_in(C.CODE_EXTENSIONS + C.DOC_EXTENSIONS)} AND NOT {_HIDDEN}"""
+
+
+@query("src1_tree_scan", _SCANNED, ("fx_files",))
+def _(t):
+    return tree.scan(t.spark.read.parquet(_write_tree(t)[1]))
+
+
+@query("src1_spark_reader", _SCANNED + " AND NOT starts_with(file_path, '_') AND NOT contains(file_path, '/_') AND text <> ''", ("fx_files",))
 def _(t):
-    return tree.scan(t.spark.read.parquet(_write_tree(t)))
+    """The same tree through Spark's own file reader, which hides empty files and names that start with '_'."""
+    return tree.scan_with_spark(t.spark, _write_tree(t)[0])
 
 
 def _make_chunks(files):

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from repolore.operators import corpus
@@ -34,6 +35,48 @@ def test_scan(roots):
     assert got == {"pkg/__init__.py": "x = 1\ny = 2\n", "_notes/a.md": "n", "pkg/empty.py": "", "pkg/deep/er/e.go": "ü"}
 
 
+def _shop(uri):
+    """A store that only its own client opens: shop://<folder>."""
+    return fs.SubTreeFileSystem(uri.removeprefix("shop://").rsplit("/", 1)[0], fs.LocalFileSystem()), uri.rsplit("/", 1)[1]
+
+
+def test_scan_of_a_store_without_mount(roots):
+    far = roots.withColumn("root", F.concat(F.lit("shop://"), "root"))
+    want = sorted(map(tuple, tree.scan(roots).collect()))
+    assert want and sorted(map(tuple, tree.scan(far, connect=_shop).collect())) == want
+    only = tree.scan(far, included_dirs=["docs"], included_files=[".go"], connect=_shop)
+    assert {r.file_path for r in only.collect()} == {"docs/c.md", "pkg/deep/er/e.go"}
+    assert tree.scan(far.withColumn("root", F.lit("shop:///nowhere/r1")), connect=_shop).count() == 0
+
+
+def _unreachable(uri):
+    raise OSError("no answer")
+
+
+def test_a_store_that_does_not_answer_is_no_empty_store(roots):
+    with pytest.raises(Exception, match="no answer"):
+        tree.scan(roots.withColumn("root", F.lit("shop://x/r1")), connect=_unreachable).count()
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_scan_with_spark(spark, roots, tmp_path, scheme):
+    odd = tmp_path / "r 2+é" / "a b" / "c+d%20.md"
+    odd.parent.mkdir(parents=True)
+    odd.write_text("1\r2\r\n")
+    (tmp_path / "loose.md").write_text("in no repository")
+    got = tree.scan_with_spark(spark, scheme + str(tmp_path))
+    want = {("r1", "pkg/deep/er/e.go", "ü"), ("r 2+é", "a b/c+d%20.md", "1\n2\n")}
+    assert {tuple(r) for r in got.collect()} == want  # empty files and '_' names are hidden by Spark's reader
+
+
+def test_files_against_the_rules_are_not_opened(spark, roots, tmp_path):
+    got = tree.scan_with_spark(spark, str(tmp_path), included_dirs=["docs"])
+    rows = got._jdf.queryExecution().executedPlan().executeCollect()
+    assert len(rows) == 1
+    leaf = got._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert leaf.metrics().get("numFiles").get().value() == 1
+
+
 def test_scan_with_inclusion(roots):
     got = {r.file_path for r in tree.scan(roots, included_dirs=["docs"], included_files=[".go"]).collect()}
     assert got == {"docs/c.md", "pkg/deep/er/e.go"}
