@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import functions as F
 
 from repolore import constants as C
 from repolore.functions import text as X
-from repolore.operators import blocks, converse, corpus, embed, retrieve
+from repolore.operators import blocks, converse, corpus, embed, packs, retrieve
 from repolore.plans import flagship
 from repolore.plans.registry import query, sql_in, sql_list
-from repolore.session import cut_lineage
+from repolore.session import cut_lineage, scratch_dir
+from repolore.sources import colocated
 
 DIM = 64
 _hash64 = partial(embed.HashEmbedder, DIM)
@@ -155,6 +157,29 @@ def _(t):
     return blocks.search_pruned(t("fx_queries"), marked, blocks.block_stats(marked))
 
 
+def _table(t, name: str) -> tuple[str, str, int]:
+    """Name, folder and buckets of a new table of this run."""
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return f"{name}_{uuid.uuid4().hex}", scratch_dir(t.spark, name), n
+
+
+@query("ret1_topk_packed", "SELECT query_id, chunk_id, score, rank FROM hits", _FX, ctes=_HITS)
+def _(t):
+    """Any number of queries over stored packs of vectors, which are not shuffled."""
+    name, path, n = _table(t, "packs")
+    return packs.search(t("fx_queries"), packs.write_packs(t("fx_chunk_vectors"), name, path, n))
+
+
+@query("ret2_hydrate_stored", "SELECT query_id, rank, chunk_id, file_path, text FROM hits", _FX, ctes=_HITS)
+def _(t):
+    """The hits move to the chunks, which are stored in buckets of their id."""
+    name, path, n = _table(t, "texts")
+    texts = t("fx_chunk_vectors").select("chunk_id", "file_path", "text")
+    stored = colocated.write(texts, name, path, ["chunk_id"], n)
+    found = retrieve.search(t("fx_queries"), t("fx_chunk_vectors"))
+    return retrieve.hydrate(found, stored).select("query_id", "rank", "chunk_id", "file_path", "text")
+
+
 @query("ret2_hydrate", "SELECT query_id, rank, chunk_id, file_path, text FROM hits", _FX, ctes=_HITS)
 def _(t):
     return hits(t).select("query_id", "rank", "chunk_id", "file_path", "text")

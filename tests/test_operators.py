@@ -9,11 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from repolore.operators import blocks, converse, corpus, derive, embed, generate, retrieve, wiki
+from repolore.operators import blocks, converse, corpus, derive, embed, generate, packs, retrieve, wiki
 from repolore.operators.ordered import join_text, text_blocks
 from repolore.plans import flagship
 from repolore.session import cut_lineage
-from repolore.sources import exports, stores
+from repolore.sources import colocated, exports, stores
 
 
 def test_chunks_rejoin_to_the_text(spark):
@@ -563,3 +563,61 @@ def test_prompts_are_answered_once(spark, tmp_path):
     assert len(list(calls.iterdir())) == 6
     again = generate.generate_once(prompts, partial(Slow, str(calls)), store, waves=3).collect()
     assert len(list(calls.iterdir())) == 7 and {r.response for r in again if r.id % 6 == 5 and r.id < 30} == {"re: p5"}
+
+
+def _store(spark, tmp_path, chunks, **kw):
+    return packs.write_packs(chunks, f"packs_{uuid.uuid4().hex}", str(tmp_path / "packs"), 4, **kw)
+
+
+def test_packed_search_equals_brute_force(spark, vectors, tmp_path):
+    rows, qs, chunks, queries = vectors
+    stored = _store(spark, tmp_path, chunks.repartition(5), cell=60, pack=8)
+    assert stored.where("repo = 'hot'").select("cell").distinct().count() == 12
+    for held in (20_000, 3):
+        got = packs.search(queries, stored, 7, query_pack=6, held=held)
+        assert {(r.query_id, r.chunk_id, r.rank) for r in got.collect()} == _brute(rows, qs, 7)
+
+
+def test_packed_search_of_odd_rows(spark, tmp_path):
+    v, w = [1.0, 2.0], [1.0, 0.0, 3.0]
+    rows = [(1, "a", v), (1, "a", v), (2, "a", w), (3, "a", []), (4, "a", None), (5, None, v), (None, "a", v), (6, "b", v)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, repo string, vector array<float>").withColumn("cell", F.lit("mine"))
+    qs = [(1, "a", v), (2, "a", w), (3, "a", None), (4, None, v), (5, "none", v), (6, "b", w)]
+    queries = spark.createDataFrame(qs, "query_id bigint, repo string, vector array<float>").withColumn("packs", F.lit(9))
+    stored = _store(spark, tmp_path, chunks)
+    got = [(r.query_id, r.chunk_id, r.score, r.rank) for r in packs.search(queries, stored, 5).collect()]
+    assert sorted(got) == [(1, 1, 5.0, 1), (1, 1, 5.0, 2), (2, 2, 10.0, 1)]
+    assert packs.search(queries.limit(0), stored).count() == 0
+    none = packs.write_packs(chunks.limit(0), f"packs_{uuid.uuid4().hex}", str(tmp_path / "none"), 2)
+    assert packs.search(queries, none).count() == 0
+
+
+def _moved(df):
+    """Names of the columns that each shuffle of the plan moves."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan, [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_stored_vectors_and_texts_are_not_shuffled(spark, vectors, tmp_path):
+    _, _, chunks, queries = vectors
+    texts = chunks.select("chunk_id", F.lit("p").alias("file_path"), F.col("repo").alias("text"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs = packs.pairs_of_packs(cut_lineage(queries), _store(spark, tmp_path, chunks, cell=60, pack=8))
+        plan, moves = _moved(pairs)
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+        asked = [m for m in moves if "cell#" in m]
+        assert len(asked) == 1 and plan.index("Scan parquet") < min(map(plan.index, moves))  # the queries' side alone
+        name = f"texts_{uuid.uuid4().hex}"
+        colocated.write(texts, name, str(tmp_path / "texts"), ["chunk_id"], 4)
+        spark.sql(f"DROP TABLE {name}")  # external: the files stay
+        stored = colocated.attach(spark, name, str(tmp_path / "texts"), ["chunk_id"], 4)
+        hits = cut_lineage(retrieve.search(queries, chunks, 3))
+        full = retrieve.hydrate(hits, stored)
+        plan, moves = _moved(full)
+        assert "Bucketed: true" in plan and len(moves) == 1 and "Scan ExistingRDD" in plan[plan.index(moves[0]):]
+        want = {(r.query_id, r.rank, r.text) for r in retrieve.hydrate(hits, texts).collect()}
+        assert {(r.query_id, r.rank, r.text) for r in full.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
