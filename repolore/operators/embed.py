@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -43,12 +44,42 @@ class HashEmbedder:
         return out
 
 
+FIRST_WAIT = 0.1  # seconds
+RETRY_WINDOW = 5.0
+
+
+def _call(embedder: Embedder, texts: list[str], retries: int) -> tuple[list[np.ndarray] | None, str | None]:
+    """Vectors of one batch, or why there are none. A failed call is made again up to ``retries`` times, after waits that
+    double, within ``RETRY_WINDOW`` seconds of waiting; an answer of the wrong length is a failure."""
+    wait, left = FIRST_WAIT, RETRY_WINDOW
+    for attempt in range(retries + 1):
+        if attempt:
+            if left <= 0:
+                break
+            time.sleep(min(wait, left))
+            wait, left = 2 * wait, left - wait
+        try:
+            got = [np.asarray(v, "float32") for v in embedder(texts)]
+            if len(got) == len(texts):
+                return got, None
+            failure = f"{len(got)} vectors for {len(texts)} texts"
+        except Exception as e:  # one bad batch must not end the job
+            failure = str(e) or type(e).__name__
+    return None, failure
+
+
+def _sent(text: object) -> bool:
+    return isinstance(text, str) and bool(text.strip())
+
+
 def embed(
-    df: DataFrame, make_embedder: Callable[[], Embedder], text: str = "text", batch_size: int = C.EMBED_BATCH
+    df: DataFrame, make_embedder: Callable[[], Embedder], text: str = "text", batch_size: int = C.EMBED_BATCH,
+    retries: int = 0,
 ) -> DataFrame:
     """Add ``vector`` and ``error``. The embedder is made once per task.
 
-    Blank texts are not sent and get a zero vector; a failed batch leaves empty vectors and its error text.
+    Blank texts are not sent and get a zero vector; a batch that failed ``retries`` + 1 times leaves empty vectors and its
+    error text.
     """
     schema = T.StructType(
         df.schema.fields
@@ -61,21 +92,49 @@ def embed(
             texts = pdf[text]
             vectors: list = [np.zeros(embedder.dim, "float32")] * len(pdf)
             errors: list = [None] * len(pdf)
-            send = [i for i, t in enumerate(texts) if isinstance(t, str) and t.strip()]
+            send = [i for i, t in enumerate(texts) if _sent(t)]
             for start in range(0, len(send), batch_size):
                 idx = send[start : start + batch_size]
-                try:
-                    got = embedder([texts.iloc[i] for i in idx])
-                    for i, v in zip(idx, got, strict=True):
-                        vectors[i] = np.asarray(v, "float32")
-                except Exception as e:  # one bad batch must not end the job
-                    for i in idx:
-                        vectors[i], errors[i] = np.zeros(0, "float32"), str(e)
+                got, failure = _call(embedder, [texts.iloc[i] for i in idx], retries)
+                for n, i in enumerate(idx):
+                    vectors[i], errors[i] = (np.zeros(0, "float32"), failure) if got is None else (got[n], None)
             yield pdf.assign(vector=vectors, error=errors)
 
     return df.mapInPandas(run, schema)
 
 
+def embed_lists(
+    df: DataFrame, make_embedder: Callable[[], Embedder], texts: str = "texts", retries: int = 0
+) -> DataFrame:
+    """Add ``vectors`` and ``error`` where each row's list is one batch, whatever Spark's partitions are.
+
+    Rules as for ``embed``: blank and null texts get zero vectors without being sent, and one text that the service refuses
+    empties the vectors of its whole list. A null list has null vectors.
+    """
+    schema = T.StructType(
+        df.schema.fields
+        + [T.StructField("vectors", T.ArrayType(T.ArrayType(T.FloatType()))), T.StructField("error", T.StringType())]
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embedder = make_embedder()
+        for pdf in batches:
+            vectors, errors = [], []
+            for row in pdf[texts]:
+                out, failure = None, None
+                if row is not None:
+                    out = [np.zeros(embedder.dim, "float32")] * len(row)
+                    send = [i for i, t in enumerate(row) if _sent(t)]
+                    got, failure = _call(embedder, [row[i] for i in send], retries) if send else ([], None)
+                    for n, i in enumerate(send):
+                        out[i] = np.zeros(0, "float32") if got is None else got[n]
+                vectors.append(out)
+                errors.append(failure)
+            yield pdf.assign(vectors=vectors, error=errors)
+
+    return df.mapInPandas(run, schema)
+
+
 def single_text(texts: Column) -> Column:
     """``struct(query, error)``: a query may come as a list, but only of one text."""
     one = F.size(texts) == 1

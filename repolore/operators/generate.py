@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -59,6 +60,18 @@ class EchoGenerator:
         return Reply(f"echo: {answer}", n, len(answer.split()) + 1)
 
 
+class DigestGenerator:
+    """Deterministic stand-in: answers with the prompt's SHA-256; refuses prompts without ``needs`` as too long."""
+
+    def __init__(self, needs: str = ""):
+        self.needs = needs
+
+    def __call__(self, prompt: str) -> Reply:
+        if self.needs not in prompt:
+            raise ValueError("prompt exceeds the maximum context length")
+        return Reply(hashlib.sha256(prompt.encode("utf-8")).hexdigest(), len(prompt.split()), 1)
+
+
 class FolderPlanner:
     """Deterministic stand-in for a wiki planner: one page per top folder of the file tree in the prompt."""
 

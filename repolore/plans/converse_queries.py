@@ -169,8 +169,11 @@ def _(t):
     return converse.prompt_blocks(asked, converse.pair_turns(t("fx_messages")), converse.context_block(F.col("context")))
 
 
-@query("cnv10_simplified_prompt", _prompt_sql("""'<note>Answering without retrieval augmentation due to input size constraints.</note>',
-   chr(10), chr(10)"""), _ALL_FX[:2], ctes=", ".join([_STATE, _SYSTEM, _PAIRS]))
+_SHORT_PROMPT = _prompt_sql("""'<note>Answering without retrieval augmentation due to input size constraints.</note>',
+   chr(10), chr(10)""")
+
+
+@query("cnv10_simplified_prompt", _SHORT_PROMPT, _ALL_FX[:2], ctes=", ".join([_STATE, _SYSTEM, _PAIRS]))
 def _(t):
     return converse.prompt_blocks(_with_files(t), converse.pair_turns(t("fx_messages")), F.lit(converse.SIMPLIFIED))
 

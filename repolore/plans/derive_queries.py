@@ -22,6 +22,7 @@ def _(t):
 
 
 _BUDGET = 12_000
+_PACK_SQL = """SELECT * FROM p1 UNION ALL SELECT wiki_id, 2, pos, used, text FROM fold WHERE k > 0"""
 _PACK = f"""ent AS (SELECT wiki_id, pos, importance = 'high' AS high, concat('## ', title, chr(10), content, chr(10), chr(10)) AS ftext,
    concat('## ', title, chr(10), {_SUMMARY}, chr(10), chr(10)) AS stext FROM fx_wiki_pages WHERE content <> ''),
  p1 AS (SELECT wiki_id, 1::BIGINT AS phase, pos, 'full' AS used, ftext AS text FROM (SELECT *, coalesce(sum(length(ftext)) OVER
@@ -36,11 +37,16 @@ _PACK = f"""ent AS (SELECT wiki_id, pos, importance = 'high' AS high, concat('##
    FROM fold f JOIN oth o ON o.wiki_id = f.wiki_id AND o.k = f.k + 1 WHERE f.total <= {_BUDGET})"""
 
 
-@query("drv1_budget_pack", """SELECT * FROM p1 UNION ALL SELECT wiki_id, 2, pos, used, text FROM fold WHERE k > 0""", _P, ctes=_PACK)
+@query("drv1_budget_pack", _PACK_SQL, _P, ctes=_PACK)
 def _(t):
     return derive.pack(t("fx_wiki_pages"), _BUDGET)
 
 
+@query("drv1_default_budget", _PACK_SQL, _P, ctes=_PACK.replace(str(_BUDGET), str(C.PACK_BUDGET)))
+def _(t):
+    return derive.pack(t("fx_wiki_pages"))
+
+
 _DEFAULT = ", ".join("(" + f"{i}, '{s}')" for i, s in enumerate(C.DEFAULT_SLIDES))
 _ITEMS = f"""items AS (SELECT doc_id, repo, i::BIGINT AS k0, item FROM (SELECT doc_id, repo, v.i, v.item FROM fx_plans, LATERAL (SELECT unnest(
    CASE doc_id%5 WHEN 0 THEN [concat('Intro: about ', repo), 'Design: parts: more', 'End'] WHEN 1 THEN [(SELECT concat('Intro: about ', lang)

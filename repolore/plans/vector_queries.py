@@ -56,6 +56,18 @@ def _(t):
     return out.select("doc_id", F.size("vector").alias("dim"), "error")
 
 
+@query("emb3_shared_batches", """SELECT doc_id, k, CASE WHEN contains(text, 'the') AND k <> 1 THEN 0 ELSE 64 END AS dim,
+   CASE WHEN contains(text, 'the') THEN 'embedding service refused the batch' END AS error
+  FROM documents, (SELECT unnest([0, 1, 2]) AS k) WHERE text IS NOT NULL""")
+def _(t):
+    """A document shares its batch with a short text and a blank one: refused, it takes the first along."""
+    d = t("documents").where("text IS NOT NULL").select("doc_id", F.array(F.lit("plain"), F.lit(" "), "text").alias("texts"))
+    out = embed.embed_lists(d, partial(embed.HashEmbedder, DIM, "the"))
+    return out.select("doc_id", "error", F.posexplode("vectors").alias("k", "vector")).select(
+        "doc_id", "k", F.size("vector").alias("dim"), "error"
+    )
+
+
 _USABLE = "len(vector) > 0"
 
 

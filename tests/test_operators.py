@@ -621,3 +621,41 @@ def test_stored_vectors_and_texts_are_not_shuffled(spark, vectors, tmp_path):
         assert {(r.query_id, r.rank, r.text) for r in full.collect()} == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+class _Flaky(embed.HashEmbedder):
+    """Fails the first ``n`` calls of a task; with ``short`` it answers one vector too few instead."""
+
+    def __init__(self, n, short=False):
+        super().__init__(4)
+        self.n, self.short = n, short
+
+    def __call__(self, texts):
+        self.n -= 1
+        if self.n >= 0 and not self.short:
+            raise RuntimeError("")
+        return super().__call__(texts)[: -1 if self.n >= 0 else None]
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_failed_batches_are_sent_again(spark, short):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "id bigint, text string").coalesce(1)
+    rows = embed.embed(docs, partial(_Flaky, 2, short), batch_size=2, retries=1).orderBy("id").collect()
+    why = "1 vectors for 2 texts" if short else "RuntimeError"
+    assert [r.error for r in rows] == [why, why, None, None, None]
+    assert [len(r.vector) for r in rows] == [0, 0, 4, 4, 4]
+    rows = embed.embed(docs, partial(_Flaky, 2, short), batch_size=2, retries=2).orderBy("id").collect()
+    want = embed.embed(docs, partial(embed.HashEmbedder, 4)).orderBy("id").collect()
+    assert [r.vector for r in rows] == [r.vector for r in want] and not any(r.error for r in rows)
+
+
+def test_a_list_is_one_batch(spark):
+    lists = [(1, ["a", None, " ", "b"]), (2, ["a", "bad", ""]), (3, []), (4, None), (5, [""])]
+    df = spark.createDataFrame(lists, "id bigint, texts array<string>").repartition(3)
+    rows = {r.id: r for r in embed.embed_lists(df, partial(embed.HashEmbedder, 4, "bad")).collect()}
+    assert {i: None if r.vectors is None else [len(v) for v in r.vectors] for i, r in rows.items()} == {
+        1: [4, 4, 4, 4], 2: [0, 0, 4], 3: [], 4: None, 5: [4]
+    }
+    a, b = (embed.HashEmbedder(4)([x])[0] for x in "ab")
+    assert rows[1].vectors[0] == pytest.approx(a) and rows[1].vectors[3] == pytest.approx(b)
+    assert [i for i, r in rows.items() if r.error] == [2]
