@@ -10,7 +10,9 @@ window. A window that holds fewer than ``plain`` ordinary words (or not only suc
    fixed size, with the words behind them; windows that share a bit by chance find no partner later.
 3. *Matches.* Hits are hash-joined with the templates' windows. A window that more than ``shared`` templates hold starts no match by itself, unless
    it is the rarest of its template: an opening that many questions have in common is no leak of them. It counts where
-   another window has matched the template at the same place. What a window's first token is depends on the word
+   another window has matched the template at the same place. With ``shared`` None every window counts wherever it stands, however many
+   templates hold it: the windows that may start a match are then the rarest ones without which the rest covers less than ``share`` of
+   the item, so no leak lacks them. What a window's first token is depends on the word
    before it, so it agrees if it is the same token or the same word.
 4. *Slots.* The values behind placeholders must map one to one: equal values in the item stand for equal values in the
    document, and the reverse. Where they conflict, a pair holds if it has more than half the places of both its values, and windows
@@ -217,7 +219,20 @@ def _judge(share: float):
     return run
 
 
-def templates(benchmark: DataFrame, width: int = 8, plain: int = 3, shared: int = 16) -> DataFrame:
+def _needed(cut: DataFrame, width: int, share: float) -> DataFrame:
+    """``template, most``: the windows that more than ``most`` templates hold cover less than ``share`` of the template's item.
+
+    A token lies in such a window if the most shared window over it is one; ``most`` is how shared that is for the last token needed."""
+    over = F.max("held").over(W.partitionBy("template").orderBy("at").rowsBetween(1 - width, 0))
+    at = F.when(F.col("q") == F.col("n") - F.abs("size"), F.sequence("q", F.col("n") - 1)).otherwise(F.array("q"))
+    places = cut.select("template", "n", "q", "held", F.explode(at).alias("at"))
+    places = places.select("template", "n", "at", F.when(F.col("at") == F.col("q"), F.col("held")).alias("held"))
+    nth = F.row_number().over(W.partitionBy("template").orderBy(F.col("over").desc()))
+    ranked = places.withColumn("over", over).withColumn("nth", nth)
+    return ranked.filter(F.col("nth") == F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(share)))).select("template", F.col("over").alias("most"))
+
+
+def templates(benchmark: DataFrame, width: int = 8, plain: int = 3, shared: int | None = 16, share: float = 0.5) -> DataFrame:
     """Windows of the templates: ``template, item_id, n_items, n, size, q, hash, first, kinds, item_values, starts``."""
     items = A.with_text(benchmark.filter("item_id is not null"), "item_id").select(F.col("item_id").cast("long"), "text").dropDuplicates()
     cut = cut_lineage(items.mapInArrow(_items(width, plain), _WINDOW_DDL))
@@ -225,23 +240,33 @@ def templates(benchmark: DataFrame, width: int = 8, plain: int = 3, shared: int
     cut = cut.join(chief, "template").filter("item_id = chief.item_id and text_key = chief.text_key").drop("chief", "text_key")
     held = cut.select("hash", "template").distinct().groupBy("hash").agg(F.count("*").alias("held"))
     cut = cut.dropDuplicates(["template", "q"]).join(held, "hash")
+    if shared is None:
+        cut = cut_lineage(cut)
+        needed = _needed(cut, width, share)
+        return cut.join(needed, "template", "left").withColumn("starts", F.coalesce(F.col("held") <= F.col("most"), F.lit(False))).drop("held", "most")
     rarest = F.row_number().over(W.partitionBy("template").orderBy("held", F.col("q").desc())) == 1
     return cut.withColumn("starts", (F.col("held") <= shared) | rarest).drop("held")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, plain: int = 3, share: float = 0.5, shared: int = 16, bits: int = 25) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, plain: int = 3, share: float = 0.5, shared: int | None = 16, bits: int = 25) -> DataFrame:
     """``doc_id, item_id, n_matched, n_item, first_word, n_items`` of every template that a document holds, named by its least item."""
     spark = docs.sparkSession
-    windows = cut_lineage(templates(benchmark, width, plain, shared))
+    windows = cut_lineage(templates(benchmark, width, plain, shared, share))
     sizes = sorted(r.size for r in windows.select("size").distinct().collect())  # two for each length up to ``width`` at most
     bitmap = spark.sparkContext.broadcast(A.bitmap_of(windows, "hash", bits))
     texts = A.with_text(docs, "doc_id").select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text")
     hits = cut_lineage(texts.mapInArrow(_hits(sizes, bitmap), _HIT_DDL))
     agree = (F.col("size") < 0) | (F.col("first") == F.col("doc_first")) | (F.substring("item_values", 1, 8) == F.substring("doc_values", 1, 8))
-    met = hits.join(windows.filter("starts"), "hash").filter(agree).withColumn("shift", F.col("p") - F.col("q"))
-    places = cut_lineage(met.select("row", "template", "shift").distinct())
-    full = places.join(windows, "template").withColumn("p", F.col("shift") + F.col("q"))
-    full = full.join(hits.dropDuplicates(["row", "hash", "p"]), ["row", "hash", "p"]).filter(agree)
+    shift = F.col("p") - F.col("q")
+    met = hits.join(windows.filter("starts"), "hash").filter(agree).withColumn("shift", shift)
+    once = hits.dropDuplicates(["row", "hash", "p"])
+    if shared is None:  # the template may stand at other places of the document by its other windows alone
+        full = cut_lineage(met.select("row", "template").distinct()).join(windows, "template")
+        full = full.join(once, ["row", "hash"]).filter(agree).withColumn("shift", shift)
+    else:
+        places = cut_lineage(met.select("row", "template", "shift").distinct())
+        full = places.join(windows, "template").withColumn("p", F.col("shift") + F.col("q"))
+        full = full.join(once, ["row", "hash", "p"]).filter(agree)
     cols = ["row", "template", "shift", "q", "doc_id", "item_id", "n", "n_items", "kinds", "item_values", "doc_values"]
     dealt = full.select(*cols).repartition(A.n_buckets(spark), "row", "template").sortWithinPartitions("row", "template", "shift", "q")
     out = dealt.mapInArrow(_judge(share), _LEAK_DDL)
