@@ -56,7 +56,8 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, re-parameterised ones included."""
     keyed = _keyed(docs)
-    found = decontaminate.leaks(keyed.select(F.col(KEY).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.leaks(keyed.select(F.col(KEY).alias("doc_id"), "text"), benchmark, shared=None)
     return _without(keyed, found.select(F.col("doc_id").alias(KEY))).select(*docs.columns)
 
 
