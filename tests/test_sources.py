@@ -77,6 +77,19 @@ def test_files_against_the_rules_are_not_opened(spark, roots, tmp_path):
     assert leaf.metrics().get("numFiles").get().value() == 1
 
 
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / "r" / f"d{i}").mkdir(parents=True)
+        (tmp_path / "r" / f"d{i}" / "a.md").write_text(str(i))
+    sc, name = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, setting = set(sc.statusTracker().getJobIdsForGroup()), spark.conf.get(name)
+    got = tree.scan_with_spark(spark, str(tmp_path))
+    jobs = set(sc.statusTracker().getJobIdsForGroup()) - before
+    stages = [sc.statusTracker().getStageInfo(x) for j in jobs for x in sc.statusTracker().getJobInfo(j).stageIds]
+    assert stages and sum(x.numTasks for x in stages) <= 4 * sc.defaultParallelism
+    assert spark.conf.get(name) == setting and got.count() == 300
+
+
 def test_scan_with_inclusion(roots):
     got = {r.file_path for r in tree.scan(roots, included_dirs=["docs"], included_files=[".go"]).collect()}
     assert got == {"docs/c.md", "pkg/deep/er/e.go"}
