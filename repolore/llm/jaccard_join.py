@@ -47,7 +47,9 @@ _SET = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.
 _BLOB = pa.schema([("bucket", pa.int32()), ("crowd", pa.bool_()), ("part", pa.binary()), ("id", pa.binary())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _MET = pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-_TOKENS = pa.schema([("id", pa.int64()), ("blob", pa.binary())])
+_TOKENS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("blob", pa.binary())])
+#: Bits of the map that tells tasks which texts a region needs: at most 2 ** this, 8 MB.
+MARKS = 26
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -392,15 +394,37 @@ def _links(members: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(_trees(num, den), "a long, b long")
 
 
-def _tokens(k: int, seed: int):
+def _tokens(k: int, seed: int, marks: bytes | None):
+    """Sets of the texts whose key is marked; all without ``marks``."""
+
     def run(batches):
+        bits = None if marks is None else np.frombuffer(marks, np.uint8)
         for batch in batches:
+            if bits is not None:
+                keys = batch.column("key").to_numpy().view(np.uint64)
+                batch = batch.filter(pa.array(A.in_bitmap(bits, keys)))
             t = [shingles(x, k) for x in batch.column("text").to_pylist()]
-            yield A.rows(_TOKENS, {"id": [_digest(x, seed)[0] if len(x) else None for x in t], "blob": [x.astype("<u8").tobytes() for x in t]})
+            yield A.rows(_TOKENS, {"id": [_digest(x, seed)[0] if len(x) else None for x in t], "key": batch.column("key"), "blob": [x.astype("<u8").tobytes() for x in t]})
 
     return run
 
 
+def _wanted_sets(texts: DataFrame, members: DataFrame, k: int, seed: int) -> DataFrame:
+    """``id, key, blob`` of the texts with a ``key`` (of their doc_id) among those of ``members``, and of few others.
+
+    The keys are marked in a bitmap that goes to the texts, so texts are not shuffled. Only where there are too many keys for
+    it (one for every four bits) both sides meet in a join. An exact join on both columns has to follow.
+    """
+    keyed = texts.select(F.xxhash64("doc_id").alias("key"), "text")
+    n = members.count()
+    bits = min(MARKS, max(16, (32 * n).bit_length()))
+    if 4 * n > 1 << bits:
+        keyed, marks = keyed.join(members.select("key").distinct(), "key", "left_semi"), None
+    else:
+        marks = A.bitmap_of(members, "key", bits)
+    return keyed.mapInArrow(_tokens(k, seed, marks), "id long, key long, blob binary")
+
+
 def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] = (90, 100), block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (columns ``doc_id, text``; others ignored).
 
@@ -435,14 +459,13 @@ def similar_components(docs: DataFrame, k: int = 3, threshold: tuple[int, int] =
 
 def _region_links(texts, classes, region, k, seed, num, den, block) -> DataFrame:
     region = region.select(F.col("id").alias("h1"), F.col("component").alias("region"))
-    members = cut_lineage(classes.join(region, "h1").select("h1", "doc_id", "size", "region"))
+    members = cut_lineage(classes.join(region, "h1").select("h1", F.xxhash64("doc_id").alias("key"), "size", "region"))
     # only the regions of several blocks: few, however many sets there are
     weight = cut_lineage(members.groupBy("region").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks")).filter("blocks > 1"))
     members = members.join(broadcast_if_small(weight), "region", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.withColumn("block", F.pmod(F.xxhash64("h1", F.lit(7)), F.col("blocks")).cast("int"))
-    wanted = members.select("doc_id").distinct()
-    tokens = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").mapInArrow(_tokens(k, seed), "id long, blob binary")
-    held = cut_lineage(tokens.join(members.select(F.col("h1").alias("id"), "region", "blocks", "block"), "id"))
+    tokens = _wanted_sets(texts, members, k, seed)
+    held = cut_lineage(tokens.join(members.select(F.col("h1").alias("id"), "key", "region", "blocks", "block"), ["id", "key"]).drop("key"))
     task = lambda *x: F.xxhash64("region", *x)  # noqa: E731  a clash only puts two blocks into one tree
     none = F.lit(None).cast("long")
     own = held.select(task("block").alias("task"), "id", "blob", none.alias("label"), none.alias("size"))
