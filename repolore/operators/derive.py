@@ -155,21 +155,24 @@ def headings(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(r"(?m)^## (.*)$"), F.lit(1))
 
 
-def contents_list(content: Column) -> Column:
-    """Markdown list of the ``## `` headings with their links."""
-    lines = F.transform(
-        headings(content), lambda h: F.concat(F.lit("- ["), h, F.lit("](#"), X.slug(h), F.lit(")\n"))
-    )
+def contents_list(found: Column) -> Column:
+    """Markdown list of the ``## `` headings found, with their links."""
+    lines = F.transform(found, lambda h: F.concat(F.lit("- ["), h, F.lit("](#"), X.slug(h), F.lit(")\n")))
     return F.concat(F.lit("## Table of Contents\n\n"), F.array_join(lines, ""), F.lit("\n"))
 
 
 def insert_contents(content: Column) -> Column:
     """Contents list before the first ``## `` after the title, unless one is there already."""
     after_title = F.position(F.lit("# "), content)  # 0-based place just behind the first '#'
-    at = F.position(F.lit("## "), content, after_title + 1) - 1
+    place = X.once(after_title, lambda a: F.struct(a.alias("a"), (F.position(F.lit("## "), content, a + 1) - 1).alias("at")))
     ready = content.contains("## Table of Contents") | content.contains("## Contents")
-    inserted = F.concat(F.substr(content, F.lit(1), at), contents_list(content), F.substr(content, at + 1))
-    return F.when(~ready & (F.size(headings(content)) > 0) & (at > after_title), inserted).otherwise(content)
+
+    def insert(x: Column) -> Column:
+        at, found = x["place"]["at"], x["found"]
+        inserted = F.concat(F.substr(content, F.lit(1), at), contents_list(found), F.substr(content, at + 1))
+        return F.when(~ready & (F.size(found) > 0) & (at > x["place"]["a"]), inserted).otherwise(content)
+
+    return X.once(F.struct(place.alias("place"), headings(content).alias("found")), insert)
 
 
 def exercise_minutes(i: Column, n: Column) -> Column:
@@ -192,24 +195,22 @@ def exercises(docs: DataFrame) -> DataFrame:
 
 def _insert_after_line(content: Column, mark: Column, note: Column) -> Column:
     """``note`` behind the line holding the first ``mark``; unchanged when the mark or its line end is missing."""
-    at = F.position(mark, content)
-    end = F.position(F.lit("\n"), content, at)
-    return F.when(
-        (at > 0) & (end > 0), F.concat(F.substr(content, F.lit(1), end), note, F.substr(content, end + 1))
-    ).otherwise(content)
+    end = X.once(F.position(mark, content), lambda at: F.when(at > 0, F.position(F.lit("\n"), content, at)))
+    insert = lambda end: F.concat(F.substr(content, F.lit(1), end), note, F.substr(content, end + 1))
+    return X.once(end, lambda end: F.when(end > 0, insert(end)).otherwise(content))
 
 
 def annotate_exercises(content: Column) -> Column:
-    hs = _exercise_headings(content)
-    n = F.size(hs)
-
-    def note(i: Column) -> Column:
+    def note(i: Column, n: Column) -> Column:
         return X.fill(
             F.lit(C.EXERCISE_NOTE), {"i": i + 1, "n": n, "minutes": exercise_minutes(i, n)}
         )
 
-    marks = F.transform(hs, lambda h, i: F.struct(h.alias("h"), note(i).alias("note")))
-    return F.aggregate(marks, content, lambda acc, m: _insert_after_line(acc, m["h"], m["note"]))
+    def annotate(hs: Column) -> Column:
+        marks = F.transform(hs, lambda h, i: F.struct(h.alias("h"), note(i, F.size(hs)).alias("note")))
+        return F.aggregate(marks, content, lambda acc, m: _insert_after_line(acc, m["h"], m["note"]))
+
+    return X.once(_exercise_headings(content), annotate)
 
 
 def note_final_project(content: Column) -> Column:
@@ -220,8 +221,11 @@ def note_final_project(content: Column) -> Column:
 
 
 def workshop(content: Column) -> Column:
-    """All workshop steps in order."""
-    return note_final_project(annotate_exercises(insert_contents(X.strip_fences(content, ["markdown"]))))
+    """All workshop steps in order. Each step's text is worked out once, however often the next one names it."""
+    steps = [lambda c: X.strip_fences(c, ["markdown"]), insert_contents, annotate_exercises, note_final_project]
+    for step in steps:
+        content = X.once(content, step)
+    return content
 
 
 def fenced_blocks(docs: DataFrame) -> DataFrame:
