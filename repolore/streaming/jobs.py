@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -55,6 +54,9 @@ def live_contexts(requests: DataFrame, vectors: DataFrame, path: str, checkpoint
     return write_batches(requests, path, checkpoint, lambda b: retrieve.context_text(flagship.hits(b, vectors, dims=dims)))
 
 
+_PASSED = Row("wiki_id", "page_id", "at_ms", "seq")
+
+
 class PageLock(StatefulProcessor):
     """Events of one page in order of (ts, seq): a request passes while nobody works on the page, and then holds it until a finish
     event comes or ``hold_ms`` have gone by. State: the time until which the page is held."""
@@ -66,27 +68,29 @@ class PageLock(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("held", "until bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        until = self.state.get()[0] if self.state.exists() else None
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["at_ms", "seq"], kind="stable")
-        out = []
-        for at, seq, kind in events[["at_ms", "seq", "kind"]].itertuples(index=False):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # a call to the state costs more than many events: none is made that cannot change anything
+        held = self.state.get()
+        until = held[0] if held else None
+        for at, seq, kind in sorted(((r.at_ms, r.seq, r.kind) for r in rows), key=lambda e: e[:2]):
             if kind == "finish":
                 until = None
             elif until is None or at >= until:
-                out.append((*key, int(at), int(seq)))
-                until = int(at) + self.hold_ms
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if until is None:
-            self.state.clear()
-        else:
+                yield _PASSED(*key, at, seq)
+                until = at + self.hold_ms
+        if held and held[0] == until:
+            return
+        if held:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        if until is not None:
             self.state.update((until,))
             if until > timerValues.getCurrentWatermarkInMs():
                 self.handle.registerTimer(until)
-        yield pd.DataFrame(out, columns=["wiki_id", "page_id", "at_ms", "seq"]).astype({"at_ms": "int64", "seq": "int64"})
+        elif held:
+            self.state.clear()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()  # the hold is over
         return iter(())
 
@@ -103,7 +107,7 @@ def in_flight(events: DataFrame, hold_ms: int, late: str = "10 minutes") -> Data
         "ts", F.unix_millis("ts").alias("at_ms"), "seq", "wiki_id", "page_id", "kind"
     )
     schema = f"wiki_id {timed.schema['wiki_id'].dataType.simpleString()}, page_id string, at_ms bigint, seq bigint"
-    return timed.groupBy("wiki_id", "page_id").transformWithStateInPandas(
+    return timed.groupBy("wiki_id", "page_id").transformWithState(
         statefulProcessor=PageLock(hold_ms), outputStructType=schema, outputMode="append", timeMode="eventTime"
     )
 
