@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,6 +34,55 @@ def event_text(line: str) -> str | None:
         return None
 
 
+#: Waiting rows that are read at once, for each row that comes.
+AT_ONCE = 8
+_LINE = Row("response_id", "seq", "line", "delta", "error")
+
+
+class Early:
+    """Texts by position that came before their turn, over a map state; for one call, with few calls to the state.
+
+    All that waits is read at once while it is no more than ``AT_ONCE`` times what comes, else looked up one by one. What comes and goes within the
+    call is never written."""
+
+    def __init__(self, state, waiting: int, coming: int):
+        self.state, self.waiting, self.new, self.gone = state, waiting, {}, []
+        self.known = None
+        if waiting <= AT_ONCE * coming:
+            self.known = {k[0]: v[0] for k, v in state.iterator()} if waiting else {}
+
+    def __contains__(self, seq: int) -> bool:
+        return seq in self.new or (seq in self.known if self.known is not None else self.state.containsKey((seq,)))
+
+    def put(self, seq: int, text: str | None) -> None:
+        if seq not in self:
+            self.new[seq] = text
+            self.waiting += 1
+
+    def take(self, seq: int) -> str | None:
+        self.waiting -= 1
+        if seq in self.new:
+            return self.new.pop(seq)
+        self.gone.append(seq)
+        return self.known.pop(seq) if self.known is not None else self.state.getValue((seq,))[0]
+
+    def first(self) -> int:
+        return min([*self.new, *(self.known if self.known is not None else (k[0] for k in self.state.keys()))])
+
+    def forget(self) -> None:
+        self.state.clear()
+        self.waiting, self.new, self.gone = 0, {}, []
+
+    def write(self) -> None:
+        if self.gone and self.waiting == len(self.new):
+            self.state.clear()
+        else:
+            for seq in self.gone:
+                self.state.removeKey((seq,))
+        for seq, text in self.new.items():
+            self.state.updateValue((seq,), (text,))
+
+
 class LineParser(StatefulProcessor):
     """Raw chunks (response_id, seq, data), numbered from ``first`` without holes, to deltas at (seq, line).
 
@@ -49,12 +98,11 @@ class LineParser(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("line", "next bigint, rest string, torn boolean, done boolean, waiting bigint", self.ttl_ms)
-        self.early = handle.getMapState("early", "seq bigint", "data string", self.ttl_ms)
+        self.waits = handle.getMapState("early", "seq bigint", "data string", self.ttl_ms)
 
-    def _load(self) -> None:
-        self.next, self.rest, self.torn, self.done, self.waiting = (
-            self.state.get() if self.state.exists() else (self.first, "", False, False, 0)
-        )
+    def _load(self, coming: int | None = None) -> None:
+        self.next, self.rest, self.torn, self.done, waiting = self.state.get() or (self.first, "", False, False, 0)
+        self.early = Early(self.waits, waiting, waiting if coming is None else coming)
 
     def _read(self, data: str | None) -> list[tuple[int, str]]:
         """(line number, text) of the lines that the next chunk ends."""
@@ -74,68 +122,71 @@ class LineParser(StatefulProcessor):
     def _drain(self) -> list[tuple[int, str]]:
         """Lines of the early chunks whose turn has come."""
         out = []
-        while self.waiting and not self.done and self.early.containsKey((self.next,)):
-            key = (self.next,)
-            data = self.early.getValue(key)[0]
-            self.early.removeKey(key)
-            self.waiting -= 1
-            out += self._read(data)
+        while self.early.waiting and not self.done and self.next in self.early:
+            out += self._read(self.early.take(self.next))
         return out
 
     def _save(self, now: int) -> None:
-        if self.done and self.waiting:
-            self.early.clear()
-            self.waiting = 0
+        if self.done and self.early.waiting:
+            self.early.forget()
+        self.early.write()
+        waiting = self.early.waiting
         if self.gap_ms:
             timers = list(self.handle.listTimers())
-            if self.waiting and not timers:
+            if waiting and not timers:
                 self.handle.registerTimer(now + self.gap_ms)
-            elif not self.waiting:
+            elif not waiting:
                 for t in timers:
                     self.handle.deleteTimer(t if isinstance(t, int) else t[0])
-        self.state.update((self.next, "" if self.done else self.rest, self.torn, self.done, self.waiting))
-
-    def _rows(self, key, found, error: tuple[int, str] | None = None) -> pd.DataFrame:
-        rows = [(key[0], error[0], -1, None, error[1])] if error else []
-        rows += [(key[0], seq, i, text, None) for seq, i, text in found]
-        frame = pd.DataFrame(rows, columns=["response_id", "seq", "line", "delta", "error"])
-        return frame.astype({"response_id": "int64", "seq": "int64", "line": "int64"})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self._load()
-        out = []
-        chunks = pd.concat(list(rows), ignore_index=True).drop_duplicates("seq").sort_values("seq", kind="stable")
-        for seq, data in chunks[["seq", "data"]].itertuples(index=False):
+        self.state.update((self.next, "" if self.done else self.rest, self.torn, self.done, waiting))
+
+    def _rows(self, key, found, error: tuple[int, str] | None = None) -> Iterator[Row]:
+        if error:
+            yield _LINE(key[0], error[0], -1, None, error[1])
+        for seq, i, text in found:
+            yield _LINE(key[0], seq, i, text, None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        chunks, out = _by_seq(rows, "data"), []
+        self._load(len(chunks))
+        for seq, data in sorted(chunks.items(), key=lambda c: c[0]):
             if self.done or seq < self.next:
                 continue
             if seq > self.next:
                 out += self._drain()
             if seq == self.next:
                 out += self._read(data)
-            elif seq > self.next and not (self.waiting and self.early.containsKey((int(seq),))):
-                self.early.updateValue((int(seq),), (data,))
-                self.waiting += 1
+            elif seq > self.next:
+                self.early.put(seq, data)
         out += self._drain()
         self._save(timerValues.getCurrentProcessingTimeInMs() if self.gap_ms else 0)
-        yield self._rows(key, out)
+        yield from self._rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self._load()
-        if not self.waiting:
+        if not self.early.waiting:
             return
         missing = self.next
-        self.next = min(k[0] for k in self.early.keys())
+        self.next = self.early.first()
         self.rest, self.torn = "", True
         why = f"chunks {missing} to {self.next - 1} did not come"
         out = self._drain()
         self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
         self._save(timerValues.getCurrentProcessingTimeInMs())
-        yield self._rows(key, out, (missing, why))
+        yield from self._rows(key, out, (missing, why))
 
     def close(self) -> None:
         pass
 
 
+def _by_seq(rows: Iterator[Row], text: str) -> dict[int, str | None]:
+    """Texts of a micro-batch by position; of repeats the first."""
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["seq"], r[text])
+    return out
+
+
 def _unseen(rows: Iterator[pd.DataFrame], seen: set[int]) -> pd.DataFrame:
     """This micro-batch's rows at positions not seen before, by ``seq``."""
     pdf = pd.concat(list(rows), ignore_index=True)
@@ -207,7 +258,8 @@ class StageScanner(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("scan", "next bigint, tail string, plan boolean, renewed boolean, final boolean, waiting bigint", self.ttl_ms)
-        self.early = handle.getMapState("early", "seq bigint", "delta string", self.ttl_ms)
+        self.waits = handle.getMapState("early", "seq bigint", "delta string", self.ttl_ms)
+        self.row = Row(*self.keys, "from_seq", "to_seq", "text", "type")
 
     @staticmethod
     def _stage(iteration: int, met: list[bool]) -> str | None:
@@ -215,23 +267,19 @@ class StageScanner(StatefulProcessor):
             return "plan"
         return "update" if 1 <= iteration <= 4 and met[1] else "conclusion" if met[2] else None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, tail, *met, waiting = self.state.get() if self.state.exists() else (0, "", False, False, False, 0)
-        chunks = pd.concat(list(rows), ignore_index=True).drop_duplicates("seq")
-        here = {int(q): d or "" for q, d in chunks[["seq", "delta"]].itertuples(index=False) if q >= at}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at, tail, *met, waiting = self.state.get() or (0, "", False, False, False, 0)
+        here = {q: d or "" for q, d in _by_seq(rows, "delta").items() if q >= at}
+        if not here:  # repeats only
+            return
+        early = Early(self.waits, waiting, len(here))
+        for q, delta in here.items():
+            early.put(q, delta)
         iteration = int(key[-1])
         markers = [PLAN, UPDATE.format(iteration), CONCLUSION]
         keep, found = max(map(len, markers)) - 1, []
-        while True:
-            if at in here:
-                delta = here.pop(at)
-            elif waiting and self.early.containsKey((at,)):
-                delta = self.early.getValue((at,))[0]
-            else:
-                break
-            if waiting and self.early.containsKey((at,)):
-                self.early.removeKey((at,))
-                waiting -= 1
+        while early.waiting and at in early:
+            delta = early.take(at)
             seen = tail + delta
             met = [m or x in seen for m, x in zip(met, markers, strict=True)]
             tail, kind = seen[-keep:], self._stage(iteration, met)
@@ -241,14 +289,10 @@ class StageScanner(StatefulProcessor):
             else:
                 found.append([at, at, [delta], kind])
             at += 1
-        for q, delta in here.items():
-            if not (waiting and self.early.containsKey((q,))):
-                self.early.updateValue((q,), (delta,))
-                waiting += 1
-        self.state.update((at, tail, *met, waiting))
-        if found:
-            runs = pd.DataFrame([(a, b, "".join(d), k) for a, b, d, k in found], columns=["from_seq", "to_seq", "text", "type"])
-            yield runs.assign(**dict(zip(self.keys, key, strict=True)))[[*self.keys, "from_seq", "to_seq", "text", "type"]]
+        early.write()
+        self.state.update((at, tail, *met, early.waiting))
+        for a, b, d, kind in found:
+            yield self.row(*key, a, b, "".join(d), kind)
 
     def close(self) -> None:
         pass
@@ -259,8 +303,11 @@ def time_mode(ttl_ms: int | None) -> str:
     return "processingTime" if ttl_ms else "none"
 
 
-def _run(stream: DataFrame, keys: list[str], processor, schema: str, mode: str) -> DataFrame:
-    return stream.groupBy(*keys).transformWithStateInPandas(
+def _run(stream: DataFrame, keys: list[str], processor, schema: str, mode: str, by_row: bool = False) -> DataFrame:
+    """``by_row``: the processor takes and gives rows; a table for each of many small keys costs more than its rows."""
+    grouped = stream.groupBy(*keys)
+    run = grouped.transformWithState if by_row else grouped.transformWithStateInPandas
+    return run(
         statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time_mode(processor.ttl_ms)
     )
 
@@ -271,7 +318,7 @@ def parse_chunks(chunks: DataFrame, ttl_ms: int | None = None, gap_ms: int | Non
     A line may run on into the next chunk, so a response is read in one place; one model answer is its size. Without ``gap_ms``
     a chunk is waited for as long as the stream lives; ``waiting_chunks`` shows what waits."""
     parser = LineParser(ttl_ms, gap_ms, first)
-    return chunks.select("response_id", "seq", "data").groupBy("response_id").transformWithStateInPandas(
+    return chunks.select("response_id", "seq", "data").groupBy("response_id").transformWithState(
         statefulProcessor=parser, outputStructType=LINE_SCHEMA, outputMode="append", timeMode=time_mode(ttl_ms or gap_ms)
     )
 
@@ -301,4 +348,4 @@ def stage_runs(deltas: DataFrame, ttl_ms: int | None = None, keys: Sequence[str]
 
     ``keys`` are bigint columns, the iteration last. Deltas may come in any order and micro-batch; one that comes early waits in the state."""
     schema = "".join(f"{k} bigint, " for k in keys) + "from_seq bigint, to_seq bigint, text string, type string"
-    return _run(deltas.select(*keys, "seq", "delta"), list(keys), StageScanner(ttl_ms, keys), schema, "append")
+    return _run(deltas.select(*keys, "seq", "delta"), list(keys), StageScanner(ttl_ms, keys), schema, "append", by_row=True)
