@@ -150,13 +150,13 @@ class LineParser(StatefulProcessor):
         chunks, out = _by_seq(rows, "data"), []
         self._load(len(chunks))
         for seq, data in sorted(chunks.items(), key=lambda c: c[0]):
+            if seq >= self.next:  # the same chunk may wait already
+                out += self._drain()
             if self.done or seq < self.next:
                 continue
-            if seq > self.next:
-                out += self._drain()
             if seq == self.next:
                 out += self._read(data)
-            elif seq > self.next:
+            else:
                 self.early.put(seq, data)
         out += self._drain()
         self._save(timerValues.getCurrentProcessingTimeInMs() if self.gap_ms else 0)
