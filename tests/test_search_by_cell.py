@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolore.operators import packs, retrieve
+from repolore.plans import flagship
 
 
 def _vectors(spark, n, id, dim, repos):
@@ -16,11 +17,11 @@ def _rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_vectors_reach_python_once_per_cell(spark, monkeypatch):
-    queries, chunks = _vectors(spark, 8_000, "query_id", 16, 1), _vectors(spark, 20_000, "chunk_id", 16, 1)
-    want = _rows(retrieve.search(queries, chunks, 3, True))
+def _count_bytes(spark, monkeypatch):
+    """Bytes that tasks of ``mapInArrow`` are handed."""
     sent = spark.sparkContext.accumulator(0)
-    real = type(queries).mapInArrow
+    frame = type(spark.range(1))
+    real = frame.mapInArrow
 
     def counted(df, run, schema, *more):
         def told(b):
@@ -29,13 +30,29 @@ def test_vectors_reach_python_once_per_cell(spark, monkeypatch):
 
         return real(df, lambda batches: run(map(told, batches)), schema, *more)
 
-    monkeypatch.setattr(type(queries), "mapInArrow", counted)
-    found = retrieve.search(queries, chunks, 3, False)
-    monkeypatch.undo()
-    assert _rows(found) == want
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    return sent
+
+
+def test_vectors_reach_python_once_per_cell(spark, monkeypatch):
+    queries, chunks = _vectors(spark, 8_000, "query_id", 16, 1), _vectors(spark, 20_000, "chunk_id", 16, 1)
+    want = _rows(retrieve.search(queries, chunks, 3, True))
+    sent = _count_bytes(spark, monkeypatch)
+    assert _rows(retrieve.search(queries, chunks, 3, False)) == want
     assert 28_000 * 64 <= sent.value < 28_000 * 64 * 3  # 34.6 MB as pairs of packs, growing with queries x chunks
 
 
+def test_contexts_of_many_queries(spark, monkeypatch):
+    """More queries than may be broadcast: the same contexts, and no pair of packs on the way."""
+    queries, chunks = _vectors(spark, 3_000, "query_id", 16, 1), _vectors(spark, 6_000, "chunk_id", 16, 1)
+    chunks = chunks.withColumn("file_path", F.concat(F.lit("f"), F.col("chunk_id") % 7)).withColumn("text", F.col("chunk_id").cast("string"))
+    want = _rows(retrieve.context_text(flagship.hits(queries, chunks, 4)))
+    monkeypatch.setattr(retrieve, "few", lambda queries: False)
+    sent = _count_bytes(spark, monkeypatch)
+    assert _rows(retrieve.context_text(flagship.hits(queries, chunks, 4))) == want and len(want) == 3_000
+    assert 9_000 * 64 <= sent.value < 9_000 * 64 * 3
+
+
 @pytest.mark.parametrize("floats", [1, 64, 1 << 24])
 def test_cells_are_bounded_by_their_numbers(spark, monkeypatch, floats):
     queries, chunks = _vectors(spark, 50, "query_id", 8, 4), _vectors(spark, 300, "chunk_id", 8, 3)
